@@ -43,6 +43,11 @@ def money_sum(column: Column) -> Column:
     return F.sum(column.cast("decimal(18,2)")).cast("decimal(28,2)")
 
 
+def exact_mean(column: Column) -> Column:
+    """Mean over an exact decimal sum, so the result does not depend on task order."""
+    return ratio_or_null(F.sum(column.cast("decimal(18,6)")), F.count(column))
+
+
 def clock_diff(unit: str, start: Column, end: Column) -> Column:
     """Number of ``unit`` boundaries crossed between two timestamps."""
     unit = unit.upper()

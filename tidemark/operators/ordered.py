@@ -227,7 +227,7 @@ def runs(
 
     A run is named by the last row before it that broke the condition, so runs
     form by a partial aggregation. Returns keys, run_start, run_end (values of
-    ``order[0]``), run_length.
+    ``order[0]``), run_length and first_row, last_row (structs of ``order``).
     """
     breaker = F.when(~F.coalesce(condition, F.lit(False)), F.struct(*order))
     marked = running(
@@ -245,6 +245,8 @@ def runs(
             F.min(order[0]).alias("run_start"),
             F.max(order[0]).alias("run_end"),
             F.count("*").alias("run_length"),
+            F.min(F.struct(*order)).alias("first_row"),
+            F.max(F.struct(*order)).alias("last_row"),
         )
         .drop("_island")
     )

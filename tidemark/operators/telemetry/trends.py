@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import epoch_micros, ratio_or_null
+from tidemark.functions.scalars import epoch_micros, exact_mean, ratio_or_null
 from tidemark.operators.ordered import ROWS_PER_CHUNK, exact_percentiles, previous, runs
 
 FORECAST_DAYS = (30, 90, 180)
@@ -65,7 +65,7 @@ def failure_runs(
 ) -> DataFrame:
     """Runs of at least ``threshold`` consecutive failures."""
     out = runs(df, keys, [ts, tie], failed, rows_per_chunk=rows_per_chunk)
-    return out.where(F.col("run_length") >= threshold)
+    return out.where(F.col("run_length") >= threshold).drop("first_row", "last_row")
 
 
 def sustained(
@@ -74,7 +74,7 @@ def sustained(
     """Runs in which a condition held for at least ``seconds``."""
     out = runs(df, keys, [ts, tie], condition, rows_per_chunk=rows_per_chunk)
     held = F.timestamp_diff("SECOND", F.col("run_start"), F.col("run_end"))
-    return out.withColumn("held_seconds", held).where(F.col("held_seconds") >= seconds)
+    return out.withColumn("held_seconds", held).where(F.col("held_seconds") >= seconds).drop("first_row", "last_row")
 
 
 def week_over_week(df: DataFrame, keys: list[str], ts: str, value: str, p: float = 0.99, limit_pct: float = 20.0) -> DataFrame:
@@ -137,7 +137,7 @@ def promotion_rank(replicas: DataFrame, cluster: list[str], healthy: Column, sam
 
 def capacity_forecast(df: DataFrame, keys: list[str], ts: str, value: str, warn: float, limit: float) -> DataFrame:
     """Least-squares trend per key over daily means, projected with a two-sigma band."""
-    daily = df.groupBy(*keys, F.to_date(ts).alias("_day")).agg(F.avg(F.col(value).cast("double")).alias("_y"))
+    daily = df.groupBy(*keys, F.to_date(ts).alias("_day")).agg(exact_mean(F.col(value)).alias("_y"))
     x = F.datediff(F.col("_day"), F.lit("1970-01-01").cast("date")).cast("double")
     fitted = daily.withColumn("_x", x).groupBy(*keys).agg(
         F.regr_slope("_y", "_x").alias("slope"),
@@ -179,7 +179,7 @@ def backup_rules(df: DataFrame, keys: list[str], ts: str, size: str, as_of: str)
     grouped = df.groupBy(*keys).agg(
         F.max(ts).alias("last_backup"),
         F.max_by(size, epoch_micros(F.col(ts))).alias("last_size"),
-        F.avg(F.col(size).cast("double")).alias("mean_size"),
+        exact_mean(F.col(size)).alias("mean_size"),
     )
     hours = F.timestamp_diff("SECOND", F.col("last_backup"), F.lit(as_of).cast("timestamp_ntz")) / 3600.0
     return grouped.select(

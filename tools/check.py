@@ -63,7 +63,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     entries = load_all()
     names = sys.argv[2:] or list(entries)
-    spark = get_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = get_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     connection = duckdb.connect()
     for t in TABLES:
