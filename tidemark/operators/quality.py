@@ -126,8 +126,8 @@ def rollback_trigger(df: DataFrame, by: list[str], after: Column, latency: Colum
     slow = F.col("after_ms") > F.col("before_ms") * 1.5
     return grouped.select(
         *by,
-        F.round("before_ms", 4).alias("before_ms"),
-        F.round("after_ms", 4).alias("after_ms"),
+        "before_ms",
+        "after_ms",
         "error_pct",
         F.when(F.coalesce(slow, F.lit(False)) | (F.col("error_pct") > 0.1), "ROLLBACK").otherwise("KEEP").alias("decision"),
     )

@@ -135,28 +135,58 @@ def promotion_rank(replicas: DataFrame, cluster: list[str], healthy: Column, sam
     return replicas.where(healthy & same_version).withColumn("promotion_rank", F.row_number().over(window))
 
 
-def capacity_forecast(df: DataFrame, keys: list[str], ts: str, value: str, warn: float, limit: float) -> DataFrame:
-    """Least-squares trend per key over daily means, projected with a two-sigma band."""
-    daily = df.groupBy(*keys, F.to_date(ts).alias("_day")).agg(exact_mean(F.col(value)).alias("_y"))
-    x = F.datediff(F.col("_day"), F.lit("1970-01-01").cast("date")).cast("double")
-    fitted = daily.withColumn("_x", x).groupBy(*keys).agg(
-        F.regr_slope("_y", "_x").alias("slope"),
-        F.regr_intercept("_y", "_x").alias("_b"),
-        F.regr_syy("_y", "_x").alias("_syy"),
-        F.regr_sxx("_y", "_x").alias("_sxx"),
-        F.regr_count("_y", "_x").alias("days"),
-        F.max("_x").alias("_last"),
-    )
-    residual = F.greatest(F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx"), F.lit(0.0))
-    fitted = fitted.where(F.col("days") > 2).withColumn("_sd", F.sqrt(residual / (F.col("days") - 2)))
-    out = fitted.withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in FORECAST_DAYS])))
-    projected = F.col("_b") + F.col("slope") * (F.col("_last") + F.col("horizon_days"))
+def capacity_forecast(
+    df: DataFrame, keys: list[str], ts: str, value: str, warn: float, limit: float, scale: int = 100
+) -> DataFrame:
+    """Least-squares trend per key over daily peaks, projected with a two-sigma band.
+
+    Peaks are held as whole multiples of ``1/scale`` and the sums are exact, so
+    the fit does not depend on the order in which tasks finish.
+    """
+    whole = "decimal(38,0)"
+    peaks = df.groupBy(*keys, F.to_date(ts).alias("_day")).agg(F.max(value).alias("_p"))
+    x = F.datediff(F.col("_day"), F.lit("2000-01-01").cast("date")).cast("decimal(10,0)")
+    y = F.round(F.col("_p") * scale).cast("decimal(18,0)")
+    sums = peaks.select(*keys, x.alias("_x"), y.alias("_y")).groupBy(*keys).agg(
+        F.count("*").cast("decimal(10,0)").alias("_n"),
+        F.sum("_x").cast("decimal(18,0)").alias("_sx"),
+        F.sum("_y").cast("decimal(25,0)").alias("_sy"),
+        F.sum(F.col("_x") * F.col("_x")).cast("decimal(25,0)").alias("_sxx"),
+        F.sum(F.col("_x") * F.col("_y")).cast("decimal(28,0)").alias("_sxy"),
+        F.sum((F.col("_y") * F.col("_y")).cast(whole)).cast(whole).alias("_syy"),
+        F.max("_x").cast("double").alias("_last"),
+    )
+
+    def number(column: Column) -> Column:
+        return column.cast(whole).cast("double")
+
+    n = F.col("_n")
+    spread = number((n * F.col("_sxx")).cast(whole) - (F.col("_sx") * F.col("_sx")).cast(whole))
+    fitted = sums.where(n > 2).withColumns({
+        "_dx": spread,
+        "_dxy": number((n * F.col("_sxy")).cast(whole) - (F.col("_sx") * F.col("_sy")).cast(whole)),
+        "_dy": number((n * F.col("_syy")).cast(whole) - (F.col("_sy") * F.col("_sy")).cast(whole)),
+        "_n": n.cast("double"),
+    })
+    fitted = fitted.withColumn("_slope", F.col("_dxy") / F.col("_dx"))
+    intercept = (number(F.col("_sy")) - F.col("_slope") * number(F.col("_sx"))) / F.col("_n")
+    residual = (F.col("_dy") - F.col("_slope") * F.col("_dxy")) / F.col("_n")
+    out = fitted.select(
+        *keys,
+        F.explode(F.array(*[F.lit(h) for h in FORECAST_DAYS])).alias("horizon_days"),
+        "_last",
+        "_slope",
+        intercept.alias("_b"),
+        F.sqrt(F.greatest(residual, F.lit(0.0)) / (F.col("_n") - 2)).alias("_sd"),
+    )
+    projected = (F.col("_b") + F.col("_slope") * (F.col("_last") + F.col("horizon_days"))) / float(scale)
+    band = F.lit(2.0) * F.col("_sd") / float(scale)
     return out.select(
         *keys,
         "horizon_days",
-        F.round(projected, 4).alias("projected"),
-        F.round(projected - 2 * F.col("_sd"), 4).alias("low"),
-        F.round(projected + 2 * F.col("_sd"), 4).alias("high"),
+        projected.alias("projected"),
+        (projected - band).alias("low"),
+        (projected + band).alias("high"),
         F.when(projected > limit, "SCALE").when(projected > warn, "ALERT").otherwise("OK").alias("trigger"),
     )
 

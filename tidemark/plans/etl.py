@@ -196,8 +196,8 @@ def change_log_rejects(spark: SparkSession, d: str) -> DataFrame:
     "S11 R3",
     "target_orders",
     """s AS (SELECT o_orderpriority AS table_name, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT o_orderpriority AS table_name, count(*) AS n FROM target_orders GROUP BY 1)
-       SELECT table_name, 'json' AS sink, t.n - s.n AS row_count_delta FROM s JOIN t USING (table_name)
-       UNION ALL SELECT table_name, 'csv', t.n - s.n FROM s JOIN t USING (table_name)""",
+       SELECT table_name, 'json' AS sink, nullif(t.n - s.n, 0) AS row_count_delta FROM s JOIN t USING (table_name)
+       UNION ALL SELECT table_name, 'csv', nullif(t.n - s.n, 0) FROM s JOIN t USING (table_name)""",
 )
 def report_sinks(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "report")

@@ -155,7 +155,7 @@ def latency_quantiles_approx(spark: SparkSession, d: str) -> DataFrame:
     """g AS (SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS DOUBLE) / count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS b,
                     CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS DOUBLE) / count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS a,
                     round(100.0 * (CAST(count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16' AND event_type = 'error' AND value > 100) AS DOUBLE) / nullif(count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16'), 0)), 4) AS error_pct FROM events GROUP BY 1)
-       SELECT user_id, round(b, 4) AS before_ms, round(a, 4) AS after_ms, error_pct,
+       SELECT user_id, b AS before_ms, a AS after_ms, error_pct,
               CASE WHEN coalesce(a > b * 1.5, false) OR error_pct > 0.1 THEN 'ROLLBACK' ELSE 'KEEP' END AS decision FROM g""",
 )
 def rollback_trigger(spark: SparkSession, d: str) -> DataFrame:

@@ -890,12 +890,15 @@ def sliding_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 FORECAST_SQL = """
-    dd AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS y FROM events GROUP BY 1, 2),
-    f AS (SELECT user_id, regr_slope(y, CAST(day - DATE '1970-01-01' AS DOUBLE)) AS slope, regr_intercept(y, CAST(day - DATE '1970-01-01' AS DOUBLE)) AS b,
-                 regr_syy(y, CAST(day - DATE '1970-01-01' AS DOUBLE)) AS syy, regr_sxx(y, CAST(day - DATE '1970-01-01' AS DOUBLE)) AS sxx,
-                 count(*) AS n, max(CAST(day - DATE '1970-01-01' AS DOUBLE)) AS last FROM dd GROUP BY 1 HAVING count(*) > 2),
-    p AS (SELECT user_id, horizon_days, b + slope * (last + horizon_days) AS y, sqrt(greatest(syy - slope * slope * sxx, 0) / (n - 2)) AS sd
-          FROM f, (SELECT unnest([30, 90, 180]) AS horizon_days))"""
+    p AS (SELECT user_id, CAST(CAST(ts AS DATE) - DATE '2000-01-01' AS HUGEINT) AS x, CAST(round(max(value) * 100) AS HUGEINT) AS y FROM events GROUP BY user_id, CAST(ts AS DATE)),
+    s AS (SELECT user_id, CAST(count(*) AS HUGEINT) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, CAST(max(x) AS DOUBLE) AS last
+          FROM p GROUP BY 1 HAVING count(*) > 2),
+    f AS (SELECT user_id, CAST(n AS DOUBLE) AS n, CAST(sx AS DOUBLE) AS sx, CAST(sy AS DOUBLE) AS sy, last, CAST(n * sxx - sx * sx AS DOUBLE) AS dx,
+                 CAST(n * sxy - sx * sy AS DOUBLE) AS dxy, CAST(n * syy - sy * sy AS DOUBLE) AS dy FROM s),
+    g AS (SELECT *, dxy / dx AS slope FROM f),
+    h AS (SELECT user_id, unnest([30, 90, 180]) AS horizon_days, last, slope, (sy - slope * sx) / n AS b,
+                 sqrt(greatest((dy - slope * dxy) / n, 0.0) / (n - 2)) AS sd FROM g),
+    r AS (SELECT user_id, horizon_days, (b + slope * (last + horizon_days)) / 100.0 AS y, 2.0 * sd / 100.0 AS w FROM h)"""
 
 
 @plan(
@@ -903,8 +906,8 @@ FORECAST_SQL = """
     "T47",
     "",
     FORECAST_SQL
-    + """ SELECT user_id, horizon_days, round(y, 4) AS projected, round(y - 2 * sd, 4) AS low, round(y + 2 * sd, 4) AS high,
-                 CASE WHEN y > 75 THEN 'SCALE' WHEN y > 70 THEN 'ALERT' ELSE 'OK' END AS trigger FROM p""",
+    + """ SELECT user_id, horizon_days, y AS projected, y - w AS low, y + w AS high,
+                 CASE WHEN y > 75 THEN 'SCALE' WHEN y > 70 THEN 'ALERT' ELSE 'OK' END AS trigger FROM r""",
 )
 def capacity_forecast(spark: SparkSession, d: str) -> DataFrame:
     return trends.capacity_forecast(table(spark, d, "events"), ["user_id"], "ts", "value", 70, 75)

@@ -69,14 +69,19 @@ def main() -> None:
     for t in TABLES:
         connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     bad = 0
+    times = []
     for name in names:
         try:
             result = compare(spark, connection, entries[name], sf_dir)
         except Exception as error:  # report and go on with the next query
             result = "FAIL " + str(error).split("\n")[0][:400]
         bad += result.startswith("FAIL")
+        if os.environ.get("TIMES"):
+            times.append((float(result.rsplit("s", 1)[0].split()[-1]) if "rows " in result and "FAIL" not in result else 0.0, name))
         if not result.startswith("ok") or "types" in result or len(sys.argv) > 2:
             print(f"{name}: {result}", flush=True)
+    for took, name in sorted(times, reverse=True)[:40]:
+        print(f"{took:.2f} {name}")
     print(f"{len(names)} queries, {bad} failed")
     sys.exit(1 if bad else 0)
 
