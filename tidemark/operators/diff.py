@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.signature import fingerprint, row_number60, signature
+from tidemark.session import materialize
 
 LIMBS = ("_l0", "_l1", "_l2")
 MISSING, EXTRA, CHANGED, SAME, DUPLICATE = "MISSING", "EXTRA", "CHANGED", "SAME", "DUPLICATE"
@@ -53,15 +54,13 @@ def _all_zero(names: tuple[str, ...]) -> Column:
 
 
 def drifted_keys(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """The key scope for a repair: every key that is not SAME."""
-    return key_status(source, target, keys, columns).where(F.col("status") != SAME).select(*keys, "status")
+    """The key scope for a repair: every key that is not SAME, written once for its many readers."""
+    return materialize(key_status(source, target, keys, columns).where(F.col("status") != SAME).select(*keys, "status"))
 
 
 def changed_columns(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Changed column names per CHANGED key, as a comma-separated text in column order."""
-    changed = (
-        key_status(source, target, keys, columns).where(F.col("status") == CHANGED).select(*keys)
-    )
+    changed = materialize(key_status(source, target, keys, columns).where(F.col("status") == CHANGED).select(*keys))
     s = source.join(changed, keys, "left_semi").select(*keys, F.struct(*columns).alias("_s"))
     t = target.join(changed, keys, "left_semi").select(*keys, F.struct(*columns).alias("_t"))
     named = F.array_compact(
@@ -91,7 +90,7 @@ def drill_down(
     source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], segment: Column
 ) -> DataFrame:
     """Segment hashes first, then ``key_status`` on drifting segments only."""
-    drift = segment_drift(source, target, [*keys, *columns], segment)
+    drift = materialize(segment_drift(source, target, [*keys, *columns], segment))
     s = source.withColumn("segment", segment).join(drift, "segment", "left_semi")
     t = target.withColumn("segment", segment).join(drift, "segment", "left_semi")
     return key_status(s, t, ["segment", *keys], columns).where(F.col("status") != SAME)

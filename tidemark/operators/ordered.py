@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import order_number
-from tidemark.session import broadcast_if_small
+from tidemark.session import materialize
 
 ROWS_PER_CHUNK = 4_000_000
 MAX_CUTS = 1_000
@@ -44,18 +44,22 @@ def split_hot_keys(
     keys: list[str],
     order: str,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    probe: DataFrame | None = None,
 ) -> DataFrame | None:
     """Add a chunk number, monotone in ``order``, to the rows of hot keys.
 
     Returns None when no key is hot. The cut points are approximate quantiles,
     computed by partial aggregation over the hot keys only; a key gets about
     one cut per ``rows_per_chunk`` rows, so the table of cuts is smaller than
-    the data by that factor.
+    the data by that factor. It is written out, so that the joins with it are
+    chosen by its true size. ``probe`` may give a cheaper table with at least as
+    many rows per key to look for hot keys in.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk)
+    counted = df if probe is None else probe
+    sizes = counted.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk)
     if sizes.isEmpty():
         return None
-    hot = broadcast_if_small(_renamed(sizes, keys, "_h_"))
+    hot = materialize(_renamed(sizes, keys, "_h_"))
     quantiles = F.array(*[F.lit((i + 1) / (MAX_CUTS + 1)) for i in range(MAX_CUTS)])
     cuts = (
         df.join(hot, _same(keys, "_h_"), "left_semi")
@@ -67,7 +71,7 @@ def split_hot_keys(
         .withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(MAX_CUTS) * rows_per_chunk / F.col("_n")).cast("int")))
         .withColumn("_cuts", F.array_distinct(F.filter("_q", lambda q, i: i % F.col("_step") == 0)))
     )
-    cuts = broadcast_if_small(_renamed(cuts, keys, "_h_", ["_cuts"]))
+    cuts = materialize(_renamed(cuts, keys, "_h_", ["_cuts"]))
     passed = F.size(F.filter("_cuts", lambda c: c < order_number(df, order)))
     joined = df.join(cuts, _same(keys, "_h_"), "left")
     return joined.select(*df.columns, F.when(F.col("_cuts").isNull(), 0).otherwise(passed).alias(_CHUNK))
@@ -91,6 +95,7 @@ def running(
     values: dict[str, Running],
     chunk: Column | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values per key in the order of ``order``.
 
@@ -101,7 +106,7 @@ def running(
     if chunk is not None:
         chunked = df.withColumn(_CHUNK, chunk)
     else:
-        chunked = split_hot_keys(df, keys, order[0], rows_per_chunk)
+        chunked = split_hot_keys(df, keys, order[0], rows_per_chunk, probe)
     parts = list(keys) if chunked is None else [*keys, _CHUNK]
     window = Window.partitionBy(*parts).orderBy(*order)
     frames = {
@@ -195,8 +200,9 @@ def exact_percentiles(
     gives each value its rank interval, and an aggregate picks the two values
     around every requested rank.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = running(counts, keys, [value], {"_upto": Running("sum", F.col("_n"))}, rows_per_chunk=rows_per_chunk)
+    df = df.where(F.col(value).isNotNull())
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranked = running(counts, keys, [value], {"_upto": Running("sum", F.col("_n"))}, rows_per_chunk=rows_per_chunk, probe=df)
     sizes = _renamed(counts.groupBy(*keys).agg(F.sum("_n").alias("_size")), keys, "_s_", ["_size"])
     joined = ranked.join(sizes, _same(keys, "_s_"))
     aggregates = [F.max("_size").alias("_size")]

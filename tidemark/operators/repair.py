@@ -33,8 +33,15 @@ def update_changed(
 
 
 def repair(source: DataFrame, target: DataFrame, scope: DataFrame, keys: list[str]) -> DataFrame:
-    """All three branches: delete extra, overwrite changed, insert missing."""
-    return update_changed(source, delete_extra(source, target, scope, keys), scope, keys, insert=True)
+    """All three branches at once: extra rows go, changed and missing rows come from the source.
+
+    Rows outside the scope are kept as they are and scoped rows are taken from
+    the source, so both tables are only filtered by the scope. When the scope is
+    small against the tables no wide row is shuffled.
+    """
+    wanted = scope.select(*keys)
+    kept = target.join(wanted, keys, "left_anti")
+    return kept.unionByName(source.join(wanted, keys, "left_semi").select(*target.columns))
 
 
 def verify(

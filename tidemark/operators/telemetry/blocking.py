@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label
-from tidemark.session import cut_lineage
+from tidemark.session import materialize
 
 
 def blocking_pairs(sessions: DataFrame, session: str = "session_id", blocker: str = "blocker_id") -> DataFrame:
@@ -43,21 +43,21 @@ def head_blockers(sessions: DataFrame, session: str = "session_id", blocker: str
     heads = known.join(links.select(F.col("id").alias(session)), session, "left_anti").select(
         F.col(session).alias("id"), F.col(session).alias("ptr"), F.lit(0).cast("bigint").alias("depth")
     )
-    moving = cut_lineage(links.join(has_next, "ptr", "left_semi").select("id", "ptr", "depth"))
+    moving = materialize(links.join(has_next, "ptr", "left_semi").select("id", "ptr", "depth"))
     settled = links.join(has_next, "ptr", "left_anti").select("id", "ptr", "depth").unionByName(heads)
-    jump = cut_lineage(links)
+    jump = materialize(links)
     left = moving.count()
     while left:
         # jump: id -> where it points after 2^round steps; ends stay put.
         step = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("to"), F.col("depth").alias("more"))
-        moved = cut_lineage(_leap(moving, step))
+        moved = materialize(_leap(moving, step))
         settled = settled.unionByName(moved.join(has_next, "ptr", "left_anti").select("id", "ptr", "depth"))
-        moving = cut_lineage(moved.join(has_next, "ptr", "left_semi").select("id", "ptr", "depth"))
+        moving = materialize(moved.join(has_next, "ptr", "left_semi").select("id", "ptr", "depth"))
         before, left = left, moving.count()
         # As long as a chain is open, each round closes part of it; no progress means only cycles are left.
         if left == before:
             break
-        jump = cut_lineage(_leap(jump, step))
+        jump = materialize(_leap(jump, step))
     cyclic = moving.select(
         F.col("id").alias(session), F.lit(None).cast("bigint").alias("head_blocker"), F.lit(None).cast("bigint").alias("depth")
     )
@@ -91,7 +91,7 @@ def lock_conflicts(locks: DataFrame, resource: list[str], pid: str, granted: str
     compare null-safely. A session's own locks do not block it.
     """
     named = [F.col(c).alias(f"_r_{c}") for c in resource]
-    holding = locks.where(F.col(granted)).groupBy(*resource, pid).agg(F.min(ts).alias("_since"))
+    holding = materialize(locks.where(F.col(granted)).groupBy(*resource, pid).agg(F.min(ts).alias("_since")))
     first_two = F.array_sort(F.array_compact(F.array("_f", "_g")))
     per_resource = holding.groupBy(*named).agg(
         F.count("*").alias("_holders"), F.min(F.struct("_since", F.col(pid).alias("p"))).alias("_f")

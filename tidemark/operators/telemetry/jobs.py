@@ -60,6 +60,27 @@ def with_targets(runs: DataFrame, jobs: DataFrame, steps: DataFrame, members: Da
     )
 
 
+def fan_out_counts(runs: DataFrame, jobs: DataFrame, steps: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of ``with_targets`` per job name, ``by`` and step, without fanning out.
+
+    Runs are counted per job, targets per step, and the counts multiplied.
+    """
+    counted = runs.groupBy("job_id", *by).agg(F.count("*").alias("_runs"))
+    per_group = members.groupBy("target_group_id").agg(F.count("*").alias("_targets"))
+    targets = steps.join(per_group, "target_group_id", "left").groupBy("job_id", "step_name").agg(
+        F.sum(F.coalesce("_targets", F.lit(1))).alias("_rows"),
+        F.sum(F.coalesce("_targets", F.lit(0))).alias("_held"),
+    )
+    joined = counted.join(jobs, "job_id").join(targets, "job_id", "left")
+    return joined.select(
+        "job_name",
+        *by,
+        "step_name",
+        (F.col("_runs") * F.coalesce("_rows", F.lit(1))).alias("fanned_out"),
+        (F.col("_runs") * F.coalesce("_held", F.lit(0))).alias("with_target"),
+    )
+
+
 def expanded(runs: DataFrame, jobs: DataFrame, steps: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct (run, target): the target side is made distinct per job before runs fan out."""
     per_job = steps.join(members, "target_group_id", "left").select("job_id", *columns).distinct()

@@ -45,9 +45,16 @@ def resample(df: DataFrame, ts: str, by: list[str], value: str, width: str = "5
 
 
 def sliding_rates(df: DataFrame, ts: str, by: list[str], width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """Events per second and error share in sliding windows; ``is_error`` marks errors."""
-    counted = df.groupBy(*by, F.window(ts, width, slide).alias("_w")).agg(
-        F.count("*").alias("events"), F.count_if(F.col("is_error")).alias("errors")
+    """Events per second and error share in sliding windows; ``is_error`` marks errors.
+
+    ``width`` must be a multiple of ``slide``. Rows are counted per slide first,
+    and only those counts are copied into the windows that overlap them.
+    """
+    per_slide = df.groupBy(*by, F.window(ts, slide)["start"].alias("_t")).agg(
+        F.count("*").alias("_n"), F.count_if(F.col("is_error")).alias("_e")
+    )
+    counted = per_slide.groupBy(*by, F.window("_t", width, slide).alias("_w")).agg(
+        F.sum("_n").alias("events"), F.sum("_e").alias("errors")
     )
     seconds = F.timestamp_diff("SECOND", F.col("_w.start"), F.col("_w.end")).cast("double")
     return counted.select(

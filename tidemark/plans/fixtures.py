@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 AS_OF = "2024-01-31 00:00:00"
 WINDOW_START = "1997-01-01 00:00:00"
 WINDOW_END = "1998-01-01 00:00:00"
@@ -126,10 +128,12 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job dimension as a table of its own, so its size is known to the joins."""
     orders = table(spark, sf_dir, "orders")
-    return orders.selectExpr(
+    names = orders.selectExpr(
         "CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS job_id", "o_orderpriority AS job_name"
     ).distinct()
+    return materialize(names, "job_names")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from tidemark.operators.telemetry import jobs
 from tidemark.plans.fixtures import job_names, job_runs, table
 from tidemark.plans.registry import plan
@@ -117,10 +115,7 @@ def job_targets(spark: SparkSession, d: str) -> DataFrame:
 )
 def job_target_runs(spark: SparkSession, d: str) -> DataFrame:
     steps, _, members = _targets(spark, d)
-    fanned = jobs.with_targets(job_runs(spark, d), job_names(spark, d), steps, members)
-    return fanned.groupBy("job_name", "lifecycle", "step_name").agg(
-        F.count("*").alias("fanned_out"), F.count("server_name").alias("with_target")
-    )
+    return jobs.fan_out_counts(job_runs(spark, d), job_names(spark, d), steps, members, ["lifecycle"])
 
 
 @plan(

@@ -558,13 +558,15 @@ def open_backlog(spark: SparkSession, d: str) -> DataFrame:
               CAST(total - lag(total) OVER (PARTITION BY n_name ORDER BY period) AS DECIMAL(29,2)) AS change FROM m""",
 )
 def period_over_period(spark: SparkSession, d: str) -> DataFrame:
-    joined = (
-        table(spark, d, "orders")
-        .join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    )
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
-    return integrity.period_over_period(joined, ["n_name"], month, money_sum(F.col("o_totalprice")))
+    monthly = table(spark, d, "orders").groupBy("o_custkey", month.alias("month")).agg(
+        money_sum(F.col("o_totalprice")).alias("sales")
+    )
+    joined = monthly.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    total = F.sum("sales").cast("decimal(28,2)")
+    return integrity.period_over_period(joined, ["n_name"], F.col("month"), total)
 
 
 GATE_SQL = (

@@ -390,9 +390,13 @@ HIT_SQL = """t AS (SELECT p_brand, CAST(sum(l_quantity) AS BIGINT) AS hits, coun
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    joined = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """Counters are summed per part before they meet the part's brand."""
+    per_part = table(spark, d, "lineitem").groupBy("l_partkey").agg(
+        F.sum("l_quantity").alias("_h"), F.count_if(F.col("l_returnflag") == "A").alias("_m")
+    )
+    joined = per_part.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.groupBy("p_brand").agg(
-        F.sum("l_quantity").cast("bigint").alias("hits"), F.count_if(F.col("l_returnflag") == "A").alias("misses")
+        F.sum("_h").cast("bigint").alias("hits"), F.sum("_m").alias("misses")
     )
 
 

@@ -53,7 +53,8 @@ def write_report(df: DataFrame, path: str) -> None:
 def append_snapshot(df: DataFrame, path: str, captured_at: str) -> None:
     """Append a telemetry snapshot, one directory per capture day."""
     day = F.col(captured_at).cast("date")
-    df.withColumn("captured_date", day).write.mode("append").partitionBy("captured_date").parquet(path)
+    dated = df.withColumn("captured_date", day).hint("rebalance", "captured_date")
+    dated.write.mode("append").partitionBy("captured_date").parquet(path)
 
 
 def expire_snapshots(spark: SparkSession, path: str, as_of: str, days: int = RETENTION_DAYS) -> list[str]:
@@ -72,11 +73,9 @@ def expire_snapshots(spark: SparkSession, path: str, as_of: str, days: int = RET
 
 
 def write_by_month(df: DataFrame, path: str, date_column: str) -> None:
-    """Partition by month; rows are first gathered per month and a salt, so files stay large and no month is one task."""
-    month = F.date_format(date_column, "yyyy-MM")
-    salted = df.withColumn("order_month", month).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(4)))
-    gathered = salted.repartition("order_month", "_salt").drop("_salt")
-    gathered.write.mode("overwrite").partitionBy("order_month").parquet(path)
+    """Partition by month. Rows are rebalanced by month first: small months share a task, a large one is split."""
+    dated = df.withColumn("order_month", F.date_format(date_column, "yyyy-MM"))
+    dated.hint("rebalance", "order_month").write.mode("overwrite").partitionBy("order_month").parquet(path)
 
 
 def convert_csv(

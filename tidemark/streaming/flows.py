@@ -57,7 +57,7 @@ def apply_changes(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_lines(batch, store.log_schema)
+        parsed = parse_lines(batch, store.log_schema).persist()
         rows, malformed = split_corrupt(parsed)
         missing = F.lit(False)
         for name in required:
@@ -75,6 +75,7 @@ def apply_changes(
         store.append(valid, batch_id)
         store.append_dead(malformed.unionByName(invalid), batch_id)
         store.record_positions(batch_id)
+        parsed.unpersist()
 
     return step
 
