@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,9 +77,12 @@ def fingerprint(df: DataFrame, columns: list[str]) -> list[Column]:
     """
     if not columns:
         return [F.lit(0).cast("bigint")] * 3
-    nulls = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    masks = []
+    for start in range(0, len(columns), 60):
+        bits = [F.when(F.col(c).isNull(), 1 << i).otherwise(0).cast("bigint") for i, c in enumerate(columns[start : start + 60])]
+        masks.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
     values = [F.to_json(F.col(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in columns]
-    number = F.xxhash64(nulls, *values)
+    number = F.xxhash64(*masks, *values)
     mask = F.lit((1 << 21) - 1).cast("bigint")
     return [
         F.shiftrightunsigned(number, 42),

@@ -34,30 +34,37 @@ def head_blockers(sessions: DataFrame, session: str = "session_id", blocker: str
     log2(n) joins. Sessions that have reached a head leave the loop. Sessions
     still in the loop after the last round wait on a cycle.
     """
-    known = sessions.select(session).distinct()
     links = sessions.where(F.col(blocker).isNotNull()).select(
         F.col(session).alias("id"), F.col(blocker).alias("ptr"), F.lit(1).cast("bigint").alias("depth")
     )
-    # A blocker that is not among the sessions ends a chain like a head does.
-    has_next = links.select(F.col("id").alias("ptr"))
-    heads = known.join(links.select(F.col("id").alias(session)), session, "left_anti").select(
+    heads = sessions.where(F.col(blocker).isNull()).select(
         F.col(session).alias("id"), F.col(session).alias("ptr"), F.lit(0).cast("bigint").alias("depth")
     )
-    moving = materialize(links.join(has_next, "ptr", "left_semi").select("id", "ptr", "depth"))
-    settled = links.join(has_next, "ptr", "left_anti").select("id", "ptr", "depth").unionByName(heads)
-    jump = materialize(links)
+    # A session whose blocker waits itself is still open. A blocker that is not
+    # among the sessions ends a chain like a head does.
+    waits_too = links.select(F.col("id").alias("ptr"), F.lit(True).alias("_more"))
+
+    def step_to(pointers: DataFrame) -> DataFrame:
+        marked = pointers.join(waits_too, "ptr", "left")
+        return materialize(marked.select("id", "ptr", "depth", F.coalesce("_more", F.lit(False)).alias("open")))
+
+    reached = step_to(links)
+    settled = heads.unionByName(reached.where(~F.col("open")).drop("open"))
+    moving = reached.where("open").drop("open")
+    jump = reached.drop("open")
     left = moving.count()
     while left:
         # jump: id -> where it points after 2^round steps; ends stay put.
-        step = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("to"), F.col("depth").alias("more"))
-        moved = materialize(_leap(moving, step))
-        settled = settled.unionByName(moved.join(has_next, "ptr", "left_anti").select("id", "ptr", "depth"))
-        moving = materialize(moved.join(has_next, "ptr", "left_semi").select("id", "ptr", "depth"))
+        leap = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("to"), F.col("depth").alias("more"))
+        reached = step_to(_leap(moving, leap))
+        settled = settled.unionByName(reached.where(~F.col("open")).drop("open"))
+        moving = reached.where("open").drop("open")
         before, left = left, moving.count()
         # As long as a chain is open, each round closes part of it; no progress means only cycles are left.
         if left == before:
             break
-        jump = materialize(_leap(jump, step))
+        if left:
+            jump = materialize(_leap(jump, leap))
     cyclic = moving.select(
         F.col("id").alias(session), F.lit(None).cast("bigint").alias("head_blocker"), F.lit(None).cast("bigint").alias("depth")
     )

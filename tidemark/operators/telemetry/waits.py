@@ -71,14 +71,14 @@ def wait_totals(df: DataFrame, by: list[str], wait_ms: str = "wait_ms") -> DataF
 
 def top_waits(df: DataFrame, k: int = 25) -> DataFrame:
     """Non-idle wait types by total time, with seconds and mean."""
-    totals = wait_totals(not_idle(df), ["wait_type"])
-    top = totals.orderBy(F.desc("wait_ms"), "wait_type").limit(k)
-    return top.select(
+    totals = wait_totals(not_idle(df), ["wait_type"]).select(
         "wait_type",
         "total_waits",
+        "wait_ms",
         F.round(F.col("wait_ms").cast("double") / 1000.0, 2).alias("wait_s"),
         F.round(ratio_or_null(F.col("wait_ms"), F.col("total_waits")), 2).alias("avg_wait_ms"),
     )
+    return totals.orderBy(F.desc("wait_ms"), "wait_type").limit(k).drop("wait_ms")
 
 
 def share_of_total(totals: DataFrame, value: str, out: str, k: int | None = None, tie: str | None = None) -> DataFrame:
