@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tidemark.functions.scalars import exact_sum, money_sum
 from tidemark.functions.signature import hash_sum, row_number60, segment_digest, signature
 from tidemark.operators import compare, diff, integrity, repair
 
@@ -57,7 +58,39 @@ def test_signature_separates_and_normalises(spark):
     assert len(set(marks[:6])) == 6
     assert marks[6] == marks[0]
     one = spark.sql("SELECT CAST(1.50 AS DOUBLE) AS v, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS t, X'0AFF' AS b, true AS f")
-    assert one.select(signature(one, ["v", "t", "b", "f"])).first()[0] == "1.500000|2024-01-02 03:04:05.000000|0aff|1"
+    assert one.select(signature(one, ["v", "t", "b", "f"])).first()[0] == "1500000|1704164645000000|0aff|1"
+
+
+def test_numbers_agree_across_types(spark):
+    texts = ["0", "-0.5", "12.345678", "0.0000005", "-123456789.123456", "99999999999999.5", "1E+20", "0.1234565"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select(
+        F.col("x").cast("double").alias("d"), F.col("x").cast("decimal(38,10)").alias("m")
+    )
+    got = df.select(signature(df, ["d"]).alias("d"), signature(df, ["m"]).alias("m")).collect()
+    assert [r.d for r in got] == [r.m for r in got]
+    assert [r.d for r in got][:3] == ["0", "-500000", "12345678"]
+    odd = spark.sql("SELECT CAST('NaN' AS DOUBLE) AS d UNION ALL SELECT CAST('1E300' AS DOUBLE) UNION ALL SELECT CAST(NULL AS DOUBLE)")
+    assert [r[0] for r in odd.select(signature(odd, ["d"])).collect()] == ["NaN", "1.0E300", "~"]
+
+
+def test_timestamps_do_not_depend_on_the_session_zone(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00.000001' AS t UNION ALL SELECT TIMESTAMP_NTZ '2024-03-10 03:30:00.000001'")
+    want = [r[0] for r in df.select(signature(df, ["t"])).collect()]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [r[0] for r in df.select(signature(df, ["t"])).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(set(want)) == 2
+
+
+def test_exact_sums(spark):
+    df = spark.createDataFrame([(0.1,), (0.2,), (-5.55,), (None,), (90071992547409.93,)], "x double")
+    plain = df.agg(F.sum(F.col("x").cast("decimal(18,2)"))).first()[0]
+    assert df.agg(money_sum(F.col("x"))).first()[0] == plain
+    assert df.where("x > 1e300").agg(money_sum(F.col("x"))).first()[0] is None
+    third = spark.createDataFrame([(1 / 3,), (2.5e-7,), (-1.0000005,)], "x double")
+    assert third.agg(exact_sum(F.col("x"), 6)).first()[0] == third.agg(F.sum(F.col("x").cast("decimal(18,6)"))).first()[0]
 
 
 def test_hash_sum_is_exact_and_order_free(spark):

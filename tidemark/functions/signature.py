@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scalars import epoch_micros
+
 NULL_TOKEN = "~"
 SEPARATOR = "|"
 LIMB_BITS = 20
@@ -16,31 +18,45 @@ LIMB_BITS = 20
 def canonical_text(column: Column, kind: T.DataType, scale: int = 6) -> Column:
     """One text form per value, equal across engines.
 
-    Timestamps become UTC text with microseconds, numbers fixed-scale decimals,
-    text is trimmed and escaped so that a separator or null token inside it
-    cannot make two different rows look alike.
+    Timestamps become microseconds since 1970 (UTC), numbers with a fraction
+    whole multiples of ``10^-scale``, text is trimmed and carries its length in
+    bytes, so that neither a separator nor a null token inside it can make two
+    different rows look alike.
     """
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        text = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if isinstance(kind, T.TimestampType):
+        text = F.unix_micros(column).cast("string")
+    elif isinstance(kind, T.TimestampNTZType):
+        text = epoch_micros(column).cast("string")
     elif isinstance(kind, T.DateType):
         text = F.date_format(column, "yyyy-MM-dd")
-    elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        text = column.cast(T.DecimalType(38, scale)).cast("string")
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        shifted = column.cast("double") * float(10**scale)
+        near = (F.abs(shifted - F.rint(shifted)) < 0.001) & (F.abs(shifted) < 9e15)
+        text = F.when(near, F.rint(shifted).cast("bigint").cast("string")).otherwise(
+            F.coalesce(_whole(column.try_cast(T.DecimalType(38, scale)), scale), column.cast("string"))
+        )
+    elif isinstance(kind, T.DecimalType):
+        text = _whole(column.cast(T.DecimalType(38, scale)), scale)
     elif isinstance(kind, T.BooleanType):
         text = F.when(column, F.lit("1")).when(~column, F.lit("0"))
     elif isinstance(kind, T.BinaryType):
         text = F.lower(F.hex(column))
-    elif isinstance(kind, T.StringType):
-        text = F.trim(column)
-        for mark in ("\\", SEPARATOR, NULL_TOKEN):
-            text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
-    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        text = F.to_json(column)
+    elif isinstance(kind, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
+        plain = F.trim(column) if isinstance(kind, T.StringType) else F.to_json(column)
+        text = F.concat(F.octet_length(plain).cast("string"), F.lit(":"), plain)
     else:
         text = column.cast("string")
     return F.coalesce(text, F.lit(NULL_TOKEN))
 
 
+def _whole(column: Column, scale: int) -> Column:
+    """Digits of a decimal without its point, in the form of a whole number."""
+    if not scale:
+        return column.cast("string")
+    digits = F.regexp_replace(F.replace(column.cast("string"), F.lit("."), F.lit("")), r"^(-?)0+(?=\d)", "$1")
+    return F.when(column == 0, F.lit("0")).otherwise(digits)
+
+
 def signature(df: DataFrame, columns: list[str], scale: int = 6) -> Column:
     return F.concat_ws(SEPARATOR, *[canonical_text(F.col(c), df.schema[c].dataType, scale) for c in columns])
 
@@ -50,8 +66,14 @@ def raw_signature(columns: list[str]) -> Column:
     return F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TOKEN)) for c in columns])
 
 
-def row_number60(text: Column) -> Column:
-    """First 60 bits of the md5 of a text, as bigint."""
+def row_number60(text: Column, digest: str = "md5") -> Column:
+    """A 60-bit number of a text, as bigint.
+
+    ``md5`` takes its first 15 hex digits, which any engine can reproduce.
+    ``xxhash64`` is much cheaper and serves where Spark reads both sides.
+    """
+    if digest == "xxhash64":
+        return F.shiftrightunsigned(F.xxhash64(text), 4)
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 

@@ -68,7 +68,7 @@ def split_hot_keys(
             F.count("*").alias("_n"),
             F.percentile_approx(order_number(df, order), quantiles, F.lit(20_000)).alias("_q"),
         )
-        .withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(MAX_CUTS) * rows_per_chunk / F.col("_n")).cast("int")))
+        .withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(float(MAX_CUTS * rows_per_chunk)) / F.col("_n")).cast("int")))
         .withColumn("_cuts", F.array_distinct(F.filter("_q", lambda q, i: i % F.col("_step") == 0)))
     )
     cuts = materialize(_renamed(cuts, keys, "_h_", ["_cuts"]))

@@ -23,6 +23,7 @@ class TableSpec:
     schema_name: str = "public"
     deleted_values: tuple[str, ...] = DELETED_VALUES
     scale: int = 6
+    digest: str = "md5"
 
     def hashed(self) -> list[str]:
         """Agreed columns, or key + update time + delete flag when none are given."""
@@ -30,7 +31,7 @@ class TableSpec:
 
 
 def _measures(df: DataFrame, spec: TableSpec, start: str, end: str) -> list[Column]:
-    number = row_number60(signature(df, spec.hashed(), spec.scale))
+    number = row_number60(signature(df, spec.hashed(), spec.scale), spec.digest)
     return [
         F.count("*").alias("row_count"),
         hash_sum(number).alias("hash_sum"),

@@ -29,9 +29,9 @@ SPEC = summary.TableSpec(
 # Oracle text of the canonical signature of an order row.
 SIGNATURE_SQL = (
     "concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), "
-    "replace(replace(replace(trim(o_orderstatus), '\\', '\\\\'), '|', '\\|'), '~', '\\~'), "
-    "CAST(CAST(o_totalprice AS DECIMAL(38,6)) AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), "
-    "replace(replace(replace(trim(o_orderpriority), '\\', '\\\\'), '|', '\\|'), '~', '\\~'))"
+    "strlen(trim(o_orderstatus)) || ':' || trim(o_orderstatus), "
+    "CAST(CAST(round(o_totalprice * 1000000) AS BIGINT) AS VARCHAR), CAST(epoch_us(o_orderdate) AS VARCHAR), "
+    "strlen(trim(o_orderpriority)) || ':' || trim(o_orderpriority))"
 )
 HASH_SQL = f"CAST('0x' || substr(md5({SIGNATURE_SQL}), 1, 15) AS BIGINT)"
 MEASURES_SQL = f"""
