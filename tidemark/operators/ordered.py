@@ -228,22 +228,25 @@ def runs(
     condition: Column,
     chunk: Column | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    bounds: bool = False,
 ) -> DataFrame:
     """Maximal runs of consecutive rows where ``condition`` holds, per key.
 
-    A run is named by the last row before it that broke the condition, so runs
-    form by a partial aggregation. Returns keys, run_start, run_end (values of
-    ``order[0]``), run_length and first_row, last_row (structs of ``order``).
+    A run is named by the number of rows before it that broke the condition, so
+    runs form by a partial hash aggregation. Returns keys, run_start, run_end
+    (values of ``order[0]``) and run_length; ``bounds`` adds first_row and
+    last_row (structs of ``order``).
     """
-    breaker = F.when(~F.coalesce(condition, F.lit(False)), F.struct(*order))
+    holds = F.coalesce(condition, F.lit(False))
     marked = running(
-        df.withColumn("_holds", F.coalesce(condition, F.lit(False))),
+        df.withColumn("_holds", holds),
         keys,
         order,
-        {"_island": Running("last", breaker)},
+        {"_island": Running("count", F.when(~F.col("_holds"), 1))},
         chunk,
         rows_per_chunk,
     )
+    extra = [F.min(F.struct(*order)).alias("first_row"), F.max(F.struct(*order)).alias("last_row")] if bounds else []
     return (
         marked.where("_holds")
         .groupBy(*keys, "_island")
@@ -251,8 +254,7 @@ def runs(
             F.min(order[0]).alias("run_start"),
             F.max(order[0]).alias("run_end"),
             F.count("*").alias("run_length"),
-            F.min(F.struct(*order)).alias("first_row"),
-            F.max(F.struct(*order)).alias("last_row"),
+            *extra,
         )
         .drop("_island")
     )

@@ -137,7 +137,7 @@ def heartbeat_step(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         before = state(batch_id - 1).select(F.col(key).alias("_k"), "open_start", "open_length")
-        found = runs(batch, [key], [ts, tie], F.expr(failed), **options)
+        found = runs(batch, [key], [ts, tie], F.expr(failed), bounds=True, **options)
         seen = batch.groupBy(key).agg(F.min(F.struct(ts, tie)).alias("_first"), F.max(F.struct(ts, tie)).alias("_last"))
         bounds = seen.join(before, F.col(key) == F.col("_k"), "full").select(
             F.coalesce(F.col(key), F.col("_k")).alias("_target"), "_first", "_last", "open_start", "open_length"
