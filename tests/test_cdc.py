@@ -127,6 +127,15 @@ def test_checkpoint_is_per_table(spark):
     assert sorted((r.table_name, r.last_scn, r.rows_applied) for r in moved.collect()) == [("a", 9, 3), ("b", 3, 1)]
 
 
+def test_replay_follows_the_dependency_order(spark):
+    ddl = "table_name string, id bigint, op string, a bigint, b string, seq struct<n: bigint>"
+    log = spark.createDataFrame([("kid", 1, "I", 1, "k", (2,)), ("mum", 1, "I", 2, "m", (1,)), ("kid", 1, "U", 3, "k", (3,))], ddl)
+    empty = spark.createDataFrame([], TARGET)
+    out = cdc.replay_tables({"kid": empty, "mum": empty}, log, {"kid": ["id"], "mum": ["id"]}, ["mum", "kid"])
+    assert list(out) == ["mum", "kid"]
+    assert rows(out["kid"]) == [(3, "k", 1)] and rows(out["mum"]) == [(2, "m", 1)]
+
+
 def test_history_and_sanity_with_hot_table(spark):
     log = spark.createDataFrame([("t", i, (i * 7) % 11, "U") for i in range(50)], "table_name string, n bigint, pos bigint, op string")
     small, big = (cdc.replay_sanity(log, "n", "pos", ["table_name"], rows_per_chunk=r).first() for r in (4, 10_000))

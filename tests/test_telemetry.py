@@ -88,6 +88,28 @@ def test_counter_reset(spark):
         assert [(r.delta, r.was_reset) for r in out] == [(None, False), (4, False), (0, False), (2, True), (4, False)]
 
 
+def test_null_placement(spark, sf):
+    from tidemark.plans.registry import load_all
+
+    out = [r.segment for r in load_all()["null_placement"].run(spark, sf).collect()]
+    filled = [s for s in out if s is not None]
+    assert filled == sorted(filled) and out == filled + [None] * (len(out) - len(filled)) and None in out
+
+
+def test_promotion_rank_with_a_hot_cluster(spark):
+    df = spark.createDataFrame([("c", (i * 7) % 50, f"r{i}") for i in range(50)], "cluster string, lag int, name string")
+    out = trends.promotion_rank(df, ["cluster"], F.col("lag") < 40, F.lit(True), "lag", "name", rows_per_chunk=6)
+    assert [(r.lag, r.promotion_rank) for r in out.orderBy("lag").collect()] == [(i, i + 1) for i in range(40)]
+
+
+def test_config_changes(spark):
+    ddl = "p string, v string"
+    before = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", "4")], ddl)
+    after = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", None), ("e", "5")], ddl)
+    out = trends.config_changes(before, after, "p", "v")
+    assert {r.p: r.change for r in out.collect()} == {"b": "CHANGED", "d": "REMOVED", "e": "ADDED"}
+
+
 def test_heartbeat_threshold(spark):
     states = [True, False, False, True, False, False, False, False]
     start = datetime(2024, 1, 1)

@@ -191,6 +191,14 @@ def replay_rank(tables: list[str]) -> Column:
     return label(F.col("table_name"), pairs, str(len(tables))).cast("int")
 
 
+def replay_tables(
+    targets: dict[str, DataFrame], log: DataFrame, keys: dict[str, list[str]], order: list[str]
+) -> dict[str, DataFrame]:
+    """New version of every target, parents before children; ``log`` holds full images of all tables."""
+    ranked = [t for t in order if t in targets] + [t for t in targets if t not in order]
+    return {t: apply_full(targets[t], log.where(F.col("table_name") == t), keys[t]) for t in ranked}
+
+
 def batch_tallies(marked: DataFrame, status: Column, by: list[str] | None = None) -> DataFrame:
     """Applied and failed changes per table."""
     return marked.groupBy(*(by or ["table_name"])).agg(

@@ -76,10 +76,32 @@ def schema_rows(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "position int, column_name string, data_type string, nullable boolean")
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """Type and number of filled rows of every column, in one pass."""
+    one = df.agg(*[
+        F.struct(
+            F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.count(F.col(f.name)).alias("filled"),
+        ).alias(f"_c{i}")
+        for i, f in enumerate(df.schema.fields)
+    ])
+    return one.select(F.inline(F.array(*[F.col(c) for c in one.columns])))
+
+
+def document_profile(df: DataFrame, fields: str) -> DataFrame:
+    """Field names and value kinds found in a map column of text values."""
+    seen = df.select(F.explode(fields).alias("column_name", "_v"))
+    number = F.coalesce(F.bool_and(F.col("_v").try_cast("double").isNotNull() | F.col("_v").isNull()), F.lit(True))
+    return seen.groupBy("column_name").agg(
+        F.when(number, "number").otherwise("text").alias("data_type"), F.count("*").alias("filled")
+    )
+
+
 def schema_drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """ADDED / REMOVED / RETYPED columns between two (column_name, data_type) tables."""
-    b = before.select("column_name", F.col("data_type").alias("old_type"))
-    a = after.select("column_name", F.col("data_type").alias("new_type"))
+    """ADDED / REMOVED / RETYPED columns between two (column_name, data_type, filled) tables."""
+    b = before.select("column_name", F.col("data_type").alias("old_type"), F.col("filled").alias("old_filled"))
+    a = after.select("column_name", F.col("data_type").alias("new_type"), F.col("filled").alias("new_filled"))
     change = (
         F.when(F.col("old_type").isNull(), "ADDED")
         .when(F.col("new_type").isNull(), "REMOVED")

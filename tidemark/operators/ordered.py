@@ -96,8 +96,9 @@ def running(
     chunk: Column | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
     probe: DataFrame | None = None,
+    reverse: bool = False,
 ) -> DataFrame:
-    """Add running values per key in the order of ``order``.
+    """Add running values per key in the order of ``order``, or against it with ``reverse``.
 
     ``order[0]`` must be numeric, a date or a timestamp; further columns break
     ties. ``chunk`` may give an expression, monotone in ``order``, that cuts the
@@ -108,7 +109,7 @@ def running(
     else:
         chunked = split_hot_keys(df, keys, order[0], rows_per_chunk, probe)
     parts = list(keys) if chunked is None else [*keys, _CHUNK]
-    window = Window.partitionBy(*parts).orderBy(*order)
+    window = Window.partitionBy(*parts).orderBy(*[F.desc(c) if reverse else F.asc(c) for c in order])
     frames = {
         True: window.rowsBetween(Window.unboundedPreceding, 0),
         False: window.rowsBetween(Window.unboundedPreceding, -1),
@@ -121,13 +122,15 @@ def running(
         return _fill_counts(local, values)
 
     ordering = F.struct(*order)
+    newest = F.min_by if reverse else F.max_by
     totals = chunked.groupBy(*parts).agg(*[
         (
-            F.max_by(v.value, F.when(v.value.isNotNull(), ordering)) if v.kind == "last" else _aggregate(v.kind, v.value)
+            newest(v.value, F.when(v.value.isNotNull(), ordering)) if v.kind == "last" else _aggregate(v.kind, v.value)
         ).alias(f"_t_{n}")
         for n, v in values.items()
     ])
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = F.desc(_CHUNK) if reverse else F.asc(_CHUNK)
+    before = Window.partitionBy(*keys).orderBy(chunks).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *[F.col(p).alias(f"_k_{p}") for p in parts],
         *[
@@ -167,10 +170,11 @@ def previous(
     columns: dict[str, str],
     chunk: Column | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    reverse: bool = False,
 ) -> DataFrame:
     """``lag(column, 1)`` per key; ``columns`` maps new name to source column."""
     boxed = {"_prev": Running("last", F.struct(*[F.col(c) for c in dict.fromkeys(columns.values())]), inclusive=False)}
-    out = running(df, keys, order, boxed, chunk, rows_per_chunk)
+    out = running(df, keys, order, boxed, chunk, rows_per_chunk, reverse=reverse)
     return out.withColumns({new: F.col("_prev")[old] for new, old in columns.items()}).drop("_prev")
 
 
@@ -181,10 +185,8 @@ def following(
     columns: dict[str, str],
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """``lead(column, 1)`` per key: ``previous`` over the mirrored order."""
-    mirrored = {f"_m{i}": -order_number(df, c) for i, c in enumerate(order)}
-    out = previous(df.withColumns(mirrored), keys, list(mirrored), columns, rows_per_chunk=rows_per_chunk)
-    return out.drop(*mirrored)
+    """``lead(column, 1)`` per key: ``previous`` against the order."""
+    return previous(df, keys, order, columns, rows_per_chunk=rows_per_chunk, reverse=True)
 
 
 def exact_percentiles(

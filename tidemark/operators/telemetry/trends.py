@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import epoch_micros, exact_mean, ratio_or_null
-from tidemark.operators.ordered import ROWS_PER_CHUNK, exact_percentiles, previous, runs
+from tidemark.operators.ordered import ROWS_PER_CHUNK, Running, exact_percentiles, previous, running, runs
 
 FORECAST_DAYS = (30, 90, 180)
 
@@ -117,6 +117,17 @@ def config_drift(df: DataFrame, parameter: str, value: str) -> DataFrame:
     return grouped.where(F.col("distinct_values") > 1)
 
 
+def config_changes(before: DataFrame, after: DataFrame, parameter: str, value: str) -> DataFrame:
+    """Parameters added, removed or set to another value between two snapshots or hosts."""
+    b = before.select(parameter, F.col(value).alias("old_value"), F.lit(True).alias("_b"))
+    a = after.select(parameter, F.col(value).alias("new_value"), F.lit(True).alias("_a"))
+    change = F.when(F.col("_b").isNull(), "ADDED").when(F.col("_a").isNull(), "REMOVED").when(
+        ~F.col("old_value").eqNullSafe(F.col("new_value")), "CHANGED"
+    )
+    joined = b.join(a, parameter, "full").withColumn("change", change)
+    return joined.where(F.col("change").isNotNull()).drop("_a", "_b")
+
+
 def replica_lag(df: DataFrame, by: list[str], ts: str, as_of: str, warn: int = 10, critical: int = 60) -> DataFrame:
     """Seconds since the newest applied change per replica."""
     newest = df.groupBy(*by).agg(F.max(ts).alias("last_applied"))
@@ -136,10 +147,18 @@ def last_by(df: DataFrame, keys: list[str], sequence: str, value: str, out: str)
     )
 
 
-def promotion_rank(replicas: DataFrame, cluster: list[str], healthy: Column, same_version: Column, lag: str, name: str) -> DataFrame:
+def promotion_rank(
+    replicas: DataFrame,
+    cluster: list[str],
+    healthy: Column,
+    same_version: Column,
+    lag: str,
+    name: str,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
     """Healthy replicas of the same major version, lowest lag first."""
-    window = Window.partitionBy(*cluster).orderBy(lag, name)
-    return replicas.where(healthy & same_version).withColumn("promotion_rank", F.row_number().over(window))
+    fit = replicas.where(healthy & same_version)
+    return running(fit, cluster, [lag, name], {"promotion_rank": Running("count", F.lit(1))}, rows_per_chunk=rows_per_chunk)
 
 
 def capacity_forecast(

@@ -207,13 +207,13 @@ def recon_month_segments(spark: SparkSession, d: str) -> DataFrame:
     "change_log",
     """side AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, op, count(*) AS n FROM change_log GROUP BY 1, 2),
        kept AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, op, count(*) AS n FROM change_log
-                WHERE NOT (op = 'D' AND event_id % 7 = 0) GROUP BY 1, 2)
+                WHERE NOT (op = 'D' AND amount > 100) GROUP BY 1, 2)
        SELECT day, op, coalesce(side.n, 0) AS source_ops, coalesce(kept.n, 0) AS target_ops,
               coalesce(kept.n, 0) - coalesce(side.n, 0) AS delta FROM side FULL JOIN kept USING (day, op)""",
 )
 def operation_parity(spark: SparkSession, d: str) -> DataFrame:
     log = change_log(spark, d).withColumn("day", F.to_date("ts"))
-    replayed = log.where(~((F.col("op") == "D") & (F.col("event_id") % 7 == 0)))
+    replayed = log.where(~((F.col("op") == "D") & (F.col("amount") > 100)))
     return cdc.operation_parity(log, replayed, ["day", "op"])
 
 
@@ -438,15 +438,41 @@ def object_parity(spark: SparkSession, d: str) -> DataFrame:
     "schema_parity",
     "R14 Q3 R13",
     "",
-    """SELECT 'l_discount' AS column_name, 'double' AS old_type, CAST(NULL AS VARCHAR) AS new_type, 'REMOVED' AS change
-       UNION ALL SELECT 'l_linenumber', 'int', 'bigint', 'RETYPED'
-       UNION ALL SELECT 'l_note', NULL, 'string', 'ADDED'""",
+    """n AS (SELECT count(l_discount) AS a, count(l_linenumber) AS b, count(nullif(l_returnflag, 'A')) AS c FROM lineitem)
+       SELECT 'l_discount' AS column_name, 'double' AS old_type, CAST(NULL AS VARCHAR) AS new_type, a AS old_filled, CAST(NULL AS BIGINT) AS new_filled, 'REMOVED' AS change FROM n
+       UNION ALL SELECT 'l_linenumber', 'int', 'bigint', b, b, 'RETYPED' FROM n
+       UNION ALL SELECT 'l_note', NULL, 'string', NULL, c, 'ADDED' FROM n""",
 )
 def schema_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Column drift with the number of filled rows behind each column."""
     lines = table(spark, d, "lineitem")
     changed = lines.drop("l_discount").withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
-    changed = changed.withColumn("l_note", F.col("l_returnflag"))
-    return integrity.schema_drift(integrity.schema_rows(lines), integrity.schema_rows(changed))
+    changed = changed.withColumn("l_note", F.nullif(F.col("l_returnflag"), F.lit("A")))
+    return integrity.schema_drift(integrity.column_profile(lines), integrity.column_profile(changed))
+
+
+@plan(
+    "document_schema_drift",
+    "Q3 R14",
+    "",
+    """k AS (SELECT ts, unnest(json_keys(props)) AS column_name, props FROM events),
+       b AS (SELECT column_name, 'number' AS t, count(*) AS n FROM k WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+       a AS (SELECT column_name, 'text' AS t, count(*) AS n FROM k WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1
+             UNION ALL SELECT 'kind', 'text', count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+       SELECT column_name, b.t AS old_type, a.t AS new_type, b.n AS old_filled, a.n AS new_filled,
+              CASE WHEN b.t IS NULL THEN 'ADDED' WHEN a.t IS NULL THEN 'REMOVED' ELSE 'RETYPED' END AS change
+       FROM b FULL JOIN a USING (column_name) WHERE a.t IS DISTINCT FROM b.t""",
+)
+def document_schema_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Fields and value kinds seen in JSON documents before and after a date; later ones gain a field and quote their values."""
+    events = table(spark, d, "events").withColumn("m", F.from_json("props", "map<string,string>"))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    quoted = F.transform_values("m", lambda _, v: F.concat(F.lit("#"), v))
+    later = F.map_concat(quoted, F.create_map(F.lit("kind"), F.col("event_type")))
+    return integrity.schema_drift(
+        integrity.document_profile(events.where(early), "m"),
+        integrity.document_profile(events.where(~early).withColumn("m", later), "m"),
+    )
 
 
 @plan(

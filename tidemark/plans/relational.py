@@ -167,11 +167,11 @@ def scalar_subqueries(spark: SparkSession, d: str) -> DataFrame:
     "null_placement",
     "K3",
     "",
-    """SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer ORDER BY segment ASC NULLS LAST, c_custkey DESC LIMIT 400""",
+    """SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer ORDER BY segment ASC NULLS LAST, c_custkey DESC""",
 )
 def null_placement(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "customer").select("c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment"))
-    return named.orderBy(F.col("segment").asc_nulls_last(), F.desc("c_custkey")).limit(400)
+    return named.orderBy(F.col("segment").asc_nulls_last(), F.desc("c_custkey"))
 
 
 @plan(

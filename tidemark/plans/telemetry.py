@@ -708,15 +708,15 @@ def standby_gap(spark: SparkSession, d: str) -> DataFrame:
     "promotion_rank",
     "T56 W1",
     "",
-    """SELECT s_nationkey, s_name, s_acctbal, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_name) AS INTEGER) AS promotion_rank
-       FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 10 <> 3""",
+    """SELECT s_nationkey, s_name, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_name) AS promotion_rank
+       FROM supplier WHERE s_acctbal > 0 AND s_name NOT LIKE '%3'""",
 )
 def promotion_rank(spark: SparkSession, d: str) -> DataFrame:
     ranked = trends.promotion_rank(
         table(spark, d, "supplier"),
         ["s_nationkey"],
         F.col("s_acctbal") > 0,
-        F.col("s_suppkey") % 10 != 3,
+        ~F.col("s_name").like("%3"),
         "s_acctbal",
         "s_name",
     )
@@ -836,6 +836,24 @@ def config_drift(spark: SparkSession, d: str) -> DataFrame:
     return trends.config_drift(table(spark, d, "part"), "p_name", "p_type")
 
 
+@plan(
+    "config_changes",
+    "T51",
+    "",
+    """b AS (SELECT user_id, max_by(event_type, (ts, event_id)) AS v FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1),
+       a AS (SELECT user_id, max_by(event_type, (ts, event_id)) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1)
+       SELECT user_id, b.v AS old_value, a.v AS new_value, CASE WHEN b.v IS NULL THEN 'ADDED' WHEN a.v IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change
+       FROM b FULL JOIN a USING (user_id) WHERE a.v IS DISTINCT FROM b.v""",
+)
+def config_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The last setting per parameter in two snapshots, at the start and the end of the month."""
+    newest = F.max_by("event_type", F.struct("ts", "event_id")).alias("value")
+    events = table(spark, d, "events")
+    before = events.where("ts < TIMESTAMP_NTZ '2024-01-03'").groupBy("user_id").agg(newest)
+    after = events.where("ts >= TIMESTAMP_NTZ '2024-01-29'").groupBy("user_id").agg(newest)
+    return trends.config_changes(before, after, "user_id", "value")
+
+
 @plan(
     "resource_panels",
     "T52 A6 K2",

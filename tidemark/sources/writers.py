@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -97,17 +98,25 @@ def convert_csv(
 
 
 def convert_all(
-    spark: SparkSession, tables: dict[str, str], out_dir: str, schemas: dict[str, str] | None = None, **options
+    spark: SparkSession,
+    tables: dict[str, str],
+    out_dir: str,
+    schemas: dict[str, str] | None = None,
+    at_once: int = 8,
+    **options,
 ) -> DataFrame:
-    """Convert many tables (name -> CSV path). A failing table is reported and the rest go on."""
-    results = []
-    for name, path in tables.items():
+    """Convert many tables (name -> CSV path), several jobs at once. A failing table is reported and the rest go on."""
+
+    def convert(name: str) -> tuple:
         out_path = os.path.join(out_dir, name)
         try:
-            rows = convert_csv(spark, path, out_path, (schemas or {}).get(name), **options)
-            results.append((name, True, rows, out_path, None))
+            rows = convert_csv(spark, tables[name], out_path, (schemas or {}).get(name), **options)
+            return name, True, rows, out_path, None
         except Exception as error:
-            results.append((name, False, 0, out_path, type(error).__name__))
+            return name, False, 0, out_path, type(error).__name__
+
+    with ThreadPoolExecutor(at_once) as pool:
+        results = list(pool.map(convert, tables))
     return spark.createDataFrame(results, "table_name string, ok boolean, rows bigint, path string, error string")
 
 
