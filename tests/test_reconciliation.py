@@ -129,6 +129,8 @@ def test_diff_and_repair(spark, seed):
     }
     got = {r.k: r.status for r in diff.key_status(a, b, ["k"], ["v", "w"]).collect()}
     assert got == want
+    joined = diff.key_status(a, b, ["k"], ["v", "w"], unique_keys=True)
+    assert rows(joined) == rows(diff.key_status(a, b, ["k"], ["v", "w"]))
     columns = {r.k: r.changed_columns for r in diff.changed_columns(a, b, ["k"], ["v", "w"]).collect()}
     assert columns == {
         k: ",".join(c for c, x, y in zip("vw", sm[k], tm[k]) if x != y) for k, st in want.items() if st == "CHANGED"

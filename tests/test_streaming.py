@@ -69,6 +69,21 @@ def test_restart_from_position(spark, tmp_path):
     assert [r[0] for r in rows(store.current())] == [7, 8, 9]
 
 
+def test_polling(spark, tmp_path):
+    landing, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    land(landing, ["one"], "a.txt")
+    query = flows.start_batches(
+        flows.line_stream(spark, landing), flows.upsert_sink(sink), str(tmp_path / "cp"), every="1 second"
+    )
+    try:
+        query.processAllAvailable()
+        land(landing, ["two", "three"], "b.txt")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r.value for r in spark.read.parquet(sink).collect()) == ["one", "three", "two"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(2)
     log = [(rng.randrange(20), rng.choice("IUUD"), rng.randrange(9), n) for n in range(200)]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tidemark.operators import quality
+from tidemark.operators import alerts, quality
 from tidemark.operators.telemetry import blocking, report_text, storage, trends, waits
 
 
@@ -88,6 +88,24 @@ def test_counter_reset(spark):
         assert [(r.delta, r.was_reset) for r in out] == [(None, False), (4, False), (0, False), (2, True), (4, False)]
 
 
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_alerts_must_hold(spark, limit):
+    start = datetime(2024, 1, 1)
+    p95 = [50, 110, 120, 130, 90, 110, None, 110, 80, 80, 80]
+    data = [("h", start + timedelta(minutes=i), float(v) if v else None, 90.0) for i, v in enumerate(p95)]
+    df = spark.createDataFrame(data, "host string, ts timestamp_ntz, p95_ms double, cpu_pct double")
+    wanted = {"DatabaseLatencyBreach", "DatabaseLatencyWarning", "CpuWithSlowQueries", "DatabaseCPUSaturation"}
+    rules = tuple(r for r in alerts.STANDARD_RULES if r.name in wanted)
+    out = alerts.fire(df, ["host"], "ts", rules, rows_per_chunk=limit)
+    got = sorted((r.alert, r.run_start.minute, r.run_end.minute, r.severity, r.page_after_minutes) for r in out.collect())
+    assert got == [
+        ("DatabaseCPUSaturation", 0, 10, "Sev-2", 5),
+        ("DatabaseLatencyBreach", 1, 3, "Sev-1", 0),
+        ("DatabaseLatencyWarning", 1, 5, "Sev-2", 5),
+        ("DatabaseLatencyWarning", 7, 10, "Sev-2", 5),
+    ]
+
+
 def test_null_placement(spark, sf):
     from tidemark.plans.registry import load_all
 

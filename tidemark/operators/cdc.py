@@ -115,15 +115,22 @@ def conflicts(
 ) -> DataFrame:
     """Mark each change against the state it meets.
 
-    A key exists before a change if its last insert or delete before was an
-    insert, or, without one, if the target held it.
+    The target's keys join the log as inserts before its first position, so one
+    scan per key answers whether the key exists: its last insert or delete
+    before a change was an insert.
     """
+    given = target.select(*keys, F.lit("I").alias("op"), F.lit(True).alias("_given"))
     births = F.when(F.col("op").isin("I", "D"), F.col("op"))
-    marked = running(log, keys, order, {"_last": Running("last", births, inclusive=False)}, rows_per_chunk=rows_per_chunk)
-    held = target.select(*keys).distinct().withColumn("_held", F.lit(True))
-    joined = marked.join(held, keys, "left")
-    exists = F.when(F.col("_last").isNotNull(), F.col("_last") == "I").otherwise(F.coalesce("_held", F.lit(False)))
-    return joined.withColumn(
+    marked = running(
+        log.withColumn("_given", F.lit(False)).unionByName(given, allowMissingColumns=True),
+        keys,
+        order,
+        {"_last": Running("last", births, inclusive=False)},
+        rows_per_chunk=rows_per_chunk,
+        probe=log,
+    ).where(~F.col("_given"))
+    exists = F.coalesce(F.col("_last") == "I", F.lit(False))
+    return marked.withColumn(
         "conflict",
         label(
             exists,
@@ -134,7 +141,7 @@ def conflicts(
             ],
             "NONE",
         ),
-    ).drop("_last", "_held")
+    ).drop("_last", "_given")
 
 
 def resolve_conflicts(marked: DataFrame, duplicate_insert: str = "UPSERT", missing_row: str = "SKIP") -> DataFrame:

@@ -20,8 +20,16 @@ LIMBS = ("_l0", "_l1", "_l2")
 MISSING, EXTRA, CHANGED, SAME, DUPLICATE = "MISSING", "EXTRA", "CHANGED", "SAME", "DUPLICATE"
 
 
-def key_status(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Per key: source_rows, target_rows and status. Map-side combined, so a hot key is small."""
+def key_status(
+    source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], unique_keys: bool = False
+) -> DataFrame:
+    """Per key: source_rows, target_rows and status. Map-side combined, so a hot key is small.
+
+    With ``unique_keys``, for keys already found unique and not null on both
+    sides, a join of the fingerprints does the same at about half the cost.
+    """
+    if unique_keys:
+        return _status_by_join(source, target, keys, columns)
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         limbs = fingerprint(df, columns)
@@ -49,6 +57,20 @@ def key_status(source: DataFrame, target: DataFrame, keys: list[str], columns: l
     return per_key.select(*keys, "source_rows", "target_rows", status.alias("status"))
 
 
+def _status_by_join(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.struct(*fingerprint(df, columns)).alias(name))
+
+    joined = side(source, "_s").join(side(target, "_t"), keys, "full")
+    held_s, held_t = F.col("_s").isNotNull(), F.col("_t").isNotNull()
+    status = (
+        F.when(~held_t, MISSING).when(~held_s, EXTRA).when(F.col("_s") == F.col("_t"), SAME).otherwise(CHANGED)
+    )
+    return joined.select(
+        *keys, held_s.cast("bigint").alias("source_rows"), held_t.cast("bigint").alias("target_rows"), status.alias("status")
+    )
+
+
 def _all_zero(names: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c) == 0 for c in names])
 

@@ -69,13 +69,6 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.unpivot([], list(rules), "rule", "violations")
 
 
-def schema_rows(df: DataFrame) -> DataFrame:
-    """Schema of a DataFrame as rows (position, column_name, data_type, nullable)."""
-    spark = df.sparkSession
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "position int, column_name string, data_type string, nullable boolean")
-
-
 def column_profile(df: DataFrame) -> DataFrame:
     """Type and number of filled rows of every column, in one pass."""
     one = df.agg(*[

@@ -46,14 +46,14 @@ def split_hot_keys(
     rows_per_chunk: int = ROWS_PER_CHUNK,
     probe: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Add a chunk number, monotone in ``order``, to the rows of hot keys.
+    """Add a chunk number, monotone in ``order``, to the rows of hot keys; other rows get null.
 
     Returns None when no key is hot. The cut points are approximate quantiles,
     computed by partial aggregation over the hot keys only; a key gets about
     one cut per ``rows_per_chunk`` rows, so the table of cuts is smaller than
     the data by that factor. It is written out, so that the joins with it are
-    chosen by its true size. ``probe`` may give a cheaper table with at least as
-    many rows per key to look for hot keys in.
+    chosen by its true size. ``probe`` may give a cheaper table, with the same keys
+    and order and about as many rows per key, to measure hot keys and cuts on.
     """
     counted = df if probe is None else probe
     sizes = counted.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk)
@@ -62,11 +62,11 @@ def split_hot_keys(
     hot = materialize(_renamed(sizes, keys, "_h_"))
     quantiles = F.array(*[F.lit((i + 1) / (MAX_CUTS + 1)) for i in range(MAX_CUTS)])
     cuts = (
-        df.join(hot, _same(keys, "_h_"), "left_semi")
+        counted.join(hot, _same(keys, "_h_"), "left_semi")
         .groupBy(*keys)
         .agg(
             F.count("*").alias("_n"),
-            F.percentile_approx(order_number(df, order), quantiles, F.lit(20_000)).alias("_q"),
+            F.percentile_approx(order_number(counted, order), quantiles, F.lit(20_000)).alias("_q"),
         )
         .withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(float(MAX_CUTS * rows_per_chunk)) / F.col("_n")).cast("int")))
         .withColumn("_cuts", F.array_distinct(F.filter("_q", lambda q, i: i % F.col("_step") == 0)))
@@ -74,7 +74,7 @@ def split_hot_keys(
     cuts = materialize(_renamed(cuts, keys, "_h_", ["_cuts"]))
     passed = F.size(F.filter("_cuts", lambda c: c < order_number(df, order)))
     joined = df.join(cuts, _same(keys, "_h_"), "left")
-    return joined.select(*df.columns, F.when(F.col("_cuts").isNull(), 0).otherwise(passed).alias(_CHUNK))
+    return joined.select(*df.columns, F.when(F.col("_cuts").isNotNull(), passed).alias(_CHUNK))
 
 
 def _renamed(df: DataFrame, keys: list[str], prefix: str, extra: list[str] | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def running(
 
     ordering = F.struct(*order)
     newest = F.min_by if reverse else F.max_by
-    totals = chunked.groupBy(*parts).agg(*[
+    totals = chunked.where(F.col(_CHUNK).isNotNull()).groupBy(*parts).agg(*[
         (
             newest(v.value, F.when(v.value.isNotNull(), ordering)) if v.kind == "last" else _aggregate(v.kind, v.value)
         ).alias(f"_t_{n}")
@@ -138,6 +138,8 @@ def running(
             for n, v in values.items()
         ],
     )
+    # One row per chunk of a hot key: written out, so the join sees how small it is.
+    carried = materialize(carried)
     joined = local.join(carried, _same(parts, "_k_"), "left")
     combined = joined.select(
         *[F.col(c) for c in df.columns],

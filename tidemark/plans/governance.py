@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio_or_null
-from tidemark.operators import quality
+from tidemark.operators import alerts, quality
 from tidemark.operators.ordered import exact_percentiles
 from tidemark.operators.rules import Rule, detect, evaluate
 from tidemark.operators.telemetry import report_text
@@ -288,6 +288,41 @@ def alert_rules(spark: SparkSession, d: str) -> DataFrame:
     return fired.withColumn("page_after_minutes", F.when(F.col("severity") == "SEV1", 0).otherwise(5))
 
 
+def _held_sql(alert: str, condition: str, seconds: int, severity: str, page: int) -> str:
+    """Oracle text of one rule: islands of rows where the condition holds."""
+    return f"""SELECT user_id, '{alert}' AS alert, min(day) AS run_start, max(day) AS run_end, count(*) AS run_length,
+                   date_sub('second', min(day), max(day)) AS held_seconds, '{severity}' AS severity, {page} AS page_after_minutes
+            FROM (SELECT *, count(*) FILTER (WHERE NOT coalesce({condition}, false)) OVER (PARTITION BY user_id ORDER BY day) AS island FROM m)
+            WHERE {condition} GROUP BY user_id, island HAVING date_sub('second', min(day), max(day)) >= {seconds}"""
+
+
+HELD_RULES = (
+    alerts.AlertRule("SLOW", "peak > 100", 86_400, "Sev-1"),
+    alerts.AlertRule("ERRORS", "error_ratio > 0.3", 86_400, "Sev-2"),
+    alerts.AlertRule("BUSY_AND_SLOW", "n > 2 AND peak > 60", 172_800, "Sev-1"),
+    alerts.AlertRule("QUIET", "n < 2", 0, "Sev-3"),
+)
+
+
+@plan(
+    "alert_for_duration",
+    "X7 W5",
+    "",
+    """m AS (SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, max(value) AS peak, CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) / count(*) AS error_ratio
+             FROM events GROUP BY 1, 2) """
+    + " UNION ALL ".join(
+        _held_sql(r.name, r.condition, r.for_seconds, r.severity, alerts.PAGE_MINUTES[r.severity]) for r in HELD_RULES
+    ),
+)
+def alert_for_duration(spark: SparkSession, d: str) -> DataFrame:
+    daily = table(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("timestamp_ntz").alias("day")).agg(
+        F.count("*").alias("n"),
+        F.max("value").alias("peak"),
+        ratio_or_null(F.count_if(F.col("event_type") == "error"), F.count("*")).alias("error_ratio"),
+    )
+    return alerts.fire(daily, ["user_id"], "day", HELD_RULES)
+
+
 @plan(
     "error_rate_alert",
     "X9 X7",

@@ -132,7 +132,9 @@ def heartbeat_step(
     def state(batch_id: int) -> DataFrame:
         try:
             return spark.read.schema(state_schema).parquet(os.path.join(root, "state", f"batch_id={batch_id}"))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return spark.createDataFrame([], state_schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:

@@ -37,7 +37,9 @@ class ChangeStore:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(f"{schema}, batch_id bigint").parquet(self._path(name))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], f"{schema}, batch_id bigint")
 
     def seed(self, df: DataFrame) -> None:
