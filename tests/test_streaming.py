@@ -54,7 +54,14 @@ def test_change_stream(spark, tmp_path):
     step(spark.createDataFrame([(change(5, 1, "U", 50),), (change(6, 2, "D", None),)], "value string"), 0)
     assert rows(store.current()) == want
     store.compact(2)
-    assert store.base_batch() == 2 and rows(store.current()) == want and rows(store.base()) == want
+    assert store.base_batch() == 2 and rows(store.current()) == want
+    assert sorted((r.id, r.op) for r in store.base().collect()) == [(1, "U"), (2, "D"), (3, "I"), (4, "I")]
+    # changes older than what the base has seen arrive after the compaction
+    land(landing, [change(2, 1, "U", 11), change(3, 2, "I", 21)], "d.json")
+    run()
+    assert rows(store.current()) == want
+    store.compact(3, forget="seq.n < 7")
+    assert rows(store.current()) == want and [r.id for r in store.base().where("op = 'D'").collect()] == []
     # nothing new: a restart on the same checkpoint applies nothing
     run()
     assert rows(store.current()) == want

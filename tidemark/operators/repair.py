@@ -17,7 +17,7 @@ def insert_missing(source: DataFrame, target: DataFrame, scope: DataFrame, keys:
 
 def delete_extra(source: DataFrame, target: DataFrame, scope: DataFrame, keys: list[str]) -> DataFrame:
     """Drop scoped target rows whose key is not in the source."""
-    doomed = scope.select(*keys).distinct().join(source.select(*keys), keys, "left_anti")
+    doomed = scope.select(*keys).join(source.select(*keys), keys, "left_anti")
     return target.join(doomed, keys, "left_anti")
 
 

@@ -84,7 +84,7 @@ def fan_out_counts(runs: DataFrame, jobs: DataFrame, steps: DataFrame, members:
 def expanded(runs: DataFrame, jobs: DataFrame, steps: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct (run, target): the target side is made distinct per job before runs fan out."""
     per_job = steps.join(members, "target_group_id", "left").select("job_id", *columns).distinct()
-    return runs.dropDuplicates(["job_execution_id"]).join(jobs, "job_id").join(per_job, "job_id", "left")
+    return runs.distinct().join(jobs, "job_id").join(per_job, "job_id", "left")
 
 
 def sla_breaches(runs: DataFrame, jobs: DataFrame, minutes: int = SLA_MINUTES) -> DataFrame:

@@ -4,8 +4,9 @@ Every micro-batch writes its valid changes, malformed lines and positions below
 ``batch_id=N`` and overwrites that directory when the batch is replayed, so a
 retried batch changes nothing. The current state folds the changes over the
 newest base version. ``compact`` writes a new base and then one manifest row;
-a base without a manifest row is ignored. Work per batch grows with the batch,
-not with the target.
+a base without a manifest row is ignored. A base keeps the last change of every
+key with its position, deletes included, so a change that arrives late can
+never undo a newer one. Work per batch grows with the batch, not with the target.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import cdc
 
@@ -43,8 +45,16 @@ class ChangeStore:
             return self.spark.createDataFrame([], f"{schema}, batch_id bigint")
 
     def seed(self, df: DataFrame) -> None:
-        """Write the first base version, before any batch."""
-        self._publish(df, -1)
+        """Write the first base version, before any batch; its rows precede every position."""
+        kind = self._log_type("seq")
+        lowest = F.from_json(F.lit("{}"), kind)
+        self._publish(df.withColumn("op", F.lit("I")).withColumn("seq", lowest).select(*self._log_names()), -1)
+
+    def _log_names(self) -> list[str]:
+        return T.StructType.fromDDL(self.log_schema).names
+
+    def _log_type(self, name: str) -> T.DataType:
+        return T.StructType.fromDDL(self.log_schema)[name].dataType
 
     def append(self, changes: DataFrame, batch_id: int) -> None:
         changes.write.mode("overwrite").parquet(self._path("changes", batch_id))
@@ -76,20 +86,35 @@ class ChangeStore:
         return -2 if newest is None else newest
 
     def base(self) -> DataFrame:
+        """Last change per key of the newest published base."""
         newest = self.base_batch()
         if newest == -2:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path("base", newest))
+            return self.spark.createDataFrame([], self.log_schema)
+        return self.spark.read.schema(self.log_schema).parquet(self._path("base", newest))
 
-    def current(self) -> DataFrame:
-        """Base with all later changes applied; order of arrival does not matter."""
+    def _folded(self, upto: int | None = None) -> DataFrame:
         later = self.changes().where(F.col("batch_id") > self.base_batch())
-        return cdc.apply_full(self.base(), later, list(self.keys))
+        if upto is not None:
+            later = later.where(F.col("batch_id") <= upto)
+        both = self.base().unionByName(later.drop("batch_id"))
+        values = [c for c in self._log_names() if c not in (*self.keys, "op", "seq")]
+        return cdc.net_changes(both, list(self.keys), values).select(*self._log_names())
 
-    def compact(self, upto: int) -> None:
-        """Fold batches up to ``upto`` into a new base. Compact only batches no late change can precede."""
-        later = self.changes().where((F.col("batch_id") > self.base_batch()) & (F.col("batch_id") <= upto))
-        self._publish(cdc.apply_full(self.base(), later, list(self.keys)), upto)
+    def current(self) -> DataFrame:
+        """Base and all later changes folded by position; order of arrival does not matter."""
+        names = T.StructType.fromDDL(self.schema).names
+        return self._folded().where(F.col("op") != "D").select(*names)
+
+    def compact(self, upto: int, forget: str | None = None) -> None:
+        """Fold batches up to ``upto`` into a new base.
+
+        ``forget`` is a SQL condition on ``seq``: deletes that meet it are
+        dropped for good. Let it name positions that no late change can precede.
+        """
+        net = self._folded(upto)
+        if forget:
+            net = net.where(~((F.col("op") == "D") & F.coalesce(F.expr(forget), F.lit(False))))
+        self._publish(net, upto)
 
     def _publish(self, df: DataFrame, upto: int) -> None:
         df.write.mode("overwrite").parquet(self._path("base", upto))
