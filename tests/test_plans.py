@@ -49,7 +49,7 @@ def test_row_diff_shuffles_narrow_rows(spark, sf):
 
 
 def test_latest_row_is_limited_before_the_shuffle(spark, sf):
-    for name in ("job_latest", "top_statements_stacked"):
+    for name in ("job_latest", "top_statements_stacked", "cdc_net", "cdc_apply"):
         assert "WindowGroupLimit" in text(ENTRIES[name].run(spark, sf))
 
 

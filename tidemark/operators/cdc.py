@@ -8,7 +8,7 @@ key that owns a third of the log is reduced before it is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label
@@ -50,9 +50,14 @@ def dedupe(df: DataFrame, identity: list[str]) -> DataFrame:
 
 
 def net_changes(log: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Last change per key."""
-    row = F.max_by(F.struct("op", *columns), F.col("seq"))
-    return log.groupBy(*keys).agg(row.alias("_r"), F.max("seq").alias("seq")).select(*keys, "_r.*", "seq")
+    """Last change per key.
+
+    The rank limit keeps one row per key and task before the shuffle, so a hot
+    key sends no more rows than there are tasks.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))
+    last = log.select(*keys, "op", *columns, "seq").withColumn("_rank", rank)
+    return last.where(F.col("_rank") == 1).drop("_rank")
 
 
 def apply_full(target: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
