@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.textbits import map_batches
+
 #: The word pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 400_000
@@ -264,7 +266,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, counts.size).columns, ids], [*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, `{out}` array<int>")
+    return map_batches(base, run, f"{fields}, `{out}` array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -281,7 +283,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, `{out}` string")
+    return map_batches(base, run, f"{fields}, `{out}` string")
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,4 +311,4 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema)
+    return map_batches(docs.select(f"`{id_col}`", f"`{text_col}`"), run, schema)

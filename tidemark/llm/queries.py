@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, perplexity, secrets
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -21,3 +22,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
+
+
+def _of_kind(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query("op4_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(documents(spark, sf_dir), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[_of_kind(k) for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op9_perplexity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(documents(spark, sf_dir), keep=["doc_id", "lang"])
+    return judged.drop("lang")

@@ -7,11 +7,18 @@ memory: every text is whole in its chunk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+import tidemark
 
 CHUNK = 1 << 20
 _PIECE = 1 << 19
@@ -131,3 +138,59 @@ def owners(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def code_points(buf: np.ndarray) -> np.ndarray:
     """1 where a byte begins a code point."""
     return (buf & 0xC0) != 0x80
+
+
+def to_points(text: bytes, positions: list[int]) -> list[int]:
+    """Code-point positions of ascending byte positions."""
+    if len(text) == 0 or text.isascii():
+        return positions
+    out, at, points = [], 0, 0
+    for p in positions:
+        points += len(text[at:p].decode("utf-8", "replace"))
+        out.append(points)
+        at = p
+    return out
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(tidemark.__file__).parent
+    path = os.path.join(tempfile.mkdtemp(), "tidemark.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow``, with this package present on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def extend(df: DataFrame, text_col: str, fields: dict[str, tuple[str, pa.DataType]], run: Callable) -> DataFrame:
+    """``df`` with more columns, computed from its texts batch by batch.
+
+    ``run(texts)`` takes the UTF-8 texts of a batch (None for null) and returns
+    one sequence per new column. A column of ``df`` with the name of a new one
+    is replaced; all others pass through unchanged.
+    """
+    base = df.select(*[f"`{c}`" for c in df.columns if c not in fields])
+    names, kinds = [*base.columns, *fields], [k for _, k in fields.values()]
+    at = base.columns.index(text_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"`{n}` {d}" for n, (d, _) in fields.items())])
+
+    def apply(batches):
+        for batch in batches:
+            new = run(binary(batch.column(at)))
+            made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(new, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
+
+    return map_batches(base, apply, schema)
