@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, perplexity, secrets
+from tidemark.llm import bpe, jaccard_join, perplexity, secrets
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -43,3 +43,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = perplexity.judge(documents(spark, sf_dir), keep=["doc_id", "lang"])
     return judged.drop("lang")
+
+
+@query("op1_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir)).drop("class")
