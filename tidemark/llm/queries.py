@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard_join, perplexity, secrets
+from tidemark.llm import bpe, jaccard_join, perplexity, pii, secrets
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -48,3 +48,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).drop("class")
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[_of_kind(k) for k in pii.KINDS],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
