@@ -199,8 +199,8 @@ def train(scanned: DataFrame, nodes: str = "nodes") -> Potentials:
             agree[r["a"] == r["b"]] += r["n"]
     follow /= follow.sum()
     transition = np.log(follow / np.outer(follow.sum(1), follow.sum(0)))
-    # at least e**3, so that a tie of values counts where no repeated base match was seen
-    return Potentials(emission, np.clip(transition, -1.0, 1.0), max(3.0, float(np.log(agree[1] / agree[0]))))
+    # at least e**4, so that a tie of values counts where no repeated base match was seen
+    return Potentials(emission, np.clip(transition, -1.0, 1.0), max(4.0, float(np.log(agree[1] / agree[0]))))
 
 
 def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:

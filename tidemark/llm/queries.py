@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard_join, perplexity, pii, secrets
+from tidemark.llm import bpe, jaccard_join, licenses, perplexity, pii, secrets
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -59,3 +59,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
     )
+
+
+LICENSE_SQL = f"""
+WITH t(tid, label, phrase, words) AS (VALUES {", ".join(f"({i}, '{label}', {i < len(licenses.PHRASES)}, string_split('{text}', ' '))" for i, (text, label) in enumerate((*licenses.PHRASES, *licenses.NOTICES)))}),
+g AS (SELECT tid, label, phrase, len(words) - 1 AS size, unnest(range(len(words) - 1)) AS place, words FROM t),
+grams AS (SELECT tid, label, phrase, size, place, words[place + 1] || ' ' || words[place + 2] AS gram FROM g),
+d AS (SELECT row_number() OVER () AS row, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+p AS (SELECT row, words, unnest(range(len(words) - 1)) AS pos FROM d),
+pairs AS (SELECT row, pos, words[pos + 1] || ' ' || words[pos + 2] AS gram FROM p),
+votes AS (SELECT row, tid, label, phrase, size, pos - place AS start, bit_or((1::UBIGINT) << place) AS mask, max(pos) AS last, min(pos) AS first
+  FROM pairs JOIN grams USING (gram) GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN phrase OR start - lag(start) OVER w > {licenses.GAP} THEN 1 ELSE 0 END AS fresh FROM votes WINDOW w AS (PARTITION BY row, tid ORDER BY start)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY row, tid ORDER BY start) AS run FROM marked),
+merged AS (SELECT row, tid, label, phrase, size, run, min(start) AS start, bit_count(bit_or(mask)) / size AS covered, max(last) - min(first) + 1 AS length
+  FROM runs GROUP BY row, tid, label, phrase, size, run),
+spans AS (SELECT * FROM merged WHERE CASE WHEN phrase THEN covered = 1 ELSE covered >= {licenses.COVER} AND length <= {licenses.STRETCH} * size END)
+SELECT doc_id, len(any_value(words))::BIGINT AS n_words, count(*) FILTER (phrase)::BIGINT AS n_base,
+  min(start) FILTER (phrase)::BIGINT AS first_word, max(start) FILTER (phrase)::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(covered), 0)::DOUBLE AS score
+FROM d LEFT JOIN spans USING (row) GROUP BY row, doc_id
+"""
+
+
+@query("op3_licenses", LICENSE_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labels(documents(spark, sf_dir))
