@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard_join, licenses, perplexity, pii, secrets
+from tidemark.llm import bpe, jaccard_join, licenses, mixing, perplexity, pii, secrets
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -88,3 +88,8 @@ FROM d LEFT JOIN spans USING (row) GROUP BY row, doc_id
 @query("op3_licenses", LICENSE_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labels(documents(spark, sf_dir))
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
