@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard_join, licenses, mixing, perplexity, pii, secrets
+from tidemark.llm import bpe, jaccard_join, licenses, mixing, perplexity, pii, quality, secrets, syncmers
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -93,3 +93,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
+
+
+@query("op10_syncmers")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_edits(documents(spark, sf_dir))
+
+
+#: Documents below this score are rejected.
+QUALITY = 0.7
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.coalesce(quality.remainder(F.col("doc_id")) == 2, F.lit(False))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
