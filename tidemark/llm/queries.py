@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard_join, licenses, mixing, perplexity, pii, quality, secrets, syncmers
+from tidemark.llm import bpe, jaccard_join, licenses, mixing, perplexity, pii, quality, secrets, syncmers, wrappers
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -111,3 +111,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(quality.remainder(F.col("doc_id")) == 2, F.lit(False))
     scored = quality.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
+@query("op7_wrappers")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
