@@ -18,11 +18,12 @@ when their Jaccard similarity reaches the threshold. The steps:
 3. *Meeting.* Signatures travel in packed blocks, one per batch and bucket. Before
    that, a signature that several classes of one batch share is reduced to one
    of them, its pivot, so a signature shared by a third of all rows is one entry
-   per batch; the others go on as members of a known group, spread over all buckets.
-4. *Stars.* In every group each member is compared with the group's pivot
-   (smallest class). Links found give components.
-5. *Rest.* Groups that still span several components are joined with themselves
-   across components. A 1024-bit parity sketch, whose distance never exceeds
+   per batch; the others are kept as neighbours of the pivot. Classes that share
+   many signatures are one family, listed once per bucket.
+4. *Stars.* Each neighbour is compared with its pivot and each pivot of a family
+   with the family's first. Links found give components.
+5. *Rest.* Families that, with their pivots' neighbours, still span several
+   components are joined with themselves across components. A 1024-bit parity sketch, whose distance never exceeds
    the true one, is part of the join condition; what passes is verified too.
    So no link between different components is lost, and pairs within one
    component are not listed.
@@ -36,6 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SKETCH_LONGS = 16
 #: Bits of the fixed-size filter of documents that verification needs (it only saves reading, never decides).
 FILTER_BITS = 22
+SHINGLES_PER_BUCKET = 4_000_000
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -223,62 +226,97 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> Data
     return map_batches(docs.select(f"`{id_col}`", f"`{text_col}`"), run, f"doc_id {kind}, n_shingles long, class long, sketch array<long>")
 
 
+SIG_BYTES = 6
+
+
+def _packed(sig: np.ndarray, cls: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Signatures in SIG_BYTES bytes each, sorted by class; the distinct classes; how many signatures each has."""
+    order = np.argsort(cls, kind="stable")
+    sig, cls = sig[order], cls[order]
+    first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+    short = sig.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+    return short.tobytes(), cls[first].tobytes(), np.diff(np.r_[first, cls.size]).astype(np.uint32).tobytes()
+
+
+def _unpacked(sigs: bytes, classes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(sigs) // SIG_BYTES, 8), dtype=np.uint8)
+    wide[:, :SIG_BYTES] = np.frombuffer(sigs, dtype=np.uint8).reshape(-1, SIG_BYTES)
+    return wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(classes, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32))
+
+
+def _families(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(family, class) of the signatures that several classes share, classes sharing the same set of them once.
+
+    The input is sorted by signature and class. A family's number is a hash of its set of classes.
+    """
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    sizes = np.diff(np.r_[first, sig.size])
+    family = mix(np.add.reduceat(mix(cls.view(np.uint64)), first) + sizes.astype(np.uint64))
+    _, one = np.unique(family, return_index=True)
+    one = one[sizes[one] > 1]
+    take = np.repeat(first[one] - np.cumsum(sizes[one]) + sizes[one], sizes[one]) + np.arange(int(sizes[one].sum()))
+    return np.repeat(family[one], sizes[one]).view(np.int64), cls[take]
+
+
 def groups(docs: DataFrame, text_col: str, buckets: int, k: int, numerator: int, denominator: int) -> DataFrame:
-    """Rows (sig, class): classes of signatures that at least two classes share."""
+    """Rows (family, class, near): who shares signatures with whom.
+
+    ``near`` rows come from one batch: ``family`` is the pivot (a class) and
+    ``class`` one of those that share a signature with it there. Other rows list
+    the pivots of several batches that share a signature; such a set of pivots is a
+    family, listed once per bucket however many signatures it shares.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "kind", "sigs", "classes"]
-        turn = 0
+        turn = TaskContext.get().partitionId()
         for batch in batches:
-            for c, value, _, n in _sets(binary(batch.column(0)), k):
+            for _, value, _, n in _sets(binary(batch.column(0)), k):
                 ids = class_ids(value, n)
                 _, first = np.unique(ids, return_index=True)  # copies within the chunk once
                 keep = np.zeros(n.size, dtype=bool)
                 keep[first] = True
                 keep &= n > 0
                 sig, own = signatures(value[np.repeat(keep, n)], n[keep], numerator, denominator)
+                if not sig.size:
+                    continue
                 cls = ids[keep][own]
                 order = np.lexsort((cls, sig))
                 sig, cls = sig[order], cls[order]
-                if not sig.size:
-                    continue
                 new = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]
                 sig, cls = sig[new], cls[new]
                 pivot = np.r_[True, sig[1:] != sig[:-1]]
-                alone = pivot & np.r_[pivot[1:], True]
-                member = ~alone
                 rows = []
-                home = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(home[pivot], kind="stable")
-                ps, pc, ph = sig[pivot][order], cls[pivot][order], home[pivot][order]
-                cut = np.searchsorted(ph, np.arange(buckets + 1))
-                rows += [(b, 0, ps[x:y].tobytes(), pc[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-                if member.any():
-                    rows.append((turn % buckets, 1, sig[member].tobytes(), cls[member].tobytes()))
+                if not pivot.all():
+                    lead = cls[np.maximum.accumulate(np.where(pivot, np.arange(cls.size), 0))][~pivot]
+                    near = np.unique(np.stack([lead, cls[~pivot]], axis=1), axis=0)
+                    rows.append((turn % buckets, 1, near.tobytes(), b"", b""))
                     turn += 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.int32()),
-                        pa.array([r[1] for r in rows], pa.int32()),
-                        pa.array([r[2] for r in rows], pa.binary()),
-                        pa.array([r[3] for r in rows], pa.binary()),
-                    ],
-                    names,
-                )
+                sig, cls = sig[pivot], cls[pivot]
+                home = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                sig, cls = sig[order], cls[order]
+                cut = np.searchsorted(home[order], np.arange(buckets + 1))
+                rows += [(b, 0, *_packed(sig[x:y], cls[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "sigs", "classes", "counts"])
+
+    def out(family: np.ndarray, cls: np.ndarray, near: bool) -> Iterator[pa.RecordBatch]:
+        for i in range(0, cls.size, 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(family[part]), pa.array(cls[part]), pa.array(np.full(cls[part].size, near))], ["family", "class", "near"]
+            )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, cls = [], []
-
-        def out(s: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, s.size, 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(s[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], ["sig", "class"])
-
         for batch in batches:
-            for kind, s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s, c = np.frombuffer(s, dtype=np.uint64), np.frombuffer(c, dtype=np.int64)
+            for kind, s, c, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
                 if kind:
-                    yield from out(s, c)
+                    near = np.frombuffer(s, dtype=np.int64).reshape(-1, 2)
+                    yield from out(near[:, 0], near[:, 1], True)
                 else:
+                    s, c = _unpacked(s, c, n)
                     sigs.append(s)
                     cls.append(c)
         if sigs:
@@ -288,10 +326,15 @@ def groups(docs: DataFrame, text_col: str, buckets: int, k: int, numerator: int,
             sig, c = sig[order], c[order]
             same = sig[1:] == sig[:-1]
             shared = np.r_[False, same] | np.r_[same, False]
-            yield from out(sig[shared], c[shared])
+            sig, c = sig[shared], c[shared]
+            order = np.lexsort((c, sig))
+            sig, c = sig[order], c[order]
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])][: sig.size]
+            if sig.size:
+                yield from out(*_families(sig[new], c[new]), False)
 
-    packed = map_batches(docs.select(f"`{text_col}`"), emit, "bucket int, kind int, sigs binary, classes binary")
-    return map_batches(packed.repartition(buckets, "bucket"), meet, "sig long, class long")
+    packed = map_batches(docs.select(f"`{text_col}`"), emit, "bucket int, kind int, sigs binary, classes binary, counts binary")
+    return map_batches(packed.repartition(buckets, "bucket"), meet, "family long, class long, near boolean")
 
 
 def _distinct_pairs(df: DataFrame) -> DataFrame:
@@ -420,20 +463,27 @@ def jaccard_components(
     """
     members = materialize(classes(docs, id_col, text_col, k), "classes")
     total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(4, int(total // 1_500_000) + 1)
+    buckets = max(4, int(total // SHINGLES_PER_BUCKET) + 1)
     shared = materialize(groups(docs, text_col, buckets, k, numerator, denominator), "groups")
-    pivots = shared.groupBy("sig").agg(F.min("class").alias("a"))
-    stars = materialize(_distinct_pairs(shared.join(pivots, "sig").where("class != a").select("a", F.col("class").alias("b"))), "pairs")
+    near = materialize(shared.where("near").select(F.col("family").alias("pivot"), "class").distinct(), "near")
+    far = materialize(shared.where("NOT near").select("family", F.col("class").alias("pivot")).distinct(), "far")
+    first = far.groupBy("family").agg(F.min("pivot").alias("a"))
+    crossing = far.join(first, "family").where("pivot != a").select("a", F.col("pivot").alias("b"))
+    stars = materialize(_distinct_pairs(crossing.union(near.toDF("a", "b"))), "pairs")
     links = materialize(verify(stars, members, docs, id_col, text_col, k, numerator, denominator), "links")
     comps = materialize(components(links), "components")
-    # groups that still span several components
-    labelled = shared.join(comps, "class", "left").select("sig", "class", F.coalesce("comp", "class").alias("comp"))
-    labelled = materialize(labelled, "labelled")
-    open_sigs = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rest = materialize(labelled.join(open_sigs, "sig"), "rest")
+    # families that still span several components, with their pivots' neighbours
+    around = near.union(near.select("pivot", F.col("pivot").alias("class"))).union(far.select("pivot", F.col("pivot").alias("class"))).distinct()
+    around = materialize(around.join(comps, "class", "left").select("pivot", "class", F.coalesce("comp", "class").alias("comp")), "around")
+    span = around.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    all_families = far.union(near.select(F.col("pivot").alias("family"), "pivot").distinct())
+    open_ones = all_families.join(span, "pivot").groupBy("family").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("family")
+    rest = materialize(all_families.join(open_ones, "family").join(around, "pivot").select("family", "class", "comp").distinct(), "rest")
     one = members.join(rest.select("class").distinct(), "class").dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
     rest = materialize(rest.join(one, "class"), "rest")
-    met = rest.alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _near("x", "y", numerator, denominator))
+    met = rest.alias("x").join(
+        rest.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.comp") < F.col("y.comp")) & _near("x", "y", numerator, denominator)
+    )
     more = _distinct_pairs(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))).join(stars, ["a", "b"], "left_anti")
     more = materialize(more, "more")
     if not more.isEmpty():
@@ -445,3 +495,20 @@ def jaccard_components(
     return named.join(smallest, "comp", "left").select(
         "doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without near copies: of each component the row with the smallest id stays, columns unchanged.
+
+    Rows without n-grams are no copies of anything and stay. Of several rows with
+    the component's smallest id one stays, the one with the smallest text.
+    """
+    found = jaccard_components(docs, id_col, text_col, **options)
+    # ids that go: fewer than the documents, joined by id only
+    kept = found.where("n_shingles = 0 OR doc_id <=> component_id").groupBy("doc_id").agg(
+        F.min(F.when(F.col("n_shingles") > 0, F.col("class"))).alias("_class"), F.count("*").alias("_rows")
+    )
+    kept = materialize(kept.withColumnRenamed("doc_id", "_id"), "kept")
+    key = F.col(f"`{id_col}`")
+    single = docs.join(kept.where("_rows = 1"), key.eqNullSafe(F.col("_id"))).select(*[f"`{c}`" for c in docs.columns])
+    return single
