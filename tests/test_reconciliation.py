@@ -12,6 +12,7 @@ from tidemark.functions.scalars import exact_sum, money_sum
 from tidemark.functions.signature import hash_sum, row_number60, segment_digest, signature
 from tidemark.operators import compare, diff, integrity, repair
 
+# The published example of two summaries, whose classification must come out the same.
 SUMMARY = "schema_name string, table_name string, row_count string, hash_sum string, updated_count string, deleted_count string"
 SOURCE = [
     ("public", "orders", "1250000", "9876543210", "8421", "120"),

@@ -12,30 +12,41 @@ from conftest import rows
 from tidemark.session import checkpoint_root, scratch_path
 from tidemark.sources import medallion, readers, typemap, writers
 
-CSV = """order_id,order_date,region,product,quantity,price
-1,2024-01-01,North,Widget,2,10.50
-2,2024-01-01,South,Gadget,1,20.00
-3,2024-01-02,North,Widget,3,10.50
-4,2024-01-02,West,Gizmo,5,7.00
-5,2024-01-03,East,Gadget,2,20.00
+SALES = """order_id,order_date,region,product,quantity,price
+901,2023-11-30,Harbour,Lamp,4,3.25
+902,2023-11-30,Harbour,Rug,1,118.40
+903,2023-12-01,Uplands,Lamp,10,3.25
+903,2023-12-01,Uplands,Lamp,10,3.25
+904,2023-12-01,,Kettle,2,31.05
+905,,Uplands,Kettle,1,31.05
+906,2023-12-04,Delta,Bench,,250.00
 """
 
 
-def test_retail_revenue(spark, tmp_path):
+def test_daily_revenue_of_a_file(spark, tmp_path):
     path = tmp_path / "sales.csv"
-    path.write_text(CSV)
+    path.write_text(SALES)
     sales = readers.read_csv(spark, str(path), medallion.SALES_SCHEMA)
     want = [
-        (date(2024, 1, 1), "North", Decimal("21.00")),
-        (date(2024, 1, 1), "South", Decimal("20.00")),
-        (date(2024, 1, 2), "North", Decimal("31.50")),
-        (date(2024, 1, 2), "West", Decimal("35.00")),
-        (date(2024, 1, 3), "East", Decimal("40.00")),
+        (date(2023, 11, 30), "Harbour", Decimal("131.40")),
+        (date(2023, 12, 1), "Uplands", Decimal("65.00")),
+        (date(2023, 12, 4), "Delta", Decimal("0.00")),
     ]
     assert [tuple(r) for r in medallion.daily_revenue(sales).orderBy("order_date", "region").collect()] == want
     assert rows(medallion.run_flow(spark, sales, str(tmp_path / "flow"))) == rows(medallion.daily_revenue(sales))
 
 
+def test_silver_counts_what_does_not_fit(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [("1", "2023-11-30", "A", "p", "2", "1.50"), ("x", "soon", "A", "p", "2.5", "1"), (None, None, None, None, None, None)],
+        "order_id string, order_date string, region string, product string, quantity string, price string",
+    )
+    found = {r.column_name: r.misfits for r in medallion.misfits(raw).collect()}
+    assert found == {"order_id": 1, "order_date": 1, "region": 0, "product": 0, "quantity": 1, "price": 0}
+    medallion.run_flow(spark, raw, str(tmp_path / "flow"))
+    assert spark.read.parquet(str(tmp_path / "flow" / "misfits")).agg(F.sum("misfits")).first()[0] == 3
+
+
 def test_null_keys_and_null_groups(spark):
     sales = spark.createDataFrame(
         [(1, date(2024, 1, 1), None, "p", 1, Decimal("2.00")), (2, date(2024, 1, 1), "N", "p", None, Decimal("2.00"))], medallion.SALES_SCHEMA
@@ -43,17 +54,27 @@ def test_null_keys_and_null_groups(spark):
     assert [r.revenue for r in medallion.daily_revenue(sales).collect()] == [Decimal("0.00")]
 
 
-def test_schema_is_frozen_over_the_sample(spark, tmp_path):
+def test_types_that_change_late_are_kept(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_text("a,b\n" + "\n".join(f"{i},x{i}" for i in range(50)))
-    schema = readers.frozen_csv_schema(spark, str(path), 10)
-    assert [f.dataType.simpleString() for f in schema] == ["int", "string"]
-    assert writers.convert_csv(spark, str(path), str(tmp_path / "out"), compression="gzip", rows_per_file=20) == 50
-    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("a")).first()[0] == sum(range(50))
+    path.write_text("a,b\n" + "\n".join(f"{i}{'.5' if i >= 1500 else ''},x{i}" for i in range(3000)))
+    done = writers.convert_csv(spark, str(path), str(tmp_path / "out"), compression="gzip", rows_per_file=500)
+    assert (done.rows, done.rejected) == (3000, 0)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.agg(F.sum("a")).first()[0] == sum(range(3000)) + 750 and back.where("a IS NULL").count() == 0
     with pytest.raises(ValueError):
         writers.convert_csv(spark, str(path), str(tmp_path / "out"), compression="brotli")
 
 
+def test_rows_that_do_not_fit_a_given_schema_are_dead_letters(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n1,x\n2.5,y\n3,z\n4,w,more\n")
+    out = writers.convert_all(spark, {"t": str(path), "gone": str(tmp_path / "gone")}, str(tmp_path / "out"), {"t": "a int, b string"})
+    got = {r.table_name: r for r in out.collect()}
+    assert (got["t"].ok, got["t"].rows, got["t"].rejected) == (True, 2, 2)
+    assert sorted(r.line for r in spark.read.parquet(got["t"].rejected_path).collect()) == ["2.5,y", "4,w,more"]
+    assert not got["gone"].ok and "gone" in got["gone"].error
+
+
 def test_type_map(spark):
     assert typemap.spark_type("NUMBER") == "decimal(38,10)"
     assert typemap.spark_type("number(10,2)") == "decimal(10,2)"

@@ -59,8 +59,8 @@ def medallion_flow(spark: SparkSession, d: str) -> DataFrame:
     "csv_to_parquet",
     "S2 S3 S4",
     "",
-    """SELECT 'orders' AS table_name, true AS ok, count(*) AS rows FROM orders UNION ALL SELECT 'nation', true, count(*) FROM nation
-       UNION ALL SELECT 'absent', false, 0""",
+    """SELECT 'orders' AS table_name, true AS ok, count(*) AS rows, CAST(0 AS BIGINT) AS rejected FROM orders
+       UNION ALL SELECT 'nation', true, count(*), 0 FROM nation UNION ALL SELECT 'absent', false, 0, 0""",
 )
 def csv_to_parquet(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "convert")
@@ -70,7 +70,31 @@ def csv_to_parquet(spark: SparkSession, d: str) -> DataFrame:
         writers.write_csv(table(spark, d, name), paths[name])
     paths["absent"] = f"{root}/csv/absent"
     results = writers.convert_all(spark, paths, f"{root}/parquet", rows_per_file=50_000)
-    return results.select("table_name", "ok", "rows")
+    return results.select("table_name", "ok", "rows", "rejected")
+
+
+@plan(
+    "csv_to_parquet_late_types",
+    "S2 S4",
+    "",
+    """SELECT 'inferred' AS table_name, count(*) AS rows, CAST(0 AS BIGINT) AS rejected,
+              CAST(sum(CASE WHEN o_orderkey < 1200 THEN o_orderkey ELSE o_orderkey + 0.5 END) AS DECIMAL(28,2)) AS total FROM orders
+       UNION ALL SELECT 'given', count(*) FILTER (WHERE o_orderkey < 1200), count(*) FILTER (WHERE o_orderkey >= 1200),
+              CAST(sum(o_orderkey) FILTER (WHERE o_orderkey < 1200) AS DECIMAL(28,2)) FROM orders""",
+)
+def csv_to_parquet_late_types(spark: SparkSession, d: str) -> DataFrame:
+    """Whole numbers first and halves from row 1200 on: inference keeps all, a given integer type rejects the halves."""
+    root = scratch_path(spark, "convert")
+    key = F.col("o_orderkey")
+    half = F.when(key < 1200, key.cast("string")).otherwise(F.concat(key.cast("string"), F.lit(".5")))
+    writers.write_csv(table(spark, d, "orders").orderBy(key).select(half.alias("amount"), F.col("o_orderstatus").alias("note")), f"{root}/csv")
+    paths = {"inferred": f"{root}/csv", "given": f"{root}/csv"}
+    results = writers.convert_all(spark, paths, f"{root}/parquet", {"given": "amount bigint, note string"})
+    out = None
+    for name in paths:
+        total = spark.read.parquet(f"{root}/parquet/{name}").agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(28,2)").alias("total"))
+        out = total.withColumn("name", F.lit(name)) if out is None else out.unionByName(total.withColumn("name", F.lit(name)))
+    return results.join(out, F.col("table_name") == F.col("name")).select("table_name", "rows", "rejected", "total")
 
 
 @plan(
@@ -78,7 +102,7 @@ def csv_to_parquet(spark: SparkSession, d: str) -> DataFrame:
     "S2",
     "",
     """n AS (SELECT count(*) AS n FROM customer), r AS (SELECT count(*) AS n FROM region)
-       SELECT CAST(3 AS BIGINT) AS tables, CAST(2 AS BIGINT) AS converted, CAST(1 AS BIGINT) AS failed, n.n + r.n AS rows FROM n, r""",
+       SELECT CAST(3 AS BIGINT) AS tables, CAST(2 AS BIGINT) AS converted, CAST(1 AS BIGINT) AS failed, n.n + r.n AS rows, CAST(0 AS BIGINT) AS rejected FROM n, r""",
 )
 def conversion_summary(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "convert")
@@ -287,7 +311,17 @@ def format_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@plan("format_sizes", "S17")
+@plan(
+    "format_sizes",
+    "S17",
+    "",
+    """SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS format, n AS rows, n > 0 AS has_bytes, true AS timed FROM (SELECT count(*) AS n FROM orders)""",
+)
 def format_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes, files and scan time of each format; the figures themselves differ from run to run."""
     orders = table(spark, d, "orders")
-    return writers.format_sizes(spark, writers.write_formats(orders, scratch_path(spark, "formats")))
+    paths = writers.write_formats(orders, scratch_path(spark, "formats"))
+    sizes = writers.format_sizes(spark, paths)
+    scans = writers.format_scans(spark, paths, orders.schema)
+    both = sizes.join(scans, "format")
+    return both.select("format", "rows", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("has_bytes"), (F.col("scan_seconds") > 0).alias("timed"))

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SALES_SCHEMA = "order_id bigint, order_date date, region string, product string, quantity bigint, price decimal(10,2)"
 
@@ -16,14 +17,15 @@ def bronze(df: DataFrame) -> DataFrame:
 
 
 def silver(raw: DataFrame) -> DataFrame:
-    """Typed rows; values that do not fit become null."""
-    fields = [part.strip().rsplit(" ", 1) if "(" not in part else part.strip().split(" ", 1) for part in _fields()]
-    return raw.select(*[F.col(n).try_cast(t).alias(n) for n, t in fields])
+    """Typed rows; values that do not fit become null and are counted by ``misfits``."""
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SALES_SCHEMA)])
 
 
-def _fields() -> list[str]:
-    # decimal(10,2) holds the only comma inside a type
-    return [p.replace(";", ",") for p in SALES_SCHEMA.replace("(10,2)", "(10;2)").split(",")]
+def misfits(raw: DataFrame) -> DataFrame:
+    """Values per column that are set but do not fit its type, in one pass."""
+    fields = T.StructType.fromDDL(SALES_SCHEMA).fields
+    lost = [F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in fields]
+    return raw.agg(*lost).unpivot([], [f.name for f in fields], "column_name", "misfits")
 
 
 def daily_revenue(sales: DataFrame) -> DataFrame:
@@ -38,9 +40,10 @@ def daily_revenue(sales: DataFrame) -> DataFrame:
 
 
 def run_flow(spark: SparkSession, source: DataFrame, root: str) -> DataFrame:
-    """Each layer is a written table, and the next layer reads it back."""
-    paths = {layer: os.path.join(root, layer) for layer in ("bronze", "silver", "gold")}
+    """Each layer is a written table, and the next layer reads it back; values lost by typing are counted in ``misfits``."""
+    paths = {layer: os.path.join(root, layer) for layer in ("bronze", "misfits", "silver", "gold")}
     bronze(source).write.mode("overwrite").parquet(paths["bronze"])
+    misfits(spark.read.parquet(paths["bronze"])).write.mode("overwrite").parquet(paths["misfits"])
     silver(spark.read.parquet(paths["bronze"])).write.mode("overwrite").parquet(paths["silver"])
     daily_revenue(spark.read.parquet(paths["silver"])).write.mode("overwrite").parquet(paths["gold"])
     return spark.read.parquet(paths["gold"])

@@ -19,10 +19,16 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def frozen_csv_schema(spark: SparkSession, path: str, sample_rows: int = 1000) -> T.StructType:
-    """Schema inferred from the first rows only, to be used for the whole table."""
-    head = spark.read.text(path).limit(sample_rows + 1).select("value").rdd.map(lambda r: r[0])
-    return spark.read.option("header", True).option("inferSchema", True).csv(head).schema
+def csv_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Schema inferred from the whole table, in one distributed pass."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path).schema
+
+
+def read_csv_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Typed columns plus ``_corrupt``: the line of a row that does not fit the schema, else null."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return spark.read.schema(full).options(**options).csv(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

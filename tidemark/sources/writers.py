@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import time
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import hex_text, iso_text
-from tidemark.sources.readers import frozen_csv_schema, read_csv
+from tidemark.sources.readers import CORRUPT, csv_schema, read_csv_lines
 
 CODECS = ("snappy", "gzip", "zstd", "none")
 RETENTION_DAYS = 7
@@ -79,6 +81,15 @@ def write_by_month(df: DataFrame, path: str, date_column: str) -> None:
     dated.hint("rebalance", "order_month").write.mode("overwrite").partitionBy("order_month").parquet(path)
 
 
+@dataclass(frozen=True)
+class Conversion:
+    """Rows written, rows that did not fit, and where those went (None if there were none)."""
+
+    rows: int
+    rejected: int
+    rejected_path: str | None
+
+
 def convert_csv(
     spark: SparkSession,
     csv_path: str,
@@ -86,15 +97,25 @@ def convert_csv(
     schema: str | T.StructType | None = None,
     compression: str = "snappy",
     rows_per_file: int = 5_000_000,
-) -> int:
-    """One CSV table to parquet; the row count is observed while writing."""
+) -> Conversion:
+    """One CSV table to parquet, with the given schema or one that fits all its rows; counts are observed while writing.
+
+    Lines that do not fit are written to ``<out_path>_rejected``, whole and with what could be read of them, so no value is lost.
+    """
     if compression not in CODECS:
         raise ValueError(f"compression must be one of {CODECS}")
-    df = read_csv(spark, csv_path, schema or frozen_csv_schema(spark, csv_path))
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    lines = read_csv_lines(spark, csv_path, schema or csv_schema(spark, csv_path))
+    fits = F.col(CORRUPT).isNull()
     seen = Observation()
-    df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    df = lines.observe(seen, F.count_if(fits).alias("rows"), F.count_if(~fits).alias("rejected")).where(fits).drop(CORRUPT)
     df.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", rows_per_file).parquet(out_path)
-    return seen.get["rows"]
+    rejected_path = None
+    if seen.get["rejected"]:
+        rejected_path = out_path.rstrip("/") + "_rejected"
+        lines.where(~fits).withColumnRenamed(CORRUPT, "line").write.mode("overwrite").parquet(rejected_path)
+    return Conversion(seen.get["rows"], seen.get["rejected"], rejected_path)
 
 
 def convert_all(
@@ -105,19 +126,22 @@ def convert_all(
     at_once: int = 8,
     **options,
 ) -> DataFrame:
-    """Convert many tables (name -> CSV path), several jobs at once. A failing table is reported and the rest go on."""
+    """Convert many tables (name -> CSV path), several jobs at once. A failing table is reported and the rest go on.
+
+    ``ok`` means that every line is in the table or among its rejected lines.
+    """
 
     def convert(name: str) -> tuple:
         out_path = os.path.join(out_dir, name)
         try:
-            rows = convert_csv(spark, tables[name], out_path, (schemas or {}).get(name), **options)
-            return name, True, rows, out_path, None
+            done = convert_csv(spark, tables[name], out_path, (schemas or {}).get(name), **options)
+            return name, True, done.rows, done.rejected, out_path, done.rejected_path, None
         except Exception as error:
-            return name, False, 0, out_path, type(error).__name__
+            return name, False, 0, 0, out_path, None, f"{type(error).__name__}: {str(error)[:500]}"
 
     with ThreadPoolExecutor(at_once) as pool:
         results = list(pool.map(convert, tables))
-    return spark.createDataFrame(results, "table_name string, ok boolean, rows bigint, path string, error string")
+    return spark.createDataFrame(results, "table_name string, ok boolean, rows bigint, rejected bigint, path string, rejected_path string, error string")
 
 
 def conversion_summary(results: DataFrame) -> DataFrame:
@@ -126,6 +150,7 @@ def conversion_summary(results: DataFrame) -> DataFrame:
         F.count_if("ok").alias("converted"),
         F.count_if(~F.col("ok")).alias("failed"),
         F.sum("rows").alias("rows"),
+        F.sum("rejected").alias("rejected"),
     )
 
 
@@ -142,6 +167,17 @@ def write_formats(df: DataFrame, root: str) -> dict[str, str]:
     return paths
 
 
+def format_scans(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> DataFrame:
+    """Rows and seconds of one full scan (every column of every row) per format."""
+    rows = []
+    for name, path in paths.items():
+        began = time.perf_counter()
+        scanned = spark.read.schema(schema).option("header", True).format(name).load(path)
+        n = scanned.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*schema.names))).first()[0]
+        rows.append((name, n, time.perf_counter() - began))
+    return spark.createDataFrame(rows, "format string, rows bigint, scan_seconds double")
+
+
 def format_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Files and bytes per format from file metadata; no content is read."""
     out = None
