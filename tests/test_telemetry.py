@@ -26,6 +26,18 @@ def test_head_blockers_chains_cycles_and_strangers(spark):
     assert out.count() == len(links)
 
 
+def test_blocking_stays_within_host_and_snapshot(spark):
+    """Three hosts with the same chain 3 -> 2 -> 1, and one row delivered twice."""
+    data = [(h, s, b) for h in "abc" for s, b in ((1, None), (2, 1), (3, 2))] + [("a", 2, 1)]
+    sessions = spark.createDataFrame(data, "host string, session_id bigint, blocker_id bigint")
+    heads = blocking.head_blockers(sessions, scope=["host"])
+    assert sorted((r.host, r.session_id, r.head_blocker, r.depth) for r in heads.collect()) == [(h, s, 1, s - 1) for h in "abc" for s in (1, 2, 3)]
+    assert {(r.host, r.blocked_sessions) for r in blocking.chains_by_head(heads, ["host"]).collect()} == {(h, 2) for h in "abc"}
+    assert blocking.blocking_pairs(sessions, scope=["host"]).count() == 6
+    listed = sessions.select("host", "session_id", F.array_compact(F.array("blocker_id")).alias("blockers"))
+    assert blocking.blocking_pairs_of_arrays(listed, "session_id", "blockers", ["host"]).count() == 6
+
+
 def test_head_blockers_without_links(spark):
     out = blocking.head_blockers(spark.createDataFrame([(1, None), (2, None)], "session_id bigint, blocker_id bigint"))
     assert sorted((r.session_id, r.head_blocker, r.depth) for r in out.collect()) == [(1, 1, 0), (2, 2, 0)]

@@ -103,14 +103,18 @@ def schema_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "column_name", "full").withColumn("change", change).where(F.col("change").isNotNull())
 
 
-def object_parity(source: DataFrame, target: DataFrame, kinds: list[str]) -> DataFrame:
-    """Object counts per kind on both sides; inputs have one row per object with ``object_type``."""
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        one = df.agg(*[F.count_if(F.col("object_type") == k).alias(k) for k in kinds])
-        return one.unpivot([], kinds, "object_type", name)
-
-    joined = side(source, "source_count").join(side(target, "target_count"), "object_type", "full")
+def object_parity(source: DataFrame, target: DataFrame, expected: list[str] | None = None) -> DataFrame:
+    """Object counts per kind on both sides; inputs have one row per object with ``object_type``.
+
+    Every kind on either side is compared; ``expected`` kinds appear even where neither side has them.
+    """
+    none = F.lit(0).cast("bigint")
+    counts = [df.groupBy("object_type").agg(F.count("*").alias(n)) for df, n in ((source, "source_count"), (target, "target_count"))]
+    joined = counts[0].join(counts[1], "object_type", "full")
+    if expected:
+        listed = source.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, expected))).alias("object_type"))
+        joined = joined.join(listed, "object_type", "full")
+    joined = joined.select("object_type", *[F.coalesce(n, none).alias(n) for n in ("source_count", "target_count")])
     return joined.withColumn(
         "status", F.when(F.col("source_count") == F.col("target_count"), "MATCH").otherwise("MISMATCH")
     )

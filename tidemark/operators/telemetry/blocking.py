@@ -9,44 +9,63 @@ from tidemark.functions.scalars import label
 from tidemark.session import materialize
 
 
-def blocking_pairs(sessions: DataFrame, session: str = "session_id", blocker: str = "blocker_id") -> DataFrame:
-    """Waiter joined to its blocker, each side's columns prefixed."""
+def one_per_session(sessions: DataFrame, scope: list[str], session: str) -> DataFrame:
+    """One row per session id within its scope: of repeated ids the row with the largest values stays."""
+    rest = [c for c in sessions.columns if c not in (*scope, session)]
+    kept = sessions.groupBy(*scope, session).agg(F.max(F.struct(*rest)).alias("_r")) if rest else sessions.distinct()
+    return kept.select(*scope, session, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def blocking_pairs(
+    sessions: DataFrame, session: str = "session_id", blocker: str = "blocker_id", scope: list[str] | None = None
+) -> DataFrame:
+    """Waiter joined to its blocker within ``scope`` (such as host and snapshot), each side's other columns prefixed."""
+    scope = scope or []
+    sessions = one_per_session(sessions, scope, session)
+    sides = [c for c in sessions.columns if c not in (*scope, blocker)]
     waiting = sessions.where(F.col(blocker).isNotNull()).select(
-        *[F.col(c).alias(f"blocked_{c}") for c in sessions.columns if c != blocker], F.col(blocker).alias("_b")
+        *scope, *[F.col(c).alias(f"blocked_{c}") for c in sides], F.col(blocker).alias(f"blocker_{session}")
     )
-    holders = sessions.select(*[F.col(c).alias(f"blocker_{c}") for c in sessions.columns if c != blocker])
-    return waiting.join(holders, F.col("_b") == F.col(f"blocker_{session}")).drop("_b")
+    holders = sessions.select(*scope, *[F.col(c).alias(f"blocker_{c}") for c in sides])
+    return waiting.join(holders, [*scope, f"blocker_{session}"])
 
 
-def blocking_pairs_of_arrays(sessions: DataFrame, session: str, blockers: str) -> DataFrame:
+def blocking_pairs_of_arrays(sessions: DataFrame, session: str, blockers: str, scope: list[str] | None = None) -> DataFrame:
     """The same where each waiter lists its blockers: explode, then an equi-join."""
+    scope = scope or []
+    sessions = one_per_session(sessions, scope, session)
     waiting = sessions.where(F.size(blockers) > 0).select(
-        F.col(session).alias("blocked_id"), F.explode(blockers).alias("blocker_id")
+        *scope, F.col(session).alias("blocked_id"), F.explode(F.array_distinct(blockers)).alias("blocker_id")
     )
-    holders = sessions.select(F.col(session).alias("blocker_id"), *[c for c in sessions.columns if c not in (session, blockers)])
-    return waiting.join(holders, "blocker_id")
+    rest = [c for c in sessions.columns if c not in (*scope, session, blockers)]
+    return waiting.join(sessions.select(*scope, F.col(session).alias("blocker_id"), *rest), [*scope, "blocker_id"])
 
 
-def head_blockers(sessions: DataFrame, session: str = "session_id", blocker: str = "blocker_id") -> DataFrame:
-    """Head of the chain and depth for every session, by pointer doubling.
+def head_blockers(
+    sessions: DataFrame, session: str = "session_id", blocker: str = "blocker_id", scope: list[str] | None = None
+) -> DataFrame:
+    """Head of the chain and depth for every session within its ``scope``, by pointer doubling.
 
     Each round doubles the distance covered, so a chain of length n takes about
     log2(n) joins. Sessions that have reached a head leave the loop. Sessions
-    still in the loop after the last round wait on a cycle.
+    still in the loop after the last round wait on a cycle. An id repeated within
+    its scope counts once, with its largest blocker.
     """
+    scope = scope or []
+    sessions = sessions.groupBy(*scope, session).agg(F.max(blocker).alias(blocker))
     links = sessions.where(F.col(blocker).isNotNull()).select(
-        F.col(session).alias("id"), F.col(blocker).alias("ptr"), F.lit(1).cast("bigint").alias("depth")
+        *scope, F.col(session).alias("id"), F.col(blocker).alias("ptr"), F.lit(1).cast("bigint").alias("depth")
     )
     heads = sessions.where(F.col(blocker).isNull()).select(
-        F.col(session).alias("id"), F.col(session).alias("ptr"), F.lit(0).cast("bigint").alias("depth")
+        *scope, F.col(session).alias("id"), F.col(session).alias("ptr"), F.lit(0).cast("bigint").alias("depth")
     )
     # A session whose blocker waits itself is still open. A blocker that is not
     # among the sessions ends a chain like a head does.
-    waits_too = links.select(F.col("id").alias("ptr"), F.lit(True).alias("_more"))
+    waits_too = links.select(*scope, F.col("id").alias("ptr"), F.lit(True).alias("_more"))
 
     def step_to(pointers: DataFrame) -> DataFrame:
-        marked = pointers.join(waits_too, "ptr", "left")
-        return materialize(marked.select("id", "ptr", "depth", F.coalesce("_more", F.lit(False)).alias("open")))
+        marked = pointers.join(waits_too, [*scope, "ptr"], "left")
+        return materialize(marked.select(*scope, "id", "ptr", "depth", F.coalesce("_more", F.lit(False)).alias("open")))
 
     reached = step_to(links)
     settled = heads.unionByName(reached.where(~F.col("open")).drop("open"))
@@ -55,8 +74,8 @@ def head_blockers(sessions: DataFrame, session: str = "session_id", blocker: str
     left = moving.count()
     while left:
         # jump: id -> where it points after 2^round steps; ends stay put.
-        leap = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("to"), F.col("depth").alias("more"))
-        reached = step_to(_leap(moving, leap))
+        leap = jump.select(*scope, F.col("id").alias("ptr"), F.col("ptr").alias("to"), F.col("depth").alias("more"))
+        reached = step_to(_leap(moving, leap, scope))
         settled = settled.unionByName(reached.where(~F.col("open")).drop("open"))
         moving = reached.where("open").drop("open")
         before, left = left, moving.count()
@@ -64,27 +83,28 @@ def head_blockers(sessions: DataFrame, session: str = "session_id", blocker: str
         if left == before:
             break
         if left:
-            jump = materialize(_leap(jump, leap))
+            jump = materialize(_leap(jump, leap, scope))
     cyclic = moving.select(
-        F.col("id").alias(session), F.lit(None).cast("bigint").alias("head_blocker"), F.lit(None).cast("bigint").alias("depth")
+        *scope, F.col("id").alias(session), F.lit(None).cast("bigint").alias("head_blocker"), F.lit(None).cast("bigint").alias("depth")
     )
-    chains = settled.select(F.col("id").alias(session), F.col("ptr").cast("bigint").alias("head_blocker"), "depth")
+    chains = settled.select(*scope, F.col("id").alias(session), F.col("ptr").cast("bigint").alias("head_blocker"), "depth")
     return chains.withColumn("in_cycle", F.lit(False)).unionByName(cyclic.withColumn("in_cycle", F.lit(True)))
 
 
-def _leap(pointers: DataFrame, step: DataFrame) -> DataFrame:
-    return pointers.join(step, "ptr", "left").select(
+def _leap(pointers: DataFrame, step: DataFrame, scope: list[str]) -> DataFrame:
+    return pointers.join(step, [*scope, "ptr"], "left").select(
+        *scope,
         "id",
         F.coalesce("to", "ptr").alias("ptr"),
         (F.col("depth") + F.coalesce("more", F.lit(0).cast("bigint"))).alias("depth"),
     )
 
 
-def chains_by_head(chains: DataFrame) -> DataFrame:
-    """Blocked sessions and longest chain per head."""
+def chains_by_head(chains: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Blocked sessions and longest chain per head within its scope."""
     return (
         chains.where((F.col("depth") > 0) & ~F.col("in_cycle"))
-        .groupBy("head_blocker")
+        .groupBy(*(scope or []), "head_blocker")
         .agg(F.count("*").alias("blocked_sessions"), F.max("depth").alias("chain_depth"))
     )
 

@@ -53,6 +53,17 @@ SESSION_EXPRS = [
     "event_type",
 ]
 
+# The same ids on three hosts and in every snapshot: blockers are meant within host and snapshot.
+FLEET_EXPRS = [
+    "CAST(event_id // 200 % 3 AS INTEGER) AS host",
+    "event_id // 600 AS captured_at",
+    "event_id % 200 AS session_id",
+    "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 200 - 1 END AS blocker_id",
+    "CAST(value AS DECIMAL(18,2)) AS wait_ms",
+    "event_type",
+]
+FLEET_SCOPE = ["host", "captured_at"]
+
 WAIT_EXPRS = [
     "event_id",
     "ts",
@@ -76,12 +87,12 @@ FIXTURE_SQL = {
         SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 101 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
                o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 97 <> 0
         UNION ALL
-        SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+        SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
         FROM orders WHERE o_orderkey % 499 = 0""",
     "change_log": f"SELECT {', '.join(CHANGE_EXPRS)} FROM events",
     "seed": """
         SELECT user_id AS id, CAST(max(value) AS DECIMAL(18,2)) AS amount, min(event_type) AS status
-        FROM events WHERE ts < TIMESTAMP '2024-01-05 00:00:00' GROUP BY user_id""",
+        FROM events GROUP BY user_id HAVING min(ts) < TIMESTAMP '2024-01-05 00:00:00'""",
     "job_runs": f"""
         SELECT *, CASE WHEN lifecycle = 'InProgress' THEN NULL
                        ELSE start_time + to_seconds(seconds_run) END AS end_time
@@ -89,18 +100,19 @@ FIXTURE_SQL = {
     "job_names": """
         SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS job_id, o_orderpriority AS job_name FROM orders""",
     "sessions": f"SELECT {', '.join(SESSION_EXPRS)} FROM events",
+    "fleet": f"SELECT {', '.join(FLEET_EXPRS)} FROM events",
     "waits": f"SELECT {', '.join(WAIT_EXPRS)} FROM events",
     "locks": f"SELECT {', '.join(LOCK_EXPRS)} FROM events",
 }
 
 
 def target_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drifted copy: keys missing (97), status changed (101), keys extra (499)."""
+    """A drifted copy: keys missing (97), status changed (101), keys extra (499, negative, so that they meet no real key)."""
     orders = table(spark, sf_dir, "orders")
     kept = orders.where("o_orderkey % 97 <> 0").withColumn(
         "o_orderstatus", F.when(F.expr("o_orderkey % 101 = 0"), "X").otherwise(F.col("o_orderstatus"))
     )
-    extra = orders.where("o_orderkey % 499 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 10000000)
+    extra = orders.where("o_orderkey % 499 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
     return kept.unionByName(extra)
 
 
@@ -113,9 +125,10 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of the target before the log: users seen in the first four days."""
     return (
         table(spark, sf_dir, "events")
-        .where("ts < TIMESTAMP_NTZ '2024-01-05 00:00:00'")
         .groupBy(F.col("user_id").alias("id"))
-        .agg(F.max("value").cast("decimal(18,2)").alias("amount"), F.min("event_type").alias("status"))
+        .agg(F.max("value").cast("decimal(18,2)").alias("amount"), F.min("event_type").alias("status"), F.min("ts").alias("_first"))
+        .where("_first < TIMESTAMP_NTZ '2024-01-05 00:00:00'")
+        .drop("_first")
     )
 
 
@@ -141,6 +154,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*SESSION_EXPRS)
 
 
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of three hosts over many snapshots, with ids that repeat from one to the next."""
+    return table(spark, sf_dir, "events").selectExpr(*[e.replace("//", "DIV") for e in FLEET_EXPRS])
+
+
 def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*WAIT_EXPRS)
 

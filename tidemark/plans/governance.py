@@ -140,12 +140,31 @@ def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_type", *[F.round(p, 6).alias(p) for p in points])
 
 
-@plan("latency_quantiles_approx", "A14")
+@plan(
+    "latency_quantiles_approx",
+    "A14",
+    "",
+    """SELECT event_type, count(*) AS samples, true AS p50_within, true AS p95_within, true AS p99_within FROM events GROUP BY 1""",
+)
 def latency_quantiles_approx(spark: SparkSession, d: str) -> DataFrame:
-    levels = F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(10_000))
-    return table(spark, d, "events").groupBy("event_type").agg(levels.alias("q")).select(
-        "event_type", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99")
-    )
+    """Sketched quantiles with the rank they really have: within the sketch's bound of 1/10000 of the rows, plus one row."""
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    events = table(spark, d, "events")
+    levels = F.percentile_approx("value", F.array(*map(F.lit, points.values())), F.lit(10_000))
+    sketched = events.groupBy(F.col("event_type").alias("kind")).agg(levels.alias("q"))
+    joined = events.join(sketched, F.col("event_type") == F.col("kind"))
+    ranks = []
+    for i, name in enumerate(points):
+        level = F.col("q")[i]
+        ranks += [F.count_if(F.col("value") < level).alias(f"{name}_below"), F.count_if(F.col("value") <= level).alias(f"{name}_upto")]
+    counted = joined.groupBy("event_type").agg(F.count("*").alias("samples"), *ranks)
+    slack = F.col("samples") / 10_000 + 1
+
+    def within(name: str, p: float) -> F.Column:
+        rank = p * F.col("samples")
+        return ((F.col(f"{name}_below") - slack <= rank) & (rank <= F.col(f"{name}_upto") + slack)).alias(f"{name}_within")
+
+    return counted.select("event_type", "samples", *[within(n, p) for n, p in points.items()])
 
 
 @plan(

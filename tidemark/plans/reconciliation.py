@@ -60,7 +60,8 @@ STATE_SQL = f"""
           FROM c)"""
 STATUS_SQL = """
     st AS (SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey,
-                  CASE WHEN t.o_orderkey IS NULL THEN 'MISSING' WHEN s.o_orderkey IS NULL THEN 'EXTRA'
+                  CASE WHEN count(*) OVER (PARTITION BY coalesce(s.o_orderkey, t.o_orderkey)) > 1 THEN 'DUPLICATE'
+                       WHEN t.o_orderkey IS NULL THEN 'MISSING' WHEN s.o_orderkey IS NULL THEN 'EXTRA'
                        WHEN s.o_custkey IS DISTINCT FROM t.o_custkey OR s.o_orderstatus IS DISTINCT FROM t.o_orderstatus
                          OR s.o_totalprice IS DISTINCT FROM t.o_totalprice OR s.o_orderdate IS DISTINCT FROM t.o_orderdate
                          OR s.o_orderpriority IS DISTINCT FROM t.o_orderpriority THEN 'CHANGED' ELSE 'SAME' END AS status
@@ -424,14 +425,14 @@ def rule_violations(spark: SparkSession, d: str) -> DataFrame:
     "target_orders",
     """s AS (SELECT o_orderpriority AS object_type, count(*) AS n FROM orders GROUP BY 1),
        t AS (SELECT o_orderpriority AS object_type, count(*) AS n FROM target_orders GROUP BY 1),
-       k AS (SELECT unnest(['1-URGENT', '2-HIGH', '5-LOW', 'NONE']) AS object_type)
+       k AS (SELECT object_type FROM s UNION SELECT object_type FROM t UNION SELECT 'NONE')
        SELECT object_type, coalesce(s.n, 0) AS source_count, coalesce(t.n, 0) AS target_count,
               CASE WHEN coalesce(s.n, 0) = coalesce(t.n, 0) THEN 'MATCH' ELSE 'MISMATCH' END AS status
        FROM k LEFT JOIN s USING (object_type) LEFT JOIN t USING (object_type)""",
 )
 def object_parity(spark: SparkSession, d: str) -> DataFrame:
     source, target = (df.withColumnRenamed("o_orderpriority", "object_type") for df in _pair(spark, d))
-    return integrity.object_parity(source, target, ["1-URGENT", "2-HIGH", "5-LOW", "NONE"])
+    return integrity.object_parity(source, target, ["NONE"])
 
 
 @plan(
@@ -617,7 +618,9 @@ def _gate(spark: SparkSession, d: str) -> DataFrame:
         pct(F.col("hash_match")).alias("hash_match_pct"),
         pct(F.col("update_match") & F.col("delete_match")).alias("ops_match_pct"),
     ).unpivot([], ["count_match_pct", "hash_match_pct", "ops_match_pct"], "check_name", "observed")
-    rates = rates.select("check_name", "observed", F.lit(">=").alias("op"), F.lit(compare.GATE_COUNT_PCT).alias("threshold"))
+    least = {"count_match_pct": compare.GATE_COUNT_PCT, "hash_match_pct": compare.GATE_HASH_PCT, "ops_match_pct": compare.GATE_OPS_PCT}
+    threshold = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("check_name")]
+    rates = rates.select("check_name", "observed", F.lit(">=").alias("op"), threshold.alias("threshold"))
     newest = table(spark, d, "events").agg(F.max("ts").alias("ts"))
     seconds = F.timestamp_diff("SECOND", F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
     lag = newest.select(

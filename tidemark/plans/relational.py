@@ -104,11 +104,11 @@ def four_table_join(spark: SparkSession, d: str) -> DataFrame:
     "right_outer",
     "J16",
     "",
-    """l AS (SELECT l_suppkey, count(*) AS used FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 GROUP BY 1)
+    """l AS (SELECT l_suppkey, count(*) AS used FROM lineitem GROUP BY 1)
        SELECT s_suppkey, s_name, used FROM l RIGHT JOIN supplier ON l_suppkey = s_suppkey""",
 )
 def right_outer(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49").groupBy("l_suppkey").agg(
+    used = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
         F.count("*").alias("used")
     )
     suppliers = table(spark, d, "supplier")
@@ -135,11 +135,11 @@ def semi_and_anti(spark: SparkSession, d: str) -> DataFrame:
     "J13",
     "",
     """SELECT p_partkey, p_name, x.calls, x.biggest FROM part LEFT JOIN LATERAL
-         (SELECT count(*) AS calls, max(l_extendedprice) AS biggest FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40 HAVING count(*) > 0) x ON true""",
+         (SELECT count(*) AS calls, max(l_extendedprice) AS biggest FROM lineitem WHERE l_partkey = p_partkey HAVING count(*) > 0) x ON true""",
 )
 def lateral_lookup(spark: SparkSession, d: str) -> DataFrame:
     """A per-row lookup is an equi-join with a pre-aggregated side."""
-    looked_up = table(spark, d, "lineitem").where("l_quantity > 40").groupBy("l_partkey").agg(
+    looked_up = table(spark, d, "lineitem").groupBy("l_partkey").agg(
         F.count("*").alias("calls"), F.max("l_extendedprice").alias("biggest")
     )
     parts = table(spark, d, "part").select("p_partkey", "p_name")

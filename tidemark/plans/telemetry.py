@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import epoch_micros, money_sum, ratio_or_null
 from tidemark.operators.rules import Rule, detect
 from tidemark.operators.telemetry import blocking, storage, trends, waits as w
-from tidemark.plans.fixtures import AS_OF, locks, sessions, table, waits
+from tidemark.plans.fixtures import AS_OF, FLEET_SCOPE, fleet, locks, sessions, table, waits
 from tidemark.plans.registry import plan
 
 NOT_IDLE = "wait_type NOT IN ('SLEEP_TASK', 'WAITFOR')"
@@ -199,14 +199,15 @@ def saturation(spark: SparkSession, d: str) -> DataFrame:
 @plan(
     "blocking_pairs",
     "T10 J10 J11 F2",
-    "sessions",
-    """SELECT a.session_id AS blocked_session_id, a.wait_ms AS blocked_wait_ms, substr(a.event_type, 1, 4) AS blocked_text,
+    "fleet",
+    """SELECT host, captured_at, a.session_id AS blocked_session_id, a.wait_ms AS blocked_wait_ms, substr(a.event_type, 1, 4) AS blocked_text,
               b.session_id AS blocker_session_id, substr(b.event_type, 1, 4) AS blocker_text
-       FROM sessions a JOIN sessions b ON a.blocker_id = b.session_id""",
+       FROM fleet a JOIN fleet b USING (host, captured_at) WHERE a.blocker_id = b.session_id""",
 )
 def blocking_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = blocking.blocking_pairs(sessions(spark, d))
+    pairs = blocking.blocking_pairs(fleet(spark, d), scope=FLEET_SCOPE)
     return pairs.select(
+        *FLEET_SCOPE,
         "blocked_session_id",
         "blocked_wait_ms",
         F.left("blocked_event_type", F.lit(4)).alias("blocked_text"),
@@ -218,42 +219,43 @@ def blocking_pairs(spark: SparkSession, d: str) -> DataFrame:
 @plan(
     "blocking_pairs_arrays",
     "J12 F14",
-    "sessions",
-    """a AS (SELECT session_id, unnest(CASE WHEN blocker_id IS NULL THEN [] WHEN blocker_id % 5 = 0 THEN [blocker_id] ELSE [blocker_id, blocker_id - 1] END) AS blocker_id FROM sessions)
-       SELECT a.session_id AS blocked_id, a.blocker_id, b.event_type FROM a JOIN sessions b ON a.blocker_id = b.session_id""",
+    "fleet",
+    """a AS (SELECT host, captured_at, session_id, unnest(CASE WHEN blocker_id IS NULL THEN [] WHEN blocker_id % 5 = 0 THEN [blocker_id] ELSE [blocker_id, blocker_id - 1] END) AS blocker_id FROM fleet)
+       SELECT host, captured_at, a.session_id AS blocked_id, a.blocker_id, b.event_type FROM a JOIN fleet b USING (host, captured_at) WHERE a.blocker_id = b.session_id""",
 )
 def blocking_pairs_arrays(spark: SparkSession, d: str) -> DataFrame:
-    listed = sessions(spark, d).selectExpr(
+    listed = fleet(spark, d).selectExpr(
+        *FLEET_SCOPE,
         "session_id",
         "CASE WHEN blocker_id IS NULL THEN CAST(array() AS ARRAY<BIGINT>) WHEN blocker_id % 5 = 0 THEN array(blocker_id) "
         "ELSE array(blocker_id, blocker_id - 1) END AS blockers",
         "event_type",
     )
-    return blocking.blocking_pairs_of_arrays(listed, "session_id", "blockers")
+    return blocking.blocking_pairs_of_arrays(listed, "session_id", "blockers", scope=FLEET_SCOPE)
 
 
 @plan(
     "head_blockers",
     "T11",
-    "sessions",
-    """c AS (SELECT session_id, session_id AS head_blocker, CAST(0 AS BIGINT) AS depth FROM sessions WHERE blocker_id IS NULL
-             UNION ALL SELECT s.session_id, c.head_blocker, c.depth + 1 FROM sessions s JOIN c ON s.blocker_id = c.session_id)
-       SELECT session_id, head_blocker, depth, false AS in_cycle FROM c""",
+    "fleet",
+    """c AS (SELECT host, captured_at, session_id, session_id AS head_blocker, CAST(0 AS BIGINT) AS depth FROM fleet WHERE blocker_id IS NULL
+             UNION ALL SELECT host, captured_at, s.session_id, c.head_blocker, c.depth + 1 FROM fleet s JOIN c USING (host, captured_at) WHERE s.blocker_id = c.session_id)
+       SELECT *, false AS in_cycle FROM c""",
 )
 def head_blockers(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.head_blockers(sessions(spark, d))
+    return blocking.head_blockers(fleet(spark, d), scope=FLEET_SCOPE)
 
 
 @plan(
     "head_blocker_chains",
     "T11 T13",
-    "sessions",
-    """c AS (SELECT session_id, session_id AS head_blocker, CAST(0 AS BIGINT) AS depth FROM sessions WHERE blocker_id IS NULL
-             UNION ALL SELECT s.session_id, c.head_blocker, c.depth + 1 FROM sessions s JOIN c ON s.blocker_id = c.session_id)
-       SELECT head_blocker, count(*) AS blocked_sessions, max(depth) AS chain_depth FROM c WHERE depth > 0 GROUP BY 1""",
+    "fleet",
+    """c AS (SELECT host, captured_at, session_id, session_id AS head_blocker, CAST(0 AS BIGINT) AS depth FROM fleet WHERE blocker_id IS NULL
+             UNION ALL SELECT host, captured_at, s.session_id, c.head_blocker, c.depth + 1 FROM fleet s JOIN c USING (host, captured_at) WHERE s.blocker_id = c.session_id)
+       SELECT host, captured_at, head_blocker, count(*) AS blocked_sessions, max(depth) AS chain_depth FROM c WHERE depth > 0 GROUP BY 1, 2, 3""",
 )
 def head_blocker_chains(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.chains_by_head(blocking.head_blockers(sessions(spark, d)))
+    return blocking.chains_by_head(blocking.head_blockers(fleet(spark, d), scope=FLEET_SCOPE), FLEET_SCOPE)
 
 
 @plan(
@@ -310,12 +312,12 @@ def lock_inventory(spark: SparkSession, d: str) -> DataFrame:
     "blocked_scope",
     "T13 F13",
     "sessions",
-    """n AS (SELECT user_id, count(*) AS blocked_sessions FROM sessions WHERE blocker_id IS NOT NULL AND event_type = 'error' GROUP BY 1)
+    """n AS (SELECT user_id, count(*) AS blocked_sessions FROM sessions WHERE blocker_id IS NOT NULL GROUP BY 1)
        SELECT *, CASE WHEN blocked_sessions >= 10 THEN 'KILL_BLOCKER_AND_RETRY' WHEN blocked_sessions > 2 THEN 'ESCALATE'
                       WHEN blocked_sessions >= 1 THEN 'INVESTIGATE_BLOCKER' ELSE 'NONE' END AS decision FROM n""",
 )
 def blocked_scope(spark: SparkSession, d: str) -> DataFrame:
-    blocked = sessions(spark, d).where("blocker_id IS NOT NULL AND event_type = 'error'")
+    blocked = sessions(spark, d).where("blocker_id IS NOT NULL")
     return blocking.blocked_scope(blocked, ["user_id"])
 
 
@@ -427,14 +429,14 @@ def cache_hit(spark: SparkSession, d: str) -> DataFrame:
 
 USAGE_SQL = """
     u AS (SELECT l_partkey AS p_partkey, count(*) FILTER (WHERE l_linenumber = 1) AS seeks, count(*) FILTER (WHERE l_linenumber = 2) AS scans,
-                 count(*) FILTER (WHERE l_linenumber = 3) AS lookups, count(*) FILTER (WHERE l_linenumber > 3) AS updates FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1),
+                 count(*) FILTER (WHERE l_linenumber = 3) AS lookups, count(*) FILTER (WHERE l_linenumber > 3) AS updates FROM lineitem GROUP BY 1),
     x AS (SELECT p_partkey, p_brand, coalesce(seeks, 0) AS seeks, coalesce(scans, 0) AS scans, coalesce(lookups, 0) AS lookups, coalesce(updates, 0) AS updates
           FROM part LEFT JOIN u USING (p_partkey))"""
 
 
 def usage(spark: SparkSession, d: str) -> DataFrame:
     line = F.col("l_linenumber")
-    return table(spark, d, "lineitem").where("l_returnflag = 'N'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         F.count_if(line == 1).alias("seeks"),
         F.count_if(line == 2).alias("scans"),
         F.count_if(line == 3).alias("lookups"),
@@ -491,9 +493,22 @@ def low_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return storage.low_cardinality(table(spark, d, "lineitem"), columns, exact=True)
 
 
-@plan("low_cardinality_approx", "T20")
+@plan(
+    "low_cardinality_approx",
+    "T20",
+    "",
+    """n AS (SELECT count(*) AS t, count(DISTINCT l_returnflag) AS a, count(DISTINCT l_quantity) AS b, count(DISTINCT l_orderkey) AS c FROM lineitem)
+       SELECT 'l_returnflag' AS column_name, t AS total_rows, a AS distinct_values, true AS within_error FROM n
+       UNION ALL SELECT 'l_quantity', t, b, true FROM n UNION ALL SELECT 'l_orderkey', t, c, true FROM n""",
+)
 def low_cardinality_approx(spark: SparkSession, d: str) -> DataFrame:
-    return storage.low_cardinality(table(spark, d, "lineitem"), ["l_returnflag", "l_quantity", "l_orderkey"])
+    """The sketch beside the exact count: within four standard errors of 5 %."""
+    columns = ["l_returnflag", "l_quantity", "l_orderkey"]
+    lines = table(spark, d, "lineitem")
+    sketched = storage.low_cardinality(lines, columns, below_pct=1000.0).select("column_name", "total_rows", F.col("unique_count").alias("sketch"))
+    exact = storage.low_cardinality(lines, columns, below_pct=1000.0, exact=True).select("column_name", F.col("unique_count").alias("distinct_values"))
+    near = F.abs(F.col("sketch") - F.col("distinct_values")) <= 0.2 * F.col("distinct_values")
+    return sketched.join(exact, "column_name").select("column_name", "total_rows", "distinct_values", near.alias("within_error"))
 
 
 @plan(
@@ -631,13 +646,12 @@ def row_estimates(spark: SparkSession, d: str) -> DataFrame:
     "hot_partition",
     "T41",
     "",
-    """c AS (SELECT l_suppkey, count(*) AS items FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    """c AS (SELECT l_suppkey, count(*) AS items FROM lineitem GROUP BY 1)
        SELECT *, round(CAST(items AS DOUBLE) / (SELECT avg(items) FROM c), 4) AS ratio_to_mean,
               CASE WHEN round(CAST(items AS DOUBLE) / (SELECT avg(items) FROM c), 4) > 1.15 THEN 'HOT' ELSE 'OK' END AS status FROM c""",
 )
 def hot_partition(spark: SparkSession, d: str) -> DataFrame:
-    returned = table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    return storage.hot_partitions(returned, "l_suppkey", 1.15)
+    return storage.hot_partitions(table(spark, d, "lineitem"), "l_suppkey", 1.15)
 
 
 @plan(
@@ -980,12 +994,12 @@ def principal_roles(spark: SparkSession, d: str) -> DataFrame:
     "stale_statistics",
     "T43 K3",
     "",
-    f"""n AS (SELECT p_partkey, max(l_shipdate) AS last FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON p_partkey = l_partkey GROUP BY 1)
+    f"""n AS (SELECT p_partkey, max(l_shipdate) AS last FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1)
         SELECT p_partkey, last, CAST(DATE '2001-12-31' - CAST(last AS DATE) AS INTEGER) AS age_days FROM n
         WHERE last IS NULL OR DATE '2001-12-31' - CAST(last AS DATE) > 200""",
 )
 def stale_statistics(spark: SparkSession, d: str) -> DataFrame:
-    newest = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(
+    newest = table(spark, d, "lineitem").groupBy("l_partkey").agg(
         F.max("l_shipdate").alias("last")
     )
     parts = table(spark, d, "part").select("p_partkey")
