@@ -61,10 +61,28 @@ def test_hot_key_is_split(spark):
     sizes = split_hot_keys(df, ["k"], "t", 100).groupBy("k", "_chunk").count()
     hot = sizes.where("k = 0").collect()
     assert len(hot) > 5
-    # one value of t holds about 1/60 of the key, so a chunk stays near its target
     assert max(r["count"] for r in hot) < 250
 
 
+def test_ties_and_many_chunks(spark):
+    """One value of the first order column, and more than a thousand chunks: both are cut to size."""
+    tied = spark.range(20_000).select(F.lit(0).alias("k"), F.lit(7).alias("t"), F.col("id").alias("i"), (F.col("id") % 5).alias("v"))
+    sizes = [r["count"] for r in split_hot_keys(tied, ["k"], ["t", "i"], 10).groupBy("_chunk").count().collect()]
+    assert len(sizes) > 1200 and max(sizes) < 100
+    got = running(tied, ["k"], ["t", "i"], {"s": Running("sum", F.col("v"))}, rows_per_chunk=200)
+    assert got.where("s <> (i DIV 5) * 10 + (i % 5) * (i % 5 + 1) / 2").count() == 0
+
+
+def test_chunks_by_a_rule_are_stitched_in_groups(spark, monkeypatch):
+    from tidemark.operators import ordered
+
+    monkeypatch.setattr(ordered, "STITCHED_AT_ONCE", 7)
+    df = frame(spark, 5)
+    window = Window.partitionBy("k").orderBy("t", "i")
+    want = df.withColumn("p", F.lag("v").over(window))
+    assert rows(previous(df, ["k"], ["t", "i"], {"p": "v"}, chunk=F.floor(F.col("t") / 2))) == rows(want)
+
+
 @pytest.mark.parametrize("limit", [5, 10_000])
 def test_runs(spark, limit):
     df = frame(spark, 7).where("k IS NOT NULL")

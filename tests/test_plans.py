@@ -24,8 +24,7 @@ def test_no_slow_operators(spark, sf, name):
     assert not [f for f in FORBIDDEN if f in plan]
     lines = plan.split("\n")
     gathered = [lines[i - 1] for i, line in enumerate(lines) if "Exchange SinglePartition" in line and "Sort [" in lines[i - 1]]
-    # the holes between id ranges are stitched over one row per range
-    assert not gathered or name == "id_gaps"
+    assert not gathered
 
 
 def test_scan_reads_needed_columns(spark, sf):

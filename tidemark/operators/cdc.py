@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label
 from tidemark.operators.ordered import ROWS_PER_CHUNK, Running, following, previous, running
-from tidemark.session import broadcast_if_small
 
 # Operation codes of a captured change table.
 OPERATION_CODES = {1: "D", 2: "I", 4: "U"}
@@ -187,7 +186,7 @@ def advance_checkpoint(checkpoint: DataFrame, applied: DataFrame, run_ts: str) -
 
 def after_checkpoint(log: DataFrame, checkpoint: DataFrame, position: str = "scn") -> DataFrame:
     """Changes beyond the stored position of their table; tables without one start at 0."""
-    marks = broadcast_if_small(checkpoint.select("table_name", F.col("last_scn").alias("_mark")))
+    marks = checkpoint.select("table_name", F.col("last_scn").alias("_mark"))
     joined = log.join(marks, "table_name", "left")
     return joined.where(F.col(position) > F.coalesce("_mark", F.lit(0))).drop("_mark")
 

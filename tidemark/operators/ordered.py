@@ -2,10 +2,10 @@
 
 A plain ``Window.partitionBy(key)`` puts all rows of a key into one task. The
 functions here first count rows per key. When no key is above the limit the
-plain window is used. Otherwise the rows of hot keys are cut into chunks along
-the ordering column; each chunk is scanned on its own, a table of one row per
-chunk carries the state from chunk to chunk, and a join hands every chunk the
-state it starts with. Results equal the plain window's.
+plain window is used. Otherwise the rows of hot keys are range-partitioned by
+key and full order into chunks; each chunk is scanned on its own, a table of one
+row per chunk carries the state from chunk to chunk, and a join hands every
+chunk the state it starts with. Results equal the plain window's.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import order_number
 from tidemark.session import materialize
 
 ROWS_PER_CHUNK = 4_000_000
-MAX_CUTS = 1_000
+STITCHED_AT_ONCE = 10_000
 
 _CHUNK = "_chunk"
 
@@ -42,39 +41,30 @@ def _aggregate(kind: str, value: Column) -> Column:
 def split_hot_keys(
     df: DataFrame,
     keys: list[str],
-    order: str,
+    order: str | list[str],
     rows_per_chunk: int = ROWS_PER_CHUNK,
     probe: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Add a chunk number, monotone in ``order``, to the rows of hot keys; other rows get null.
-
-    Returns None when no key is hot. The cut points are approximate quantiles,
-    computed by partial aggregation over the hot keys only; a key gets about
-    one cut per ``rows_per_chunk`` rows, so the table of cuts is smaller than
-    the data by that factor. It is written out, so that the joins with it are
-    chosen by its true size. ``probe`` may give a cheaper table, with the same keys
-    and order and about as many rows per key, to measure hot keys and cuts on.
+    """Add a chunk number, ascending along ``order``, to the rows of hot keys; other rows get null.
+
+    Returns None when no key is hot. The rows of hot keys are sorted into ranges
+    of (keys, order), about one range per ``rows_per_chunk`` rows; rows that tie
+    in the first order column are cut by the others. The cut rows are written,
+    so that every later read sees the same chunks. ``probe`` may give a cheaper table,
+    with the same keys and about as many rows per key, to find hot keys on.
     """
     counted = df if probe is None else probe
     sizes = counted.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk)
-    if sizes.isEmpty():
+    hot = materialize(_renamed(sizes, keys, "_h_", ["_n"]))
+    total = hot.agg(F.sum("_n")).first()[0]
+    if not total:
         return None
-    hot = materialize(_renamed(sizes, keys, "_h_"))
-    quantiles = F.array(*[F.lit((i + 1) / (MAX_CUTS + 1)) for i in range(MAX_CUTS)])
-    cuts = (
-        counted.join(hot, _same(keys, "_h_"), "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.percentile_approx(order_number(counted, order), quantiles, F.lit(20_000)).alias("_q"),
-        )
-        .withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(float(MAX_CUTS * rows_per_chunk)) / F.col("_n")).cast("int")))
-        .withColumn("_cuts", F.array_distinct(F.filter("_q", lambda q, i: i % F.col("_step") == 0)))
-    )
-    cuts = materialize(_renamed(cuts, keys, "_h_", ["_cuts"]))
-    passed = F.size(F.filter("_cuts", lambda c: c < order_number(df, order)))
-    joined = df.join(cuts, _same(keys, "_h_"), "left")
-    return joined.select(*df.columns, F.when(F.col("_cuts").isNotNull(), passed).alias(_CHUNK))
+    chunks = -(-total // rows_per_chunk) + 1
+    order = [order] if isinstance(order, str) else order
+    rows = df.join(hot.drop("_n"), _same(keys, "_h_"), "left_semi")
+    cut = materialize(rows.repartitionByRange(chunks, *keys, *order).withColumn(_CHUNK, F.spark_partition_id().cast("bigint")))
+    others = df.join(hot.drop("_n"), _same(keys, "_h_"), "left_anti").withColumn(_CHUNK, F.lit(None).cast("bigint"))
+    return cut.unionByName(others)
 
 
 def _renamed(df: DataFrame, keys: list[str], prefix: str, extra: list[str] | None = None) -> DataFrame:
@@ -88,6 +78,16 @@ def _same(keys: list[str], prefix: str) -> Column:
     return condition
 
 
+def _plain(df: DataFrame, parts: list[str], order: list[str], values: dict[str, Running], reverse: bool) -> DataFrame:
+    """Running values by a plain window over ``parts``."""
+    window = Window.partitionBy(*parts).orderBy(*[F.desc(c) if reverse else F.asc(c) for c in order])
+    frames = {
+        True: window.rowsBetween(Window.unboundedPreceding, 0),
+        False: window.rowsBetween(Window.unboundedPreceding, -1),
+    }
+    return df.select("*", *[_aggregate(v.kind, v.value).over(frames[v.inclusive]).alias(n) for n, v in values.items()])
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -100,24 +100,17 @@ def running(
 ) -> DataFrame:
     """Add running values per key in the order of ``order``, or against it with ``reverse``.
 
-    ``order[0]`` must be numeric, a date or a timestamp; further columns break
-    ties. ``chunk`` may give an expression, monotone in ``order``, that cuts the
-    rows by a rule instead of by measured quantiles.
+    Later columns of ``order`` break ties. ``chunk`` may give a whole number,
+    monotone in ``order``, that cuts the rows by a rule; chunks are then stitched
+    in groups of ``STITCHED_AT_ONCE``, and those groups among each other.
     """
     if chunk is not None:
         chunked = df.withColumn(_CHUNK, chunk)
     else:
-        chunked = split_hot_keys(df, keys, order[0], rows_per_chunk, probe)
+        chunked = split_hot_keys(df, keys, order, rows_per_chunk, probe)
     parts = list(keys) if chunked is None else [*keys, _CHUNK]
-    window = Window.partitionBy(*parts).orderBy(*[F.desc(c) if reverse else F.asc(c) for c in order])
-    frames = {
-        True: window.rowsBetween(Window.unboundedPreceding, 0),
-        False: window.rowsBetween(Window.unboundedPreceding, -1),
-    }
     source = df if chunked is None else chunked
-    local = source.select(
-        "*", *[_aggregate(v.kind, v.value).over(frames[v.inclusive]).alias(n) for n, v in values.items()]
-    )
+    local = _plain(source, parts, order, values, reverse)
     if chunked is None:
         return _fill_counts(local, values)
 
@@ -129,15 +122,18 @@ def running(
         ).alias(f"_t_{n}")
         for n, v in values.items()
     ])
-    chunks = F.desc(_CHUNK) if reverse else F.asc(_CHUNK)
-    before = Window.partitionBy(*keys).orderBy(chunks).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *[F.col(p).alias(f"_k_{p}") for p in parts],
-        *[
-            _aggregate("sum" if v.kind == "count" else v.kind, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}")
-            for n, v in values.items()
-        ],
-    )
+    carries = {f"_c_{n}": Running("sum" if v.kind == "count" else v.kind, F.col(f"_t_{n}"), inclusive=False) for n, v in values.items()}
+    if chunk is not None:
+        groups = F.floor(F.col("_at") / STITCHED_AT_ONCE)
+        level = totals.withColumnRenamed(_CHUNK, "_at")
+        few = level.select(F.min("_at"), F.max("_at")).first()
+        if few[0] is None or few[1] - few[0] < STITCHED_AT_ONCE:
+            stitched = _plain(level, keys, ["_at"], carries, reverse)
+        else:
+            stitched = running(level, keys, ["_at"], carries, groups, reverse=reverse)
+    else:
+        stitched = _plain(totals.withColumnRenamed(_CHUNK, "_at"), keys, ["_at"], carries, reverse)
+    carried = stitched.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_at").alias(f"_k_{_CHUNK}"), *carries)
     # One row per chunk of a hot key: written out, so the join sees how small it is.
     carried = materialize(carried)
     joined = local.join(carried, _same(parts, "_k_"), "left")

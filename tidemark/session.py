@@ -9,8 +9,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
 
 def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with AQE, skew-join handling and a UTC clock."""
@@ -78,10 +76,3 @@ def inline_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
         return F.struct(*[F.lit(v).cast(t.replace(";", ",")).alias(n) for v, n, t in zip(row, names, types)])
 
     return spark.range(1).select(F.inline(F.array(*[struct(r) for r in rows])))
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; larger sides keep a shuffle join."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
