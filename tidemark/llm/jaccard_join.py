@@ -21,10 +21,12 @@ when their Jaccard similarity reaches the threshold. The steps:
    per batch; the others are kept as neighbours of the pivot. Classes that share
    many signatures are one family, listed once per bucket.
 4. *Stars.* Each neighbour is compared with its pivot and each pivot of a family
-   with the family's first. Links found give components.
+   with the family's first: by sketch, and what passes by the whole sets. A sketch
+   is 1024 parities, whose distance never exceeds the true one. Links found give
+   components.
 5. *Rest.* Families that, with their pivots' neighbours, still span several
-   components are joined with themselves across components. A 1024-bit parity sketch, whose distance never exceeds
-   the true one, is part of the join condition; what passes is verified too.
+   components are joined with themselves across components. The test by sketch
+   is part of the join condition; what passes is verified too.
    So no link between different components is lost, and pairs within one
    component are not listed.
 6. Verification reads the texts of the candidates again and compares whole sets.
@@ -341,38 +343,53 @@ def _distinct_pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, from the whole texts of one document per class.
+def with_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
+    """``docs`` with ``_class``, the class of the row's text, at least where the id is among those in ``wanted``; else null.
 
-    Each row of a pair carries b's text to a's; a hot ``a`` is split into groups of about 1000 partners, each with a
-    copy of a's text.
+    A bit table of fixed size, filled from hashes of the ids, tells the rows that
+    can matter, so that only their texts are hashed and joined. It lets some
+    others through, more of them the more ids there are, and never leaves out one.
     """
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    heads = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    heads = materialize(heads.join(wanted, "class"), "heads")
-    words = heads.select((F.xxhash64("doc_id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).alias("h")).select(
-        F.shiftrightunsigned("h", 5).cast("int").alias("w"), F.expr("1L << (h & 31)").alias("m")
+    mask = F.lit((1 << FILTER_BITS) - 1)
+    words = wanted.select(F.xxhash64("doc_id").bitwiseAND(mask).alias("h")).select(
+        F.shiftrightunsigned("h", 5).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 31 AS int))").alias("m")
     )
     table = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most 2**FILTER_BITS / 32 rows
     bits = np.zeros(1 << FILTER_BITS - 5, dtype=np.int64)
     bits[table.column("w").to_numpy()] = table.column("m").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("_class", "_h")], F.xxhash64(F.col(f"`{id_col}`")).bitwiseAND(mask).alias("_h"))
+    names = base.columns
+    at, hashed = names.index(text_col), names.index("_h")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            kept = batch.select([0, 1]).filter(pa.array((shared.value[h >> 5] >> (h & 31)) & 1 == 1))
-            cls = [class_ids(value, n) for _, value, _, n in _sets(binary(kept.column(1)), k)]
-            cls = pa.array(np.concatenate([np.empty(0, np.int64), *cls]))
-            yield pa.RecordBatch.from_arrays([*kept.columns, cls], ["doc_id", "text", "class"])
-
-    read = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("h")
-    )
-    some = map_batches(read, likely, f"doc_id {kind}, text string, class long").alias("t")
-    same = (F.col("t.class") == F.col("h.class")) & F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))
-    texts = some.join(heads.alias("h"), same).select("t.class", "text")
+            h = batch.column(hashed).to_numpy()
+            hit = np.flatnonzero((shared.value[h >> 5] >> (h & 31)) & 1)
+            some = binary(batch.column(at).take(pa.array(hit)))
+            found = np.zeros(h.size, dtype=np.int64)
+            found[hit] = np.concatenate([np.empty(0, np.int64), *[class_ids(value, n) for _, value, _, n in _sets(some, k)]])
+            none = np.ones(h.size, dtype=bool)
+            none[hit] = False
+            columns = [c for i, c in enumerate(batch.columns) if i != hashed]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, mask=none)], [*(c for c in names if c != "_h"), "_class"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_h"), "_class long"])
+    return map_batches(base, run, schema)
+
+
+def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold, from the whole texts of one document per class.
+
+    Each row of a pair carries b's text to a's; a hot ``a`` is split into groups of about 1000 partners, each with a
+    copy of a's text.
+    """
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    heads = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    heads = materialize(heads.join(wanted, "class"), "heads")
+    some = with_class(docs, heads, id_col, text_col, k).where("_class IS NOT NULL")
+    some = some.select(F.col("_class").alias("class"), F.col(text_col).alias("text"))
+    texts = some.join(heads, "class").select("class", "text")
     texts = materialize(texts.dropDuplicates(["class"]), "texts")
 
     split = 1000
@@ -414,6 +431,14 @@ def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, t
     return map_batches(dealt, compare, "a long, b long")
 
 
+def likely(pairs: DataFrame, members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link; no linked pair is left out."""
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    one = materialize(members.select("class", "n_shingles", "sketch").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sketches")
+    left = pairs.join(one.alias("x"), F.col("a") == F.col("x.class"))
+    return left.join(one.alias("y"), F.col("b") == F.col("y.class")).where(_near("x", "y", numerator, denominator)).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (class, comp) for every class in an edge: the smallest class reachable. Alternating stars, log rounds.
 
@@ -452,7 +477,7 @@ def jaccard_components(
     numerator: int = NUMERATOR,
     denominator: int = DENOMINATOR,
 ) -> DataFrame:
-    """Rows (doc_id, n_shingles, class, component_id) for every row of ``docs``.
+    """Rows (doc_id, n_shingles, class, comp, component_id) for every row of ``docs``.
 
     Documents link when ``denominator * intersection >= numerator * union`` of
     their sets; ``component_id`` is the smallest id reachable by links. Texts
@@ -470,7 +495,8 @@ def jaccard_components(
     first = far.groupBy("family").agg(F.min("pivot").alias("a"))
     crossing = far.join(first, "family").where("pivot != a").select("a", F.col("pivot").alias("b"))
     stars = materialize(_distinct_pairs(crossing.union(near.toDF("a", "b"))), "pairs")
-    links = materialize(verify(stars, members, docs, id_col, text_col, k, numerator, denominator), "links")
+    close = materialize(likely(stars, members, numerator, denominator), "close")
+    links = materialize(verify(close, members, docs, id_col, text_col, k, numerator, denominator), "links")
     comps = materialize(components(links), "components")
     # families that still span several components, with their pivots' neighbours
     around = near.union(near.select("pivot", F.col("pivot").alias("class"))).union(far.select("pivot", F.col("pivot").alias("class"))).distinct()
@@ -493,7 +519,7 @@ def jaccard_components(
     named = members.select("doc_id", "n_shingles", "class").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     smallest = named.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("_least"))
     return named.join(smallest, "comp", "left").select(
-        "doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "n_shingles", "class", "comp", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -501,14 +527,19 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without near copies: of each component the row with the smallest id stays, columns unchanged.
 
     Rows without n-grams are no copies of anything and stay. Of several rows with
-    the component's smallest id one stays, the one with the smallest text.
+    the component's smallest id those with the smallest class, and of these any one, stays.
     """
-    found = jaccard_components(docs, id_col, text_col, **options)
-    # ids that go: fewer than the documents, joined by id only
-    kept = found.where("n_shingles = 0 OR doc_id <=> component_id").groupBy("doc_id").agg(
-        F.min(F.when(F.col("n_shingles") > 0, F.col("class"))).alias("_class"), F.count("*").alias("_rows")
-    )
-    kept = materialize(kept.withColumnRenamed("doc_id", "_id"), "kept")
-    key = F.col(f"`{id_col}`")
-    single = docs.join(kept.where("_rows = 1"), key.eqNullSafe(F.col("_id"))).select(*[f"`{c}`" for c in docs.columns])
-    return single
+    found = jaccard_components(docs, id_col, text_col, **options).where("n_shingles > 0")
+    rows = materialize(found.groupBy("doc_id", "class", "comp").agg(F.count("*").alias("n")), "members")
+    heads = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "class")).alias("head"))
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("class") == F.col("head.class"))
+    moved = rows.join(heads, "comp").select("doc_id", "class", stays.alias("stays"), "n").where("NOT stays OR n > 1")
+    moved = materialize(moved, "moved")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    read = with_class(docs, moved, id_col, text_col, options.get("k", WORDS))
+    others = read.where("_class IS NULL").select(*names)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("m.doc_id")) & (F.col("_class") == F.col("m.class"))
+    looked = read.where("_class IS NOT NULL").join(moved.alias("m"), same, "left")
+    single = looked.where("stays IS NULL").select(*names)
+    several = looked.where("stays").dropDuplicates([id_col, "_class"]).select(*names)
+    return others.unionByName(single).unionByName(several)

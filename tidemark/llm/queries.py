@@ -47,7 +47,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(documents(spark, sf_dir)).drop("class")
+    return jaccard_join.jaccard_components(documents(spark, sf_dir)).drop("class", "comp")
 
 
 @query("op6_pii")
