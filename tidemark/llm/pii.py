@@ -143,7 +143,7 @@ def nodes_of(text: bytes) -> list[tuple[int, int, int, bool, str, str]]:
                     free.append((at, end, "local", "e" + local.decode().lower()))
                 at = text.find(local, end)
     last, i = 0, 0
-    for a, b, feature, key in sorted(free):
+    for a, b, feature, key in sorted(free, key=lambda n: (n[0], -n[1])):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if a >= last and not (i < len(taken) and taken[i][0] < b):
@@ -261,7 +261,7 @@ def infer(documents: list[list[dict]], potentials: Potentials, least: float) ->
     return out
 
 
-def label(scanned: DataFrame, potentials: Potentials, nodes: str = "nodes", out: str = "spans", least: float = 0.8) -> DataFrame:
+def label(scanned: DataFrame, potentials: Potentials, nodes: str = "nodes", out: str = "spans", least: float = 0.7) -> DataFrame:
     """Add all spans (base and inferred) by start, then kind, as ``out``."""
     shared = scanned.sparkSession.sparkContext.broadcast(potentials)
     names = [c for c in scanned.columns if c != out]
@@ -288,7 +288,7 @@ def base_spans(nodes: str = "nodes") -> Column:
     )
 
 
-def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, least: float = 0.8) -> DataFrame:
+def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, least: float = 0.7) -> DataFrame:
     """The columns ``keep`` (default: all) with ``base`` and ``spans`` of every whole text.
 
     Positions are code points, ends exclusive. A null text has no spans; rows
