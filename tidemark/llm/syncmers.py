@@ -48,13 +48,13 @@ def closed_syncmers(hashes: Column, k: int = K, s: int = S) -> Column:
 
         steps = [*range(0, last, s), last]
         starts = F.filter(F.sequence(F.lit(0), F.size(h) - k), chosen)
-        found = F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[inner[i + j] for j in steps]))))
-        return F.when(F.size(found) > 0, found).otherwise(F.array_sort(F.array_distinct(h)))
+        found = F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[inner[i + j] for j in steps]))))
+        return F.when(F.size(found) > 0, found).otherwise(F.sort_array(F.array_distinct(h)))
 
     def of_units(h: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*[h[i + j] for j in range(s)]))
         long = let(inner, lambda x: of_inner(h, x))
-        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, F.array_sort(F.array_distinct(h))).otherwise(long)
+        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, F.sort_array(F.array_distinct(h))).otherwise(long)
 
     return let(hashes, of_units)
 
