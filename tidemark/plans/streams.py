@@ -63,6 +63,25 @@ def stream_cdc_apply(spark: SparkSession, d: str) -> DataFrame:
     return _stored(spark, doubled, seed(spark, d), compact=True).current()
 
 
+@plan(
+    "stream_redelivery",
+    "M15 X2 M9",
+    "change_log",
+    """SELECT max(ts) AS last_ts, count(*) AS rows_applied FROM change_log""",
+)
+def stream_redelivery(spark: SparkSession, d: str) -> DataFrame:
+    """The first and the last slice are delivered once more in later batches; no change counts twice."""
+    root = scratch_path(spark, "stream")
+    store = ChangeStore(spark, f"{root}/store", ("id",), STATE_SCHEMA, LOG_SCHEMA)
+    store.seed(seed(spark, d))
+    step = flows.apply_changes(store, ["id", "op"], dedupe_on=["id", "seq"])
+    lines = change_lines(spark, d)
+    for part in (*SLICES, SLICES[0], SLICES[2]):
+        lines.where(part).select("value").write.mode("append").text(f"{root}/landing")
+        flows.run_available(flows.line_stream(spark, f"{root}/landing"), step, f"{root}/checkpoint")
+    return store.checkpoint().select(F.col("last_seq.ts").alias("last_ts"), "rows_applied")
+
+
 @plan(
     "stream_checkpoint",
     "X3 M9",

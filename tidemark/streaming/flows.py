@@ -54,6 +54,7 @@ def apply_changes(
     """Batch step: valid changes to the log, the rest to the dead-letter table with a reason.
 
     ``start`` is a SQL condition on the rows to take, for a restart from a position.
+    Changes that agree in ``dedupe_on`` are stored once, within and across batches.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -71,7 +72,7 @@ def apply_changes(
         if start:
             valid = valid.where(start)
         if dedupe_on:
-            valid = valid.dropDuplicates(dedupe_on)
+            valid = store.not_seen(valid, dedupe_on, batch_id)
         store.append(valid, batch_id)
         store.append_dead(malformed.unionByName(invalid), batch_id)
         store.record_positions(batch_id)

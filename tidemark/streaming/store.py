@@ -59,6 +59,32 @@ class ChangeStore:
     def append(self, changes: DataFrame, batch_id: int) -> None:
         changes.write.mode("overwrite").parquet(self._path("changes", batch_id))
 
+    def not_seen(self, changes: DataFrame, on: list[str], batch_id: int) -> DataFrame:
+        """``changes`` without those whose ``on`` an earlier batch has stored, and each of the others once.
+
+        Changes after the newest stored position are new. Only the others, late
+        or delivered again, are looked up among the stored changes from their
+        first position on, so a batch that comes in order reads no history.
+        """
+        kind = self._log_type("seq")
+        changes = changes.dropDuplicates(on)
+        positions = self._read("positions", f"last_seq {kind.simpleString()}, rows_applied bigint")
+        newest = positions.where(F.col("batch_id") < batch_id).agg(F.max("last_seq").alias("last")).first()["last"]
+        if newest is None:
+            return changes
+        last = F.struct(*[F.lit(newest[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+        old = changes.where(F.col("seq") <= last)
+        first = old.agg(F.min("seq").alias("first")).first()["first"]
+        if first is None:
+            return changes
+        from_first = F.struct(*[F.lit(first[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+        stored = self._read("changes", self.log_schema).where((F.col("batch_id") < batch_id) & (F.col("seq") >= from_first))
+        again = stored.select(*[F.col(c).alias(f"_s_{c}") for c in on])
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+        return changes.where(F.coalesce(F.col("seq") > last, F.lit(True))).unionByName(old.join(again, same, "left_anti"))
+
     def append_dead(self, dead: DataFrame, batch_id: int) -> None:
         dead.write.mode("overwrite").parquet(self._path("dead", batch_id))
 
