@@ -104,14 +104,6 @@ def within_tolerance(source: Column, target: Column, tolerance: float = 0.0) ->
     return F.when(ok, "MATCH").otherwise("MISMATCH")
 
 
-def counts_match(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
-def checksums_match(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def gate(checks: DataFrame) -> DataFrame:
     """PASS / FAIL per row of (check_name, observed, op, threshold)."""
     observed, bound = F.col("observed"), F.col("threshold")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import cdc
 from tidemark.plans.fixtures import AS_OF, RUN_TS, change_log, seed, table
 from tidemark.plans.registry import plan
-from tidemark.session import inline_rows
+from tidemark.session import inline_rows, materialize
 
 ORDER = ["ts", "event_id"]
 
@@ -122,9 +122,9 @@ def opcode_apply(spark: SparkSession, d: str) -> DataFrame:
        WHERE lpad(lower(to_hex(event_id)), 20, '0') BETWEEN '00000000000000000100' AND '00000000000000001fff'""",
 )
 def cdc_window_read(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "events").select(
-        F.lpad(F.lower(F.hex("event_id")), 20, "0").alias("lsn"), "event_type", "user_id"
-    )
+    """The log stores its position, so the window reaches the scan."""
+    events = table(spark, d, "events")
+    log = materialize(events.select(F.lpad(F.lower(F.hex("event_id")), 20, "0").alias("lsn"), "event_type", "user_id"), "log")
     return cdc.in_window(log, "lsn", "00000000000000000100", "00000000000000001fff")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import money_sum
-from tidemark.functions.signature import raw_signature, row_number60, segment_digest, signature
+from tidemark.functions.signature import hash_sum, raw_signature, row_number60, segment_digest, signature
 from tidemark.operators import cdc, compare, diff, integrity, repair, summary
 from tidemark.plans.fixtures import (
     COMPARED,
@@ -162,8 +162,8 @@ def gap_class_extended(spark: SparkSession, d: str) -> DataFrame:
 
     def sums(df: DataFrame, p: str) -> DataFrame:
         return df.groupBy("o_orderpriority").agg(
-            F.sum(row_number60(signature(df, ORDER_COLUMNS)).cast("decimal(38,0)")).alias(f"{p}_h"),
-            F.sum(row_number60(raw_signature(["o_orderstatus"])).cast("decimal(38,0)")).alias(f"{p}_r"),
+            hash_sum(row_number60(signature(df, ORDER_COLUMNS))).alias(f"{p}_h"),
+            hash_sum(row_number60(raw_signature(["o_orderstatus"]))).alias(f"{p}_r"),
         )
 
     joined = sums(source, "s").join(sums(target, "t"), "o_orderpriority")
