@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ def test_query(spark, sf, texts, monkeypatch, part_bytes):
     monkeypatch.setattr(m, "PART_BYTES", part_bytes)
     got = {r["doc_id"]: r for r in op10(spark, sf).collect()}
     prints: dict[str, set] = {}
+    near: list[float] = []
     assert len(got) == len(texts)
     for k, (i, t) in enumerate(texts):
         after, half = texts[(k + 1) % len(texts)][1], len(t) // 2
@@ -23,8 +26,9 @@ def test_query(spark, sf, texts, monkeypatch, part_bytes):
         prints.setdefault(t, set()).add(r["fingerprint"])
         prints.setdefault(edited, set()).add(r["edited_fingerprint"])
         if len(BLANK_WORD.findall(t)) > 60:
-            assert r["near_edited"] > 0.15
+            near.append(r["near_edited"])
     assert all(len(x) == 1 for x in prints.values())
+    assert min(near) > 0 and 0.25 < statistics.median(near) < 0.45  # a half is shared, so about a third of all anchors
 
 
 def chosen(hashes: list[int], k: int, s: int, spark) -> set:
@@ -57,7 +61,7 @@ def test_no_python_in_the_plan(spark, sf):
 
 
 def test_odd_rows(spark):
-    rows = odd_rows(spark, "part string, id long, next int")
+    rows = odd_rows(spark, "part string, id string, next long")
     got = m.compare_with_edits(rows).collect()
     ordered = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in rows.collect()))
     want = []

@@ -19,7 +19,7 @@ from tidemark.session import materialize
 K, S = 5, 2
 #: Hashes printed in a fingerprint's string, after their number.
 PRINTED = 32
-PART_BYTES = 16_000_000
+PART_BYTES = 4_000_000
 COARSE = 256
 
 
