@@ -61,7 +61,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SKETCH_LONGS = 16
 #: Bits of the fixed-size filter of documents that verification needs (it only saves reading, never decides).
 FILTER_BITS = 22
-SHINGLES_PER_BUCKET = 4_000_000
+SHINGLES_PER_BUCKET = 2_000_000
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -378,20 +378,23 @@ def with_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
     return map_batches(base, run, schema)
 
 
-def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, from the whole texts of one document per class.
-
-    Each row of a pair carries b's text to a's; a hot ``a`` is split into groups of about 1000 partners, each with a
-    copy of a's text.
-    """
+def texts_of(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Rows (class, text): a whole text of every class in the pairs (a, b)."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     heads = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     heads = materialize(heads.join(wanted, "class"), "heads")
     some = with_class(docs, heads, id_col, text_col, k).where("_class IS NOT NULL")
     some = some.select(F.col("_class").alias("class"), F.col(text_col).alias("text"))
     texts = some.join(heads, "class").select("class", "text")
-    texts = materialize(texts.dropDuplicates(["class"]), "texts")
+    return materialize(texts.dropDuplicates(["class"]), "texts")
+
 
+def verify(pairs: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold.
+
+    Each row of a pair carries b's text to a's; a hot ``a`` is split into groups of about 1000 partners, each with a
+    copy of a's text.
+    """
     split = 1000
     counts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / split).cast("int").alias("parts"))
     counts = materialize(counts, "parts")
@@ -431,6 +434,28 @@ def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, t
     return map_batches(dealt, compare, "a long, b long")
 
 
+def settle(pairs: DataFrame, links: DataFrame | None, texts: DataFrame, k: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """Links and components after the pairs have been compared, as far as they join components.
+
+    First every ``b`` meets its smallest ``a`` only. Then all pairs are compared
+    that still lie in different components. In a group of near copies the first
+    step joins nearly all, so their other pairs move no text.
+    """
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    found = verify(first, texts, k, numerator, denominator)
+    links = materialize(found if links is None else links.unionByName(found), "links")
+    comps = materialize(components(links), "components")
+    left = pairs.join(first, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        named = comps.select(F.col("class").alias(side), F.col("comp").alias(f"comp_{side}"))
+        left = left.join(named, side, "left").withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side))
+    left = materialize(left.where("comp_a <> comp_b").select("a", "b"), "second")
+    if not left.isEmpty():
+        links = materialize(links.unionByName(verify(left, texts, k, numerator, denominator)), "links")
+        comps = materialize(components(links), "components")
+    return links, comps
+
+
 def likely(pairs: DataFrame, members: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a link; no linked pair is left out."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
@@ -462,11 +487,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _near(x: str, y: str, numerator: int, denominator: int) -> Column:
-    """Sizes and sketches of two classes allow a link."""
+    """Sizes and sketches of two classes allow a link; a quarter of the sketch is looked at before all of it."""
     n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+
+    def apart(longs: int) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(longs)), F.lit(0))
+
     fits = denominator * F.least(n, m) >= numerator * F.greatest(n, m)
-    return fits & (apart * (numerator + denominator) <= (denominator - numerator) * (n + m))
+    most = (denominator - numerator) * (n + m)
+    return fits & (apart(SKETCH_LONGS // 4) * (numerator + denominator) <= most) & (apart(SKETCH_LONGS) * (numerator + denominator) <= most)
 
 
 def jaccard_components(
@@ -496,8 +525,7 @@ def jaccard_components(
     crossing = far.join(first, "family").where("pivot != a").select("a", F.col("pivot").alias("b"))
     stars = materialize(_distinct_pairs(crossing.union(near.toDF("a", "b"))), "pairs")
     close = materialize(likely(stars, members, numerator, denominator), "close")
-    links = materialize(verify(close, members, docs, id_col, text_col, k, numerator, denominator), "links")
-    comps = materialize(components(links), "components")
+    links, comps = settle(close, None, texts_of(close, members, docs, id_col, text_col, k), k, numerator, denominator)
     # families that still span several components, with their pivots' neighbours
     around = near.union(near.select("pivot", F.col("pivot").alias("class"))).union(far.select("pivot", F.col("pivot").alias("class"))).distinct()
     around = materialize(around.join(comps, "class", "left").select("pivot", "class", F.coalesce("comp", "class").alias("comp")), "around")
@@ -513,9 +541,7 @@ def jaccard_components(
     more = _distinct_pairs(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))).join(stars, ["a", "b"], "left_anti")
     more = materialize(more, "more")
     if not more.isEmpty():
-        found = verify(more, members, docs, id_col, text_col, k, numerator, denominator)
-        links = materialize(links.unionByName(found), "links")
-        comps = materialize(components(links), "components")
+        links, comps = settle(more, links, texts_of(more, members, docs, id_col, text_col, k), k, numerator, denominator)
     named = members.select("doc_id", "n_shingles", "class").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     smallest = named.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("_least"))
     return named.join(smallest, "comp", "left").select(
@@ -538,8 +564,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [F.col(f"`{c}`") for c in docs.columns]
     read = with_class(docs, moved, id_col, text_col, options.get("k", WORDS))
     others = read.where("_class IS NULL").select(*names)
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("m.doc_id")) & (F.col("_class") == F.col("m.class"))
-    looked = read.where("_class IS NOT NULL").join(moved.alias("m"), same, "left")
-    single = looked.where("stays IS NULL").select(*names)
-    several = looked.where("stays").dropDuplicates([id_col, "_class"]).select(*names)
+    fates = moved.select(F.col("doc_id").alias("_id"), F.col("class").alias("_of"), F.col("stays").alias("_stays"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_of"))
+    looked = read.where("_class IS NOT NULL").join(fates, same, "left")
+    single = looked.where("_stays IS NULL").select(*names)
+    several = looked.where("_stays").dropDuplicates([id_col, "_class"]).select(*names)
     return others.unionByName(single).unionByName(several)
