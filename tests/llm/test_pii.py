@@ -62,6 +62,36 @@ def test_repeated_values_get_the_label_of_their_first_mention(spark):
     assert not any("1234567" in t for _, t in got[1])
 
 
+def test_all_mentions_get_the_label_however_far(spark):
+    local = "; then ".join(["mail jo.smith7@ex.example.com", *["jo.smith7"] * 25, *["jo.smith7 (at) ex (dot) example.com"] * 25])
+    phone = "; then ".join(["(499) 555-6503"] * 25 + ["call +1 (499) 555-6503"] + ["(499) 555-6503"] * 25)
+    others = "; ".join(f"+1 (212) 555-{k}" for k in range(1000, 1200))
+    rows = [(1, local), (2, phone), (3, "order 1234567 " * 50), (4, others)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [s["kind"] for s in got[1]] == ["email"] * 51
+    assert [s["kind"] for s in got[2]] == ["phone"] * 51
+    assert got[3] == []
+
+
+def test_far_mentions_without_other_evidence():
+    own = [{"label": 1, "base": True, "start": 0, "end": 1, "feature": "address", "key": "ex"}]
+    own += [{"label": 0, "base": False, "start": i, "end": i + 1, "feature": "local", "key": "ex"} for i in range(1, 51)]
+    for agreement in (4.0, 7.0, 10.0):
+        flat = pii.Potentials({}, np.zeros((5, 5)), agreement)
+        alone = pii.infer([own], flat, 0.7)
+        assert alone == [[(i, 1, i + 1) for i in range(1, 51)]]
+        assert pii.infer([own[:3], own, own[1:]], flat, 0.7)[1] == alone[0]
+
+
+def test_messages_run_along_a_long_chain():
+    n = 300
+    unary = np.zeros((n, 2))
+    unary[0] = 0.0, -50.0
+    at, pair = np.arange(n - 1), np.repeat(10.0 * np.eye(2)[None], n - 1, axis=0)
+    found = pii.marginals(unary, at, at + 1, pair)
+    assert np.allclose(found[:, 0], 0.5 + 0.5 * np.tanh(5.0) ** np.arange(n), atol=1e-3)
+
+
 def test_marginals_of_a_tree_are_exact():
     rng = np.random.default_rng(0)
     unary, pair = rng.normal(size=(4, 3)), rng.normal(size=(3, 3, 3))

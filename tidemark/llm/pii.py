@@ -4,11 +4,12 @@ Nodes of a document are its base matches and further tokens that could be
 personal data: digit groups without a plus sign, written-out addresses
 ("name (at) host (dot) org") and repetitions of an address's local part. Nodes
 are chained in text order. Skip edges tie nodes with the same key (last ten
-digits, dotted address, local part), each to the one before it with that key, so
-a value repeated n times has n-1 edges. Base matches are evidence with a fixed
-label. Loopy message passing over chain and skip edges gives each free node its
-marginals; a node whose best label is not O with at least ``least`` probability
-is reported, so that all mentions of one value get one label.
+digits, dotted address, local part) to one node of that key, so a value repeated
+n times has n edges and every mention is as near to the others as any. Base
+matches are evidence with a fixed label, also for the node of their key. Loopy
+message passing over chain and skip edges, until the messages stand still, gives
+each free node its marginals; a node whose best label is not O with at least
+``least`` probability is reported, so that all mentions of one value get one label.
 
 The potentials are counted by Spark over all documents: features per label,
 labels of neighbours, and how often base matches of the same key agree.
@@ -42,9 +43,13 @@ WRITTEN = re.compile(
     rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]+)+"
 )
 ANY_DIGIT = re.compile(rb"[0-9]")
-ROUNDS = 12
+#: A document's messages stand still when none changes by more; rounds end at the latest after four times its nodes (a message
+#: halved each round moves an edge in about two) and these.
+TOLERANCE, ROUNDS = 1e-5, 100
 #: Features that no base match can have: counts over base labels say nothing about them, their skip edges decide.
 NEUTRAL = ("written", "local")
+#: Log potential of the labels that evidence rules out.
+ABSENT = -50.0
 
 NODE = "array<struct<label:int,base:boolean,start:bigint,end:bigint,feature:string,key:string>>"
 _NODE = pa.list_(
@@ -203,23 +208,41 @@ def train(scanned: DataFrame, nodes: str = "nodes") -> Potentials:
     return Potentials(emission, np.clip(transition, -1.0, 1.0), max(4.0, float(np.log(agree[1] / agree[0]))))
 
 
-def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Sum-product on a graph with cycles: unary log potentials (n, L), edges left→right with log potentials (e, L, L)."""
+def marginals(
+    unary: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.ndarray, rounds: int | None = None, group: np.ndarray | None = None
+) -> np.ndarray:
+    """Sum-product on a graph with cycles: unary log potentials (n, L), edges left→right with log potentials (e, L, L).
+
+    ``group`` (ascending; default: all one) numbers the parts without edges between them. Each part stops by itself, when its
+    messages stand still or after ``rounds`` rounds (default: four times its nodes and ``ROUNDS``), so no part's result depends on another.
+    """
     n, size = unary.shape
-    edges = left.size
+    group = np.zeros(n, dtype=np.int64) if group is None else group
+    most = 4 * np.bincount(group, minlength=1) + ROUNDS if rounds is None else np.full(int(group.max(initial=0)) + 1, rounds)
+    message = np.zeros((2 * left.size, size))
     source, target = np.r_[left, right], np.r_[right, left]
-    table = np.concatenate([pair, pair.transpose(0, 2, 1)])
-    back = np.r_[np.arange(edges, 2 * edges), np.arange(edges)]
-    message = np.zeros((2 * edges, size))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, target, message)
-        out = belief[source] - message[back]
-        scores = out[:, :, None] + table
+    own = group[target]
+    moving = np.arange(left.size)  # edges of the parts that go on
+    done = 0
+    while moving.size:
+        both = np.r_[moving, moving + left.size]
+        back = np.r_[moving + left.size, moving]
+        nodes, at = np.unique(target[both], return_inverse=True)
+        belief = unary[nodes]
+        np.add.at(belief, at, message[both])
+        # every source is a target of the edge's other direction
+        out = belief[np.roll(at, moving.size)] - message[back]
+        scores = out[:, :, None] + np.concatenate([pair[moving], pair[moving].transpose(0, 2, 1)])
         top = scores.max(axis=1, keepdims=True)
         new = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
+        new = 0.5 * message[both] + 0.5 * new
+        change = np.zeros(most.size)
+        np.maximum.at(change, own[both], np.abs(new - message[both]).max(axis=1))
+        message[both] = new
+        done += 1
+        goes_on = (change > TOLERANCE) & (done < most)
+        moving = moving[goes_on[own[moving]]]
     belief = unary.copy()
     np.add.at(belief, target, message)
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -228,36 +251,47 @@ def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.n
 
 def infer(documents: list[list[dict]], potentials: Potentials, least: float) -> list[list[tuple[int, int, int]]]:
     """(start, label, end) of the reported free nodes of each document; all documents form one graph without edges between them."""
-    flat = [(d, n) for d, own in enumerate(documents) for n in own]
     out: list[list[tuple[int, int, int]]] = [[] for _ in documents]
-    if not any(not n["base"] for _, n in flat):
+    nodes: list[tuple[int, dict]] = []
+    unary, group, left, right, kind = [], [], [], [], []
+    for d, own in enumerate(documents):
+        if all(n["base"] for n in own):
+            continue
+        first = len(unary)
+        mentions: dict[str, list[int]] = {}
+        for i, n in enumerate(own, first):
+            row = np.zeros(len(LABELS))
+            if n["base"]:
+                row[:] = ABSENT
+                row[n["label"]] = 0.0
+            elif n["feature"] not in NEUTRAL:
+                row = potentials.emission.get(n["feature"], row)
+            unary.append(row)
+            nodes.append((i, n | {"doc": d}))
+            mentions.setdefault(n["key"], []).append(i)
+            if i > first:
+                left.append(i - 1)
+                right.append(i)
+                kind.append(0)
+        for found in mentions.values():
+            known = np.bincount([own[i - first]["label"] for i in found if own[i - first]["base"]], minlength=len(LABELS))
+            free = [i for i in found if not own[i - first]["base"]]
+            if len(found) < 2 or not free:
+                continue
+            left += [len(unary)] * len(free)
+            right += free
+            kind += [1] * len(free)
+            unary.append(np.where(known > 0, np.log(np.maximum(known, 1)), ABSENT) if known.any() else np.zeros(len(LABELS)))
+        group += [d] * (len(unary) - first)
+    if not unary:
         return out
-    unary = np.zeros((len(flat), len(LABELS)))
-    left, right, kind = [], [], []
-    seen: dict[tuple[int, str], int] = {}
-    for i, (d, n) in enumerate(flat):
-        if n["base"]:
-            unary[i] = -50.0
-            unary[i, n["label"]] = 0.0
-        else:
-            if n["feature"] not in NEUTRAL:
-                unary[i] = potentials.emission.get(n["feature"], 0.0)
-        if i and flat[i - 1][0] == d:
-            left.append(i - 1)
-            right.append(i)
-            kind.append(0)
-        before = seen.get((d, n["key"]))
-        if before is not None:
-            left.append(before)
-            right.append(i)
-            kind.append(1)
-        seen[(d, n["key"])] = i
     tables = np.stack([potentials.transition, potentials.agreement * np.eye(len(LABELS))])
-    found = marginals(unary, np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), tables[np.array(kind, dtype=np.int64)])
-    for i, (d, n) in enumerate(flat):
+    edges = [np.array(x, dtype=np.int64) for x in (left, right)]
+    found = marginals(np.stack(unary), *edges, tables[np.array(kind, dtype=np.int64)], group=np.array(group, dtype=np.int64))
+    for i, n in nodes:
         best = int(found[i].argmax())
         if not n["base"] and best and found[i, best] >= least:
-            out[d].append((n["start"], best, n["end"]))
+            out[n["doc"]].append((n["start"], best, n["end"]))
     return out
 
 
