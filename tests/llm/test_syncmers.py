@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import statistics
 
 import pytest
@@ -55,6 +56,48 @@ def test_closed_syncmers_are_context_free(spark):
     assert len({tuple(words[i : i + m.K]) for i in starts}) == len(sets["all"])
 
 
+def likenesses(spark, pairs) -> list[float]:
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    both = df.select("i", m.anchors(F.col("a")).alias("a"), m.anchors(F.col("b")).alias("b"))
+    return [r["x"] for r in both.select("i", m.likeness(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
+
+
+def test_fingerprints_hold_all_anchors_with_their_places(spark):
+    words = [f"w{i * i % 9973}" for i in range(600)]
+    text, other = " ".join(words), " ".join([*words[:-30], *(f"x{i}" for i in range(30))])
+    rows = spark.createDataFrame([(0, text), (1, other)], "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in m.compare_with_edits(rows).collect()}
+    hashes = rows.where("doc_id = 0").select(m.word_hashes(F.col("text")).alias("h")).first()["h"]
+    count, _, rest = got[0].partition(":")
+    listed = [x.split(".") for x in rest.split(",")]
+    assert int(count) == len(listed) > 200 and {int(p) for p, _ in listed} == chosen(hashes, m.K, m.S, spark)
+    assert [int(p) for p, _ in listed] == sorted(int(p) for p, _ in listed)
+    shared = set(rest.split(",")) & set(got[1].partition(":")[2].split(","))
+    assert got[0] != got[1] and len(shared) > 200  # the shared passage is found at its place
+
+
+def test_likeness_counts_anchors_in_order(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    passages = [words[i : i + 50] for i in range(0, 400, 50)]
+    mixed = rng.sample(passages, len(passages))
+    pairs = [(" ".join(words), " ".join(words)), (" ".join(words), " ".join(sum(reversed(passages), []))), ("", " "), ("", "a"), ("a a b", "b a a")]
+    pairs += [(" ".join(words), " ".join(sum(mixed, [])))]
+    pairs += [(" ".join(rng.choices("ab", k=n)), " ".join(rng.choices("ab", k=60))) for n in (3, 40, 90)]
+    got = likenesses(spark, pairs)
+    assert got[0] == 1 and got[1] < 0.12 and got[2:4] == [1, 0] and got[4] == 0.5
+    df = spark.createDataFrame(pairs, "a string, b string").select(m.anchors(F.col("a")).alias("a"), m.anchors(F.col("b")).alias("b"))
+    for (a, b), value in zip([(r["a"]["hash"], r["b"]["hash"]) for r in df.collect()], got):
+        number = lambda hs: [(h, hs[:i].count(h)) for i, h in enumerate(hs)]
+        at = {x: i for i, x in enumerate(number(b))}
+        order = [at[x] for x in number(a) if x in at]
+        best: list[int] = []
+        for i, x in enumerate(order):
+            best.append(1 + max((best[j] for j in range(i) if order[j] < x), default=0))
+        n = max(best, default=0)
+        assert value == (n / (len(a) + len(b) - n) if a or b else 1)
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = op10(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "SinglePartition"))

@@ -4,7 +4,8 @@ Units are words. A k-mer of words is a closed syncmer if the smallest hash among
 its inner s-mers stands at its first or last place. Whether a k-mer is chosen
 depends on nothing outside it, so texts that share a passage choose the same
 k-mers in it: they are anchors for comparing texts piece by piece. A text's
-fingerprint is the set of its syncmers' hashes.
+fingerprint lists all its anchors, each with the place of its first word and its
+hash; two texts are as like as the share of anchors that match in order.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 K, S = 5, 2
-#: Hashes printed in a fingerprint's string, after their number.
-PRINTED = 32
 PART_BYTES = 4_000_000
 COARSE = 256
 
@@ -34,13 +33,20 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _struct(place: Column, found: Column) -> Column:
+    return F.struct(place.cast("array<int>").alias("place"), found.cast("array<bigint>").alias("hash"))
+
+
 def closed_syncmers(hashes: Column, k: int = K, s: int = S) -> Column:
-    """Sorted distinct hashes of the closed syncmers of a sequence of unit hashes.
+    """All closed syncmers of a sequence of unit hashes, in order: struct of arrays ``place`` (from 0) and ``hash``.
 
     A sequence without any (shorter than k, or too short to have one) gives its units' own hashes, an empty one nothing.
     """
     last = k - s
 
+    def units(h: Column) -> Column:
+        return F.when(F.size(h) == 0, _struct(F.array(), F.array())).otherwise(_struct(F.sequence(F.lit(0), F.size(h) - 1), h))
+
     def of_inner(h: Column, inner: Column) -> Column:
         def chosen(i: Column) -> Column:
             least = F.least(*[inner[i + j] for j in range(last + 1)])
@@ -48,32 +54,90 @@ def closed_syncmers(hashes: Column, k: int = K, s: int = S) -> Column:
 
         steps = [*range(0, last, s), last]
         starts = F.filter(F.sequence(F.lit(0), F.size(h) - k), chosen)
-        found = F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[inner[i + j] for j in steps]))))
-        return F.when(F.size(found) > 0, found).otherwise(F.sort_array(F.array_distinct(h)))
+        found = let(starts, lambda x: _struct(x, F.transform(x, lambda i: F.xxhash64(*[inner[i + j] for j in steps]))))
+        return let(found, lambda x: F.when(F.size(x["place"]) > 0, x).otherwise(units(h)))
 
     def of_units(h: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*[h[i + j] for j in range(s)]))
-        long = let(inner, lambda x: of_inner(h, x))
-        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, F.sort_array(F.array_distinct(h))).otherwise(long)
+        return F.when(F.size(h) < k, units(h)).otherwise(let(inner, lambda x: of_inner(h, x)))
 
     return let(hashes, of_units)
 
 
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """All closed syncmers of a text's words, in order: struct of arrays ``place`` (of the first word, from 0) and ``hash``."""
+    return closed_syncmers(word_hashes(text), k, s)
+
+
 def fingerprint(text: Column, k: int = K, s: int = S) -> Column:
     """The set of closed syncmers of a text, as a sorted array of hashes."""
-    return closed_syncmers(word_hashes(text), k, s)
+    return F.sort_array(F.array_distinct(anchors(text, k, s)["hash"]))
+
+
+def printed(found: Column) -> Column:
+    """The number of anchors and all of them in order: place and hash in hexadecimal."""
+    one = F.zip_with(found["place"], found["hash"], lambda p, h: F.concat(p.cast("string"), F.lit("."), F.lower(F.lpad(F.hex(h), 16, "0"))))
+    return F.concat(F.size(found["place"]).cast("string"), F.lit(":"), F.array_join(one, ","))
+
+
+def _numbered(found: Column, side: int) -> Column:
+    """Sorted structs (hash, n, side, at) of anchors: ``n`` numbers those of equal hash, ``at`` is the index in the text's order."""
+
+    def of_sorted(x: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (x[i]["hash"] != F.get(x, i - 1)["hash"]))
+
+        def numbers(f: Column) -> Column:
+            return F.flatten(F.transform(f, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(f, j + 1), F.size(x)) - a - 1)))
+
+        return F.zip_with(x, let(first, numbers), lambda y, n: F.struct(y["hash"].alias("hash"), n.alias("n"), F.lit(side).alias("side"), y["at"].alias("at")))
+
+    own = F.sort_array(F.transform(found["hash"], lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
+    none = F.array().cast("array<struct<hash:bigint,n:int,side:int,at:int>>")
+    return let(own, lambda x: F.when(F.size(x) == 0, none).otherwise(of_sorted(x)))
+
+
+def matched(a: Column, b: Column) -> Column:
+    """Structs (a, b): indices of anchors of equal hash in both texts, in the first one's order.
+
+    Repeated hashes pair by number: the first with the first and so on.
+    """
+
+    def pairs(x: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(x)), lambda i: (F.get(x, i)["side"] == 0) & (F.get(x, i + 1)["side"] == 1) & (F.get(x, i)["hash"] == F.get(x, i + 1)["hash"]) & (F.get(x, i)["n"] == F.get(x, i + 1)["n"]))
+        return F.sort_array(F.transform(at, lambda i: F.struct(x[i]["at"].alias("a"), x[i + 1]["at"].alias("b"))))
+
+    return let(F.sort_array(F.concat(_numbered(a, 0), _numbered(b, 1))), pairs)
+
+
+def in_order(pairs: Column) -> Column:
+    """The most of these pairs (in the first text's order) that stand in the same order in both texts.
+
+    Pairs that are neighbours in both orders form a block; each is taken whole or not at all, so the heaviest
+    increasing chain of blocks is exact.
+    """
+    by_b = F.sort_array(F.transform(pairs, lambda p: F.struct(p["b"].alias("b"), p["a"].alias("a"))))
+    ranked = F.transform(F.sort_array(F.transform(by_b, lambda p, i: F.struct(p["a"].alias("a"), i.alias("rank")))), lambda p: p["rank"])
+
+    def blocks(r: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | (r[i] != F.get(r, i - 1) + 1))
+        return let(
+            first, lambda f: F.transform(f, lambda i, j: F.struct(r[i].alias("lo"), (F.coalesce(F.get(f, j + 1), F.size(r)) - i).alias("n")))
+        )
 
+    def step(chains: Column, x: Column) -> Column:
+        before = F.array_max(F.transform(F.filter(chains, lambda c: c["end"] < x["lo"]), lambda c: c["n"]))
+        return F.concat(chains, F.array(F.struct((x["lo"] + x["n"] - 1).alias("end"), (F.coalesce(before, F.lit(0)) + x["n"]).alias("n"))))
 
-def printed(found: Column, most: int = PRINTED) -> Column:
-    """The number of syncmers and the smallest hashes in hexadecimal."""
-    digits = F.transform(F.slice(found, 1, most), lambda x: F.lower(F.lpad(F.hex(x), 16, "0")))
-    return F.concat(F.size(found).cast("string"), F.lit(":"), F.array_join(digits, ""))
+    none = F.array().cast("array<struct<end:int,n:int>>")
+    chained = let(ranked, lambda r: F.aggregate(blocks(r), none, step, lambda c: F.array_max(F.transform(c, lambda x: x["n"]))))
+    return F.when(F.size(pairs) == 0, 0).otherwise(chained)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two fingerprints, 1 for two empty ones."""
-    both = F.size(F.array_intersect(a, b))
-    return let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n)))
+    """Anchors matched in order, as a share of all anchors of both texts (a match counts once); 1 for two texts without any."""
+    both = let(matched(a, b), in_order)
+    total = F.size(a["hash"]) + F.size(b["hash"])
+    return let(both, lambda n: F.when(total == 0, 1.0).otherwise(n / (total - n)))
 
 
 def id_parts(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -132,17 +196,17 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: id, n_chars, edited_sha256, both fingerprints, near_edited and near_next.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the
-    first as many (or all) of the next document. A null text counts as empty;
+    first as many (or all) of the next document. Fingerprints hold every anchor. A null text counts as empty;
     texts without words have the empty fingerprint. Repeated rows are rows of
     their own; ids must be integers, null ids come first; other columns play no
     part; an empty table gives an empty table.
     """
-    rows = with_next(docs, id_col, text_col, {"found": fingerprint})
+    rows = with_next(docs, id_col, text_col, {"found": anchors})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half))
     rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "found", "next_found")
-    rows = rows.select("*", fingerprint(F.col("edited")).alias("edited_found"))
+    rows = rows.select("*", anchors(F.col("edited")).alias("edited_found"))
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
