@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 import duckdb
@@ -52,6 +53,34 @@ def test_tree_matching_keeps_order():
     assert pairs == sorted(pairs, key=lambda p: p[1]) and all(a[0][x] == b[0][y] for x, y in pairs)
 
 
+def test_long_lists_are_matched_like_short_ones(monkeypatch):
+    def flat(labels):
+        return ["r", *labels], [list(range(1, len(labels) + 1)), *[[] for _ in labels]]
+
+    rng = random.Random(1)
+    for _ in range(60):
+        sides = []
+        for _ in range(2):
+            labels, children = flat(rng.choices("abc", k=rng.randrange(1, 30)))
+            for i in range(1, len(labels)):
+                for _ in range(rng.randrange(3)):
+                    children[i].append(len(labels))
+                    labels.append(rng.choice("xy"))
+                    children.append([])
+            sides.append((labels, children))
+        want = len(wrappers.simple_tree_matching(*sides))
+        with monkeypatch.context() as small:
+            small.setattr(wrappers, "CELLS", 0)
+            small.setattr(wrappers, "HALVED", 4, raising=False)
+            found = wrappers.simple_tree_matching(*sides)
+        assert len(found) == want
+        tops = sorted((x, y) for x, y in found.items() if x in sides[0][1][0])
+        assert tops == sorted(tops, key=lambda p: p[1]) and all(sides[0][0][x] == sides[1][0][y] for x, y in found.items())
+    page, pattern = ["late", *["h2", "p"] * 700], [*["h2", "p"] * 700, "late"]
+    found = wrappers.simple_tree_matching(flat(page), flat(pattern))
+    assert len(found) == 1401
+
+
 def test_broken_markup():
     for source in ("<", "<<p>a", "<p", "</p>", "<!--", "<script>", "a<b", "<p><div></p></div>" * 50, "<div>" * 3000 + "x", "<p class=\"a", "&#0;&#x110000;&bogus;"):
         wrappers.Page(source)

@@ -51,6 +51,8 @@ SAME_ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("t
 
 DEPTH = 200
 CELLS = 1_000_000
+#: Cells below which halved lists are aligned in one table.
+HALVED = 10_000
 COMMON = 0.8
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.DOTALL)
@@ -171,12 +173,65 @@ def tree(labels: list[str], parents: list[int]) -> list[list[int]]:
 def simple_tree_matching(a: tuple[list[str], list[list[int]]], b: tuple[list[str], list[list[int]]]) -> dict[int, int]:
     """The largest order-keeping match of two labelled trees from their roots: node of a → node of b.
 
-    Lists of children whose product exceeds ``CELLS`` are aligned greedily, each
-    child with the next one of the same label.
+    Lists of children whose product exceeds ``CELLS`` are halved (Hirschberg) until
+    it doesn't, so that the same optimum is found with a few rows of the table.
     """
     (la, ca), (lb, cb) = a, b
     memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
+    def whole(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        chosen = []
+        best = np.zeros((len(xs) + 1, len(ys) + 1), dtype=np.int64)
+        for i, u in enumerate(xs, 1):
+            for j, v in enumerate(ys, 1):
+                best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + match(u, v))
+        i, j = len(xs), len(ys)
+        while i and j:
+            w = match(xs[i - 1], ys[j - 1])
+            if w and best[i, j] == best[i - 1, j - 1] + w:
+                chosen.append((xs[i - 1], ys[j - 1]))
+                i, j = i - 1, j - 1
+            elif best[i, j] == best[i - 1, j]:
+                i -= 1
+            else:
+                j -= 1
+        return chosen
+
+    def last_row(xs: list[int], ys: list[int]) -> np.ndarray:
+        """Weights of the best alignments of all of xs with the first 0, 1, ... of ys."""
+        places: dict[str, list[int]] = {}
+        for j, v in enumerate(ys):
+            places.setdefault(lb[v], []).append(j)
+        plain = {label: np.array(js) for label, js in places.items()}
+        best = np.zeros(len(ys) + 1, dtype=np.int64)
+        for u in xs:
+            if la[u] not in plain:
+                continue
+            js = plain[la[u]]
+            new = best.copy()
+            weight = np.array([match(u, ys[j]) if cb[ys[j]] else 1 for j in js]) if ca[u] else 1
+            new[js + 1] = np.maximum(new[js + 1], best[js] + weight)
+            best = np.maximum.accumulate(new)
+        return best
+
+    def halved(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        chosen, todo = [], [(xs, ys)]
+        while todo:
+            us, vs = todo.pop()
+            if not us or not vs:
+                continue
+            if len(us) == 1:
+                weights = [match(us[0], v) for v in vs]
+                if max(weights):
+                    chosen.append((us[0], vs[weights.index(max(weights))]))
+            elif len(us) * len(vs) <= HALVED:
+                chosen += whole(us, vs)
+            else:
+                half = len(us) // 2
+                cut = int((last_row(us[:half], vs) + last_row(us[half:][::-1], vs[::-1])[::-1]).argmax())
+                todo += [(us[:half], vs[:cut]), (us[half:], vs[cut:])]
+        return chosen
+
     def match(x: int, y: int) -> int:
         if la[x] != lb[y]:
             return 0
@@ -185,28 +240,9 @@ def simple_tree_matching(a: tuple[list[str], list[list[int]]], b: tuple[list[str
         xs, ys = ca[x], cb[y]
         chosen: list[tuple[int, int]] = []
         if xs and ys and len(xs) * len(ys) <= CELLS:
-            best = np.zeros((len(xs) + 1, len(ys) + 1), dtype=np.int64)
-            for i, u in enumerate(xs, 1):
-                for j, v in enumerate(ys, 1):
-                    best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + match(u, v))
-            i, j = len(xs), len(ys)
-            while i and j:
-                w = match(xs[i - 1], ys[j - 1])
-                if w and best[i, j] == best[i - 1, j - 1] + w:
-                    chosen.append((xs[i - 1], ys[j - 1]))
-                    i, j = i - 1, j - 1
-                elif best[i, j] == best[i - 1, j]:
-                    i -= 1
-                else:
-                    j -= 1
+            chosen = whole(xs, ys)
         elif xs and ys:
-            j = 0
-            for u in xs:
-                k = next((k for k in range(j, len(ys)) if lb[ys[k]] == la[u]), None)
-                if k is not None:
-                    match(u, ys[k])
-                    chosen.append((u, ys[k]))
-                    j = k + 1
+            chosen = halved(xs, ys)
         memo[x, y] = (1 + sum(memo[p][0] for p in chosen), chosen)
         return memo[x, y][0]
 
