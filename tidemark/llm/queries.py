@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard_join, licenses, mixing, perplexity, pii, quality, secrets, syncmers, wrappers
+from tidemark.llm import bpe, interactions, jaccard_join, licenses, mixing, perplexity, pii, quality, secrets, syncmers, wrappers
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -117,3 +118,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+#: Brute force: every order, step and mask, without coalitions.
+INTERACTIONS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails,
+  coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o(filter_order) AS (VALUES {", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))}),
+s AS (SELECT part, filter_order, step, filter_order[step] AS letter, n, good, toxic, fails,
+    contains(fails, filter_order[step]) AS own, translate(fails, filter_order[1:step - 1], '') <> fails AS gone
+  FROM m, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, letter, sum(n) FILTER (NOT own AND NOT gone) AS kept,
+    sum(n) FILTER (own AND NOT gone) AS removed, sum(n) FILTER (own AND gone) AS redundant, sum(n) FILTER (fails = letter) AS unique_fails,
+    sum(good) FILTER (own AND NOT gone) AS good_lost, sum(toxic) FILTER (own AND NOT gone) AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley FROM r
+"""
+
+
+@query("op13_interactions", INTERACTIONS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
