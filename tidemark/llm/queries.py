@@ -8,7 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, interactions, jaccard_join, licenses, mixing, perplexity, pii, quality, secrets, syncmers, wrappers
+from tidemark.llm import bpe, divergence, interactions, jaccard_join, licenses, mixing, perplexity, pii, quality, secrets, syncmers, warc, wrappers
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files.
@@ -147,3 +147,52 @@ SELECT part, filter_order, step::INT AS step, {", ".join(f"coalesce({c}, 0)::BIG
 @query("op13_interactions", INTERACTIONS_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: Brute force: the shares of all terms in all groups, pair by pair.
+DIVERGENCE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+w AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS lang_n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.lang_n FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (sum(n) OVER s + count(*) OVER s)::HUGEINT AS p,
+    1 + (1000000000 * (lang_n + 1)) // (sum(lang_n) OVER s + count(*) OVER s)::HUGEINT AS q
+  FROM x WINDOW s AS (PARTITION BY lang, source)),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0)::BIGINT AS value
+  FROM g JOIN g AS o ON o.lang = g.lang AND o.source <> g.source LEFT JOIN p AS a ON a.lang = g.lang AND a.source = g.source
+  LEFT JOIN p AS b ON b.lang = o.lang AND b.source = o.source AND b.term = a.term GROUP BY ALL),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+_BASE32 = "||".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, {5 * i + 1}, 5))::INT >> {15 - 5 * j}) & 31), 1)" for i in range(8) for j in range(4)
+)
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS head FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to FROM m
+"""
+
+
+@query("op11_warc", WARC_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    read = warc.records(spark, path, payload=False).where("record_type IN ('response', 'revisit')")
+    return read.selectExpr(
+        f"{warc.page_id('record_id')} AS page_id", "payload_bytes", "payload_digest", "record_type", f"{warc.page_id('refers_to')} AS refers_to"
+    )
