@@ -153,7 +153,7 @@ def test_packages_are_plain_zip_files(spark):
         lines = z.read(warc.INDEX).decode().splitlines()
         entry = json.loads(lines[0][lines[0].index("{") :])
         one = gzip.decompress(z.read(warc.DATA)[entry["offset"] : entry["offset"] + entry["length"]])
-    assert records.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and one.startswith(b"WARC/1.1\r\nWARC-Type: res")
+    assert records.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and one.startswith(b"WARC/1.1\r\nWARC-Type: revisit")
     assert len(lines) == len(PAGES)
 
 
