@@ -13,7 +13,7 @@ from conftest import rows
 from tidemark.operators import cdc
 from tidemark.operators.ordered import runs
 from tidemark.sources.readers import parse_lines
-from tidemark.streaming import flows
+from tidemark.streaming import flows, heartbeat
 from tidemark.streaming.store import ChangeStore
 
 STATE = "id bigint, v bigint"
@@ -145,3 +145,40 @@ def test_heartbeat_across_batches(spark, tmp_path):
     whole = runs(spark.createDataFrame(kept, ddl), ["k"], ["ts", "n"], F.col("failed")).where("run_length >= 3")
     got = flows.latest_rows(spark, f"{root}/runs", ["k", "run_start"])
     assert rows(got) == rows(whole.select("k", "run_start", "run_end", "run_length"))
+
+
+def test_heartbeat_in_event_time(spark, tmp_path):
+    """Events in any order give the runs of the ordered table; what comes after the watermark is a dead letter."""
+    rng = random.Random(9)
+    t0 = datetime(2024, 1, 1)
+    data = [(rng.choice([1, 1, 1, 2, 3]), t0 + timedelta(seconds=37 * (i // 2)), i, rng.random() < 0.75) for i in range(400)]
+    data += [(4, t0 + timedelta(minutes=i), 500 + i, True) for i in range(0, 180, 7)]
+    landing, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    ddl = "k bigint, ts timestamp_ntz, n bigint, failed boolean"
+
+    def line(k, ts, n, failed):
+        return json.dumps({"k": k, "ts": ts and ts.isoformat() + ".000000", "n": n, "failed": failed})
+
+    def run():
+        parsed = parse_lines(flows.line_stream(spark, landing, max_files=1), ddl).drop("_corrupt")
+        pieces = heartbeat.event_time_pieces(parsed, "k", "ts", "n", "failed", "5 hours", bucket_seconds=600)
+        flows.run_available(pieces, flows.upsert_sink(sink), str(tmp_path / "cp"))
+
+    shuffled = data[:]
+    rng.shuffle(shuffled)
+    for i in range(3):
+        land(landing, [line(*r) for r in shuffled[i::3]], f"{i}.json")
+    land(landing, [line(1, None, 900, True)], "3.json")
+    run()
+    land(landing, [line(None, t0 + timedelta(days=1), 0, None)], "4.json")
+    run()
+    late = [(1, t0 + timedelta(minutes=1), 901, False), (7, t0 + timedelta(minutes=2), 902, True)]
+    land(landing, [line(*r) for r in late], "5.json")
+    run()
+    pieces = spark.read.parquet(sink)
+    whole = runs(spark.createDataFrame(data, ddl), ["k"], ["ts", "n"], F.col("failed")).where("run_length >= 3")
+    want = rows(whole.select(F.col("k").alias("target"), "run_start", "run_end", "run_length"))
+    assert rows(heartbeat.failure_runs(pieces)) == want
+    assert rows(heartbeat.failure_runs(pieces, rows_per_chunk=5)) == want
+    dead = sorted((tuple(r) for r in heartbeat.dead_letters(pieces).collect()), key=repr)
+    assert dead == sorted([*((k, ts, n, "LATE") for k, ts, n, _ in late), (1, None, 900, "NO TIME")], key=repr)

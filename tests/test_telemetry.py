@@ -60,11 +60,14 @@ def test_lock_conflicts_equal_pairs(spark, seed):
             want[n] = (len(others), others[0][1])
     out = blocking.lock_conflicts(locks, ["res"], "pid", "granted", "ts")
     assert {r.n: (r.blocking_holders, r.oldest_holder) for r in out.collect()} == want
-    pairs = blocking.conflicts_of(locks, ["res"], "pid", "granted", [1, 2])
-    want_pairs = {
-        (w[1], p, w[2]) for w in data if not w[3] and w[1] in (1, 2) for (r, p) in held if r == w[2] and p != w[1]
-    }
-    assert {(r.blocked_pid, r.holder_pid, r.res) for r in pairs.collect()} == want_pairs
+    want_pairs = {(w[1], p, w[2]) for w in data if not w[3] for (r, p) in held if r == w[2] and p != w[1]}
+    for tile, limit in ((1, 3), (2, 1000), (1000, 1000)):
+        pairs = blocking.conflict_pairs(locks, ["res"], "pid", "granted", tile=tile, rows_per_chunk=limit).collect()
+        assert len(pairs) == len(want_pairs) and {(r.blocked_pid, r.holder_pid, r.res) for r in pairs} == want_pairs
+    some = blocking.conflict_pairs(locks, ["res"], "pid", "granted", "pid IN (1, 2)").collect()
+    assert {(r.blocked_pid, r.holder_pid, r.res) for r in some} == {p for p in want_pairs if p[0] in (1, 2)}
+    counts = {r.pid: (r.pairs_waiting, r.pairs_holding) for r in blocking.conflict_counts(locks, ["res"], "pid", "granted").collect()}
+    assert counts == {d[1]: (sum(p[0] == d[1] for p in want_pairs), sum(p[1] == d[1] for p in want_pairs)) for d in data}
     contended = {d[2] for d in data if d[3]} & {d[2] for d in data if not d[3]}
     assert {r.pid for r in blocking.in_contention(locks, ["res"], "pid", "granted").collect()} == {d[1] for d in data if d[2] in contended}
 

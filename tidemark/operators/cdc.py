@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label
+from tidemark.operators import graphs
 from tidemark.operators.ordered import ROWS_PER_CHUNK, Running, following, previous, running
 
 # Operation codes of a captured change table.
@@ -237,6 +238,17 @@ def checkpoint_lag(checkpoint: DataFrame, as_of: str) -> DataFrame:
     return checkpoint.select("table_name", "last_scn", lag.alias("lag_minutes"), status.alias("status"))
 
 
+def replay_layers(tables: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (table_name, layer, state) of the order in which tables can be replayed.
+
+    ``tables`` has table_name, ``links`` child and parent: a child's changes need its
+    parents' first, so tables of one layer can be replayed side by side. Tables on a
+    cycle of links or behind one have no layer and state ``CYCLE`` or ``BLOCKED``.
+    """
+    nodes = tables.select(F.col("table_name").alias("node"))
+    return graphs.layers(nodes, links.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).withColumnRenamed("node", "table_name")
+
+
 def replay_sanity(
     log: DataFrame, arrival: str, position: str, by: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
@@ -251,7 +263,11 @@ def replay_sanity(
         log.select(*by, position).distinct(), by, [position], {"_before": position}, rows_per_chunk=rows_per_chunk
     )
     jumps = dense.groupBy(*by).agg(F.count_if(F.col(position) - F.col("_before") > 1).alias("position_gaps"))
-    return late.join(jumps, by)
+    named = jumps.select(*[F.col(c).alias(f"_j_{c}") for c in by], "position_gaps")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+    return late.join(named, same).select(*late.columns, "position_gaps")
 
 
 def operation_parity(source: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:

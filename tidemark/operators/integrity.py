@@ -32,6 +32,23 @@ def orphan_counts(child: DataFrame, foreign_key: str, parent: DataFrame, parent_
     return referenced.join(parents, foreign_key, "left_anti")
 
 
+def link_orphans(tables: dict[str, DataFrame], candidates: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Rows (child, child_key, parent, orphan_keys), one per candidate (child, column, parent, column).
+
+    Both sides are reduced to distinct keys before they meet. A candidate without
+    orphan keys is a link that the data keep.
+    """
+    parts = []
+    for child, key, parent, parent_key in candidates:
+        keys = tables[child].select(F.col(key).alias("k")).where("k IS NOT NULL").distinct()
+        lost = keys.join(tables[parent].select(F.col(parent_key).alias("k")), "k", "left_anti").agg(F.count("*").alias("orphan_keys"))
+        parts.append(lost.select(F.lit(child).alias("child"), F.lit(key).alias("child_key"), F.lit(parent).alias("parent"), "orphan_keys"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def null_violations(df: DataFrame, required: list[str]) -> DataFrame:
     """Null rows per required column, all columns in one pass."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])

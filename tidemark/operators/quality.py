@@ -154,6 +154,18 @@ def alert_quality(alerts: DataFrame, ts: str) -> DataFrame:
     return grouped.withColumn("on_target", good)
 
 
+def alert_outcomes(alerts: DataFrame, met: DataFrame, alert: str, by: list[str], fired_at: str) -> DataFrame:
+    """Per group and week: alerts fired, those that an incident of ``met`` overlaps, their share versus the target.
+
+    Both sides hold unique alert ids; ``met`` may have many rows per alert.
+    """
+    led = met.select(alert).distinct().withColumn("_led", F.lit(True))
+    marked = alerts.join(led, alert, "left").withColumn("week", F.trunc(F.col(fired_at).cast("date"), "week"))
+    counted = marked.groupBy(*by, "week").agg(F.count("*").alias("fired"), F.count_if(F.coalesce("_led", F.lit(False))).alias("led"))
+    share = F.round(F.lit(100.0) * ratio_or_null(F.col("led"), F.col("fired")), 2)
+    return counted.withColumn("incident_pct", share).withColumn("on_target", F.col("incident_pct") > 70)
+
+
 def patch_sla(df: DataFrame, found: str, patched: str, severity: str, as_of: str) -> DataFrame:
     """Age of a finding against the limit of its severity; open findings age until ``as_of``."""
     until = F.coalesce(F.col(patched).cast("date"), F.lit(as_of).cast("date"))

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label
+from tidemark.operators import graphs
+from tidemark.operators.ordered import Running, running
 from tidemark.session import materialize
 
+#: Waiters and holders of one unit of work of ``conflict_pairs``.
+PAIR_TILE = 1000
+
 
 def one_per_session(sessions: DataFrame, scope: list[str], session: str) -> DataFrame:
     """One row per session id within its scope: of repeated ids the row with the largest values stays."""
@@ -109,6 +114,53 @@ def chains_by_head(chains: DataFrame, scope: list[str] | None = None) -> DataFra
     )
 
 
+def _wait_edges(sessions: DataFrame, session: str, blockers: str, scope: list[str]) -> DataFrame:
+    """Distinct rows (scope, session, _blocker) of what the sessions list as blockers."""
+    listed = sessions.where(F.col(session).isNotNull()).select(*scope, session, F.explode(blockers).alias("_blocker"))
+    return listed.where("_blocker IS NOT NULL").distinct()
+
+
+def _node(scope: list[str], name: str):
+    return F.struct(*scope, F.col(name).cast("bigint").alias("id"))
+
+
+def head_sets(
+    sessions: DataFrame, session: str = "session_id", blockers: str = "blockers", scope: list[str] | None = None
+) -> DataFrame:
+    """Rows (scope, waiter, head): every head that a waiting session waits for in the end, through any of its blockers.
+
+    A head waits for nobody, or is not among the sessions. Ways through sessions
+    with one blocker are shortened first by pointer doubling; then heads spread against the
+    edges of the sessions with several blockers, round by round. Cycles end by
+    themselves; a session that waits for cycles only has no head. The rows of a repeated id add up.
+    """
+    scope = scope or []
+    listed = _wait_edges(sessions, session, blockers, scope)
+    edges = materialize(listed.select(_node(scope, session).alias("src"), _node(scope, "_blocker").alias("dst")), "wait_edges")
+    degrees = materialize(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.max("dst").alias("next")), "degrees")
+    single, forks = degrees.where("n = 1").select("node", "next"), degrees.where("n > 1").select("node")
+    ends = materialize(graphs.chain_ends(single), "ends")
+    # A fork's blockers, each replaced by the end of its chain; chains that run into a cycle lead to no head.
+    looped = single.select(F.col("node").alias("dst")).join(ends.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    ways = edges.join(forks.withColumnRenamed("node", "src"), "src", "left_semi").join(looped, "dst", "left_anti")
+    ways = ways.join(ends.withColumnRenamed("node", "dst"), "dst", "left").select("src", F.coalesce("end", "dst").alias("dst"))
+    ways = materialize(ways.distinct(), "ways")
+    heads = ends.select(F.col("end").alias("node")).union(ways.select("dst")).distinct().join(forks, "node", "left_anti")
+    reached = graphs.spread(ways, heads.withColumn("label", F.col("node"))).select(F.col("node").alias("end"), "label")
+    found = ends.unionByName(forks.withColumn("end", F.col("node"))).join(reached, "end")
+    return found.select(*[F.col("node")[c].alias(c) for c in scope], F.col("node.id").alias("waiter"), F.col("label.id").alias("head"))
+
+
+def blocking_cycles(
+    sessions: DataFrame, session: str = "session_id", blockers: str = "blockers", scope: list[str] | None = None
+) -> DataFrame:
+    """Rows (scope, cycle, session) of the sessions that wait for each other; ``cycle`` is the smallest of them."""
+    scope = scope or []
+    edges = _wait_edges(sessions, session, blockers, scope)
+    found = graphs.components_of_cycles(edges.select(_node(scope, session).alias("src"), _node(scope, "_blocker").alias("dst")))
+    return found.select(*[F.col("node")[c].alias(c) for c in scope], F.col("component.id").alias("cycle"), F.col("node.id").alias(session))
+
+
 def lock_conflicts(locks: DataFrame, resource: list[str], pid: str, granted: str, ts: str) -> DataFrame:
     """One row per waiting request with what holds its resource.
 
@@ -148,19 +200,67 @@ def lock_conflicts(locks: DataFrame, resource: list[str], pid: str, granted: str
     ).where(F.col("blocking_holders") > 0)
 
 
-def conflicts_of(locks: DataFrame, resource: list[str], pid: str, granted: str, blocked: list[int]) -> DataFrame:
-    """Explicit (waiter, holder) pairs for a given list of sessions."""
-    waiting = locks.where(~F.col(granted) & F.col(pid).isin(*blocked)).select(
-        *[F.col(c).alias(f"_w_{c}") for c in resource], F.col(pid).alias("blocked_pid")
-    ).distinct()
+def _lock_sides(locks: DataFrame, resource: list[str], pid: str, granted: str) -> DataFrame:
+    """One row per resource and session: whether it waits, whether it holds (0 or 1)."""
+    held = F.coalesce(F.col(granted), F.lit(False))
+    return locks.where(F.col(pid).isNotNull()).groupBy(*resource, pid).agg(
+        F.max((~held).cast("bigint")).alias("_waits"), F.max(held.cast("bigint")).alias("_holds")
+    )
+
+
+def _null_safe(columns: list[str], prefix: str):
     condition = F.lit(True)
+    for c in columns:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return condition
+
+
+def conflict_counts(locks: DataFrame, resource: list[str], pid: str, granted: str) -> DataFrame:
+    """Number of (waiter, holder, resource) pairs in which each session waits, and in which it holds.
+
+    Pairs stay factored: a resource's waiters and holders are counted, and every
+    session takes the other side's number less the pair that it would make with itself.
+    """
+    sides = materialize(_lock_sides(locks, resource, pid, granted), "lock_sides")
+    sizes = sides.groupBy(*[F.col(c).alias(f"_r_{c}") for c in resource]).agg(F.sum("_waits").alias("_w"), F.sum("_holds").alias("_h"))
+    both = F.col("_waits") * F.col("_holds")
+    pairs = sides.join(sizes, _null_safe(resource, "_r_"))
+    return pairs.groupBy(pid).agg(
+        F.sum(F.col("_waits") * F.col("_h") - both).alias("pairs_waiting"), F.sum(F.col("_holds") * F.col("_w") - both).alias("pairs_holding")
+    )
+
+
+def conflict_pairs(
+    locks: DataFrame, resource: list[str], pid: str, granted: str, blocked: str = "true", tile: int = PAIR_TILE, **options
+) -> DataFrame:
+    """Explicit (waiter, holder) pairs per resource, for the waiting sessions that meet the SQL condition ``blocked``.
+
+    Waiters and holders of a resource are numbered, which numbers its pairs: waiter i
+    and holder j make pair ``i * holders + j``. The pairs are cut into tiles of ``tile``
+    waiters by ``tile`` holders, and each tile is a join key of its own. So a resource that
+    a third of all requests want is as many even units of work as it has tiles, and a
+    row is copied once per tile that it is in. ``options`` go to ``ordered.running``.
+    """
+    sides = materialize(_lock_sides(locks, resource, pid, granted), "lock_sides")
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        ranked = running(rows, resource, [pid], {"_rank": Running("count", F.lit(1), inclusive=False)}, **options)
+        return materialize(ranked.select(*resource, pid, F.floor(F.col("_rank") / tile).cast("int").alias(name)), "numbered")
+
+    waiters = numbered(sides.where("_waits = 1").where(blocked).drop("_waits", "_holds"), "_i")
+    holders = numbered(sides.where("_holds = 1").drop("_waits", "_holds"), "_j")
+
+    def copied(rows: DataFrame, other: DataFrame, name: str, prefix: str) -> DataFrame:
+        tiles = other.groupBy(*[F.col(c).alias(f"_n_{c}") for c in resource]).agg(F.max(name).alias("_last"))
+        met = rows.join(tiles, _null_safe(resource, "_n_")).withColumn(name, F.explode(F.sequence(F.lit(0), F.col("_last"))))
+        return met.select(*[F.col(c).alias(f"{prefix}{c}") for c in resource], F.col(pid).alias(f"{prefix}pid"), F.col("_i").alias(f"{prefix}i"), F.col("_j").alias(f"{prefix}j"))
+
+    left, right = copied(waiters, holders, "_j", "_w_"), copied(holders, waiters, "_i", "_h_")
+    same = (F.col("_w_i") == F.col("_h_i")) & (F.col("_w_j") == F.col("_h_j"))
     for c in resource:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
-    holding = locks.where(F.col(granted)).select(*resource, pid).distinct()
-    return (
-        holding.join(waiting, condition)
-        .where(F.col(pid) != F.col("blocked_pid"))
-        .select("blocked_pid", F.col(pid).alias("holder_pid"), *resource)
+        same = same & F.col(f"_w_{c}").eqNullSafe(F.col(f"_h_{c}"))
+    return left.join(right, same).where("_w_pid <> _h_pid").select(
+        F.col("_w_pid").alias("blocked_pid"), F.col("_h_pid").alias("holder_pid"), *[F.col(f"_w_{c}").alias(c) for c in resource]
     )
 
 

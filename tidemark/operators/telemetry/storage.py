@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,17 +88,46 @@ def redundant_indexes(indexes: DataFrame, table: str, name: str, columns: str) -
     return joined.select(table, name, F.col("_best._cover").alias("covered_by"), "covering_indexes")
 
 
-def low_cardinality(df: DataFrame, columns: list[str], below_pct: float = 5.0, exact: bool = False) -> DataFrame:
-    """Columns with few distinct values, all measured in one pass."""
-    distinct = F.countDistinct if exact else F.approx_count_distinct
-    one = df.agg(F.count("*").alias("_rows"), *[distinct(c).alias(c) for c in columns])
-    rows = one.unpivot(["_rows"], columns, "column_name", "unique_count")
-    pct = F.round(F.lit(100.0) * ratio_or_null(F.col("unique_count"), F.col("_rows")), 4)
-    return rows.select("column_name", "unique_count", F.col("_rows").alias("total_rows"), pct.alias("cardinality_pct")).where(
-        F.col("cardinality_pct") < below_pct
+#: Values of a bitmap of Spark's bitmap aggregates.
+BITMAP_VALUES = 32_768
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def distinct_count(df: DataFrame, column: str) -> DataFrame:
+    """One row (column_name, unique_count, total_rows): exact distinct non-null values of one column, and all rows.
+
+    Whole numbers are set in bitmaps of ``BITMAP_VALUES`` values each, so a task sends a
+    bitmap per range it has seen however often the values repeat. Other types are reduced to
+    their distinct values per task, then per key range. Only this column is read.
+    """
+    values = df.select(F.col(column).alias("v"))
+    if df.schema[column].dataType.simpleString() in _WHOLE:
+        wide = F.col("v").cast("bigint")
+        bits = F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(wide)))
+        parts = values.groupBy(F.bitmap_bucket_number(wide).alias("b")).agg(F.count("*").alias("rows"), bits.alias("n"))
+    else:
+        parts = values.groupBy("v").agg(F.count("*").alias("rows")).select("rows", F.col("v").isNotNull().cast("bigint").alias("n"))
+    zero = F.lit(0).cast("bigint")
+    return parts.agg(F.coalesce(F.sum("n"), zero).alias("unique_count"), F.coalesce(F.sum("rows"), zero).alias("total_rows")).select(
+        F.lit(column).alias("column_name"), "unique_count", "total_rows"
     )
 
 
+def low_cardinality(df: DataFrame, columns: list[str], below_pct: float = 5.0, exact: bool = False) -> DataFrame:
+    """Columns with few distinct values.
+
+    Sketched counts come from one pass. Exact ones are counted column by column, each
+    reading its own column only, so no row is copied once per column.
+    """
+    if exact:
+        rows = reduce(DataFrame.unionByName, [distinct_count(df, c) for c in columns])
+    else:
+        one = df.agg(F.count("*").alias("total_rows"), *[F.approx_count_distinct(c).alias(c) for c in columns])
+        rows = one.unpivot(["total_rows"], columns, "column_name", "unique_count")
+    pct = F.round(F.lit(100.0) * ratio_or_null(F.col("unique_count"), F.col("total_rows")), 4)
+    return rows.select("column_name", "unique_count", "total_rows", pct.alias("cardinality_pct")).where(F.col("cardinality_pct") < below_pct)
+
+
 def index_score(stats: DataFrame) -> DataFrame:
     """cost * impact / 100 * (seeks + scans), in decimals so that half cents round alike everywhere."""
     gain = F.col("avg_cost").cast("decimal(12,2)") * F.col("avg_impact").cast("decimal(6,2)")

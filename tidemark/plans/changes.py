@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import cdc
+from tidemark.operators import cdc, integrity
 from tidemark.plans.fixtures import AS_OF, RUN_TS, change_log, seed, table
 from tidemark.plans.registry import plan
 from tidemark.session import inline_rows, materialize
@@ -252,6 +252,50 @@ def cdc_scope(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("replay_rank", cdc.replay_rank(["signup", "purchase"]))
 
 
+#: Columns that may refer to another table's key; the data decide which do.
+CANDIDATE_LINKS = [
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("part", "p_size", "lineitem", "l_linenumber"),
+    ("events", "user_id", "customer", "c_custkey"),
+    ("labels", "doc_id", "documents", "doc_id"),
+]
+LINKED = sorted({t for c in CANDIDATE_LINKS for t in (c[0], c[2])})
+LINKS_SQL = "c AS (" + " UNION ALL ".join(
+    f"SELECT '{child}' AS child, '{key}' AS child_key, '{parent}' AS parent, count(DISTINCT {key}) FILTER (WHERE {key} NOT IN (SELECT {parent_key} FROM {parent})) AS orphan_keys FROM {child}"
+    for child, key, parent, parent_key in CANDIDATE_LINKS
+) + ")"
+
+
+def _link_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.link_orphans({t: table(spark, d, t) for t in LINKED}, CANDIDATE_LINKS)
+
+
+@plan("link_orphans", "M12 R11", "", LINKS_SQL + " SELECT child, child_key, parent, orphan_keys FROM c")
+def link_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return _link_orphans(spark, d)
+
+
+@plan(
+    "replay_layers",
+    "M12",
+    "",
+    LINKS_SQL
+    + f""", t AS (SELECT unnest({LINKED}) AS table_name),
+       l AS (SELECT table_name, 0 AS layer FROM t UNION ALL SELECT c.child, l.layer + 1 FROM l JOIN c ON c.parent = l.table_name WHERE c.orphan_keys = 0)
+       SELECT table_name, max(layer)::INT AS layer, 'READY' AS state FROM l GROUP BY 1""",
+)
+def replay_layers(spark: SparkSession, d: str) -> DataFrame:
+    links = materialize(_link_orphans(spark, d).where("orphan_keys = 0"), "links")
+    tables = inline_rows(spark, [(t,) for t in LINKED], "table_name string")
+    return cdc.replay_layers(tables, links)
+
+
 @plan(
     "cdc_history",
     "M14",

@@ -64,6 +64,16 @@ FLEET_EXPRS = [
 ]
 FLEET_SCOPE = ["host", "captured_at"]
 
+# Sessions with no, one or several blockers, some of which wait for each other.
+WAIT_GRAPH_EXPRS = [
+    "host",
+    "captured_at",
+    "session_id",
+    "CASE WHEN session_id % 50 = 31 THEN {list}(session_id + 1) WHEN session_id % 50 = 32 THEN {list}(session_id - 1) "
+    "WHEN session_id % 9 = 0 THEN {none} WHEN session_id % 20 = 7 THEN {list}(session_id + 2, session_id - 1) "
+    "WHEN session_id % 4 = 1 THEN {list}(session_id - 1, session_id - 6) ELSE {list}(session_id - 1) END AS blockers",
+]
+
 WAIT_EXPRS = [
     "event_id",
     "ts",
@@ -101,6 +111,7 @@ FIXTURE_SQL = {
         SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS job_id, o_orderpriority AS job_name FROM orders""",
     "sessions": f"SELECT {', '.join(SESSION_EXPRS)} FROM events",
     "fleet": f"SELECT {', '.join(FLEET_EXPRS)} FROM events",
+    "wait_graph": f"SELECT {', '.join(WAIT_GRAPH_EXPRS)} FROM fleet".format(list="list_value", none="CAST([] AS BIGINT[])"),
     "waits": f"SELECT {', '.join(WAIT_EXPRS)} FROM events",
     "locks": f"SELECT {', '.join(LOCK_EXPRS)} FROM events",
 }
@@ -159,6 +170,10 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*[e.replace("//", "DIV") for e in FLEET_EXPRS])
 
 
+def wait_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet(spark, sf_dir).selectExpr(*[e.format(list="array", none="cast(array() AS array<bigint>)") for e in WAIT_GRAPH_EXPRS])
+
+
 def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*WAIT_EXPRS)
 

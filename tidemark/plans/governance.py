@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio_or_null
-from tidemark.operators import alerts, quality
+from tidemark.operators import alerts, intervals, quality
 from tidemark.operators.ordered import exact_percentiles
 from tidemark.operators.rules import Rule, detect, evaluate
 from tidemark.operators.telemetry import report_text
@@ -202,6 +202,61 @@ def kpi_check(spark: SparkSession, d: str) -> DataFrame:
     return quality.kpi_check(one.unpivot([], one.columns, "kpi", "value"))
 
 
+# Alerts from errors and incidents from sign-ups, per service; every engine adds the minutes in its own way.
+ALERT_EXPRS = ["event_id AS alert_id", "user_id % 10 AS service", "ts AS fired_at", "ts + {minutes}(5 + event_id % 50) AS cleared_at"]
+INCIDENT_EXPRS = ["event_id AS incident_id", "user_id % 10 AS service", "ts AS opened_at", "ts + {minutes}(event_id % 2000) AS closed_at"]
+
+
+def _minutes(expressions: list[str], spark_sql: bool) -> list[str]:
+    return [e.replace("{minutes}(", "make_dt_interval(0, 0, " if spark_sql else "to_minutes(") for e in expressions]
+
+
+MET_SQL = f"""
+    a AS (SELECT {", ".join(_minutes(ALERT_EXPRS, False))} FROM events WHERE event_type = 'error'),
+    i AS (SELECT {", ".join(_minutes(INCIDENT_EXPRS, False))} FROM events WHERE event_type = 'signup'),
+    m AS (SELECT alert_id, incident_id, a.service FROM a JOIN i ON a.service = i.service AND fired_at < closed_at AND opened_at < cleared_at AND opened_at < closed_at)"""
+
+
+def _alerts_met(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, d, "events")
+    fired = events.where("event_type = 'error'").selectExpr(*_minutes(ALERT_EXPRS, True))
+    incidents = events.where("event_type = 'signup'").selectExpr(*_minutes(INCIDENT_EXPRS, True))
+    return fired, intervals.overlaps(fired, incidents, ["service"], ["fired_at", "cleared_at"], ["opened_at", "closed_at"])
+
+
+@plan("alert_incidents", "Q12", "", MET_SQL + " SELECT service, alert_id, incident_id FROM m")
+def alert_incidents(spark: SparkSession, d: str) -> DataFrame:
+    return _alerts_met(spark, d)[1].select("service", "alert_id", "incident_id")
+
+
+@plan(
+    "alert_outcomes",
+    "Q12",
+    "",
+    MET_SQL
+    + """, f AS (SELECT service, CAST(date_trunc('week', fired_at) AS DATE) AS week, count(*) AS fired, count(*) FILTER (WHERE alert_id IN (SELECT alert_id FROM m)) AS led FROM a GROUP BY 1, 2)
+       SELECT *, round(100.0 * (CAST(led AS DOUBLE) / fired), 2) AS incident_pct, round(100.0 * (CAST(led AS DOUBLE) / fired), 2) > 70 AS on_target FROM f""",
+)
+def alert_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    fired, met = _alerts_met(spark, d)
+    return quality.alert_outcomes(fired, met, "alert_id", ["service"], "fired_at")
+
+
+@plan(
+    "config_at_finding",
+    "J13 T51",
+    "",
+    """f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+       c AS (SELECT user_id, ts AS since, max(event_id) AS setting FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+       SELECT f.event_id, f.user_id, f.ts, c.since, c.setting FROM f ASOF LEFT JOIN c ON f.user_id = c.user_id AND f.ts >= c.since""",
+)
+def config_at_finding(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    findings = events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    settings = events.where("event_type = 'purchase'").selectExpr("user_id", "ts AS since", "event_id AS setting")
+    return intervals.as_of(findings, settings, ["user_id"], "ts", "since", ["since", "setting"])
+
+
 @plan(
     "alert_quality",
     "Q12",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import money_sum
 from tidemark.functions.signature import hash_sum, raw_signature, row_number60, segment_digest, signature
-from tidemark.operators import cdc, compare, diff, integrity, repair, summary
+from tidemark.operators import cdc, compare, diff, integrity, repair, sketch, summary
 from tidemark.plans.fixtures import (
     COMPARED,
     ORDER_COLUMNS,
@@ -224,6 +224,11 @@ def row_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff.key_status(source, target, ["o_orderkey"], COMPARED).select("o_orderkey", "status")
 
 
+@plan("sketch_diff", "R7 R6", "target_orders", STATUS_SQL + " SELECT o_orderkey, status FROM st WHERE status <> 'SAME'")
+def sketch_diff(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.sketch_diff(*_pair(spark, d), ["o_orderkey"], COMPARED).select("o_orderkey", "status")
+
+
 @plan(
     "row_diff_columns",
     "R6 P9",

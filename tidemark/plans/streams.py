@@ -15,7 +15,7 @@ from tidemark.plans.fixtures import change_log, seed, table
 from tidemark.plans.registry import plan
 from tidemark.session import scratch_path
 from tidemark.sources.readers import parse_lines, to_line
-from tidemark.streaming import flows
+from tidemark.streaming import flows, heartbeat
 from tidemark.streaming.store import ChangeStore
 
 SLICES = ("ts < TIMESTAMP_NTZ '2024-01-11'", "ts >= TIMESTAMP_NTZ '2024-01-11' AND ts < TIMESTAMP_NTZ '2024-01-21'", "ts >= TIMESTAMP_NTZ '2024-01-21'")
@@ -176,6 +176,50 @@ def stream_heartbeat(spark: SparkSession, d: str) -> DataFrame:
     return flows.latest_rows(spark, f"{root}/out/runs", ["user_id", "run_start"])
 
 
+#: Events of the first slice that are held back until their buckets are closed.
+HELD_BACK = "event_id % 50 = 0 AND ts < TIMESTAMP_NTZ '2024-01-11'"
+HELD_BACK_SQL = "event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-11'"
+
+
+def _late_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Slices landed out of order, then a tick that closes all buckets, then what was held back."""
+    root = scratch_path(spark, "heartbeat")
+    lines = table(spark, d, "events").select("ts", "event_id", to_line("event_id", "user_id", "event_type", "ts").alias("value"))
+    tick = spark.range(1).selectExpr("TIMESTAMP_NTZ '2024-06-01' AS ts", "-1L AS event_id", "cast(NULL AS bigint) AS user_id", "cast(NULL AS string) AS event_type")
+    tick = tick.select("ts", "event_id", to_line("event_id", "user_id", "event_type", "ts").alias("value"))
+    in_time = lines.where(f"NOT ({HELD_BACK})")
+    for landed in (in_time.where(SLICES[1]), in_time.where(SLICES[0]), in_time.where(SLICES[2]), tick, lines.where(HELD_BACK)):
+        landed.select("value").write.mode("append").text(f"{root}/landing")
+        parsed = parse_lines(flows.line_stream(spark, f"{root}/landing"), EVENT_SCHEMA).drop("_corrupt")
+        pieces = heartbeat.event_time_pieces(parsed, "user_id", "ts", "event_id", "event_type IN ('error', 'signup')", "30 days", bucket_seconds=86_400)
+        flows.run_available(pieces, flows.upsert_sink(f"{root}/sink"), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/sink").drop("batch_id")
+
+
+@plan(
+    "stream_heartbeat_late",
+    "X6 W3",
+    "",
+    f"""e AS (SELECT * FROM events WHERE NOT ({HELD_BACK_SQL})),
+        m AS (SELECT *, count(*) FILTER (WHERE event_type NOT IN ('error', 'signup')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM e),
+        r AS (SELECT user_id, min(ts) AS run_start, max(ts) AS run_end, count(*) AS run_length FROM m WHERE event_type IN ('error', 'signup') GROUP BY user_id, island)
+        SELECT * FROM r WHERE run_length >= 3""",
+)
+def stream_heartbeat_late(spark: SparkSession, d: str) -> DataFrame:
+    return heartbeat.failure_runs(_late_pieces(spark, d)).withColumnRenamed("target", "user_id")
+
+
+@plan(
+    "stream_heartbeat_dead",
+    "X6 X8",
+    "",
+    f"""SELECT user_id, ts, event_id, 'LATE' AS reason FROM events WHERE {HELD_BACK_SQL}""",
+)
+def stream_heartbeat_dead(spark: SparkSession, d: str) -> DataFrame:
+    dead = heartbeat.dead_letters(_late_pieces(spark, d))
+    return dead.select(F.col("target").alias("user_id"), "ts", F.col("tie").alias("event_id"), "reason")
+
+
 @plan(
     "stream_route",
     "X10",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import epoch_micros, money_sum, ratio_or_null
 from tidemark.operators.rules import Rule, detect
 from tidemark.operators.telemetry import blocking, storage, trends, waits as w
-from tidemark.plans.fixtures import AS_OF, FLEET_SCOPE, fleet, locks, sessions, table, waits
+from tidemark.plans.fixtures import AS_OF, FLEET_SCOPE, fleet, locks, sessions, table, wait_graph, waits
 from tidemark.plans.registry import plan
 
 NOT_IDLE = "wait_type NOT IN ('SLEEP_TASK', 'WAITFOR')"
@@ -258,6 +258,35 @@ def head_blocker_chains(spark: SparkSession, d: str) -> DataFrame:
     return blocking.chains_by_head(blocking.head_blockers(fleet(spark, d), scope=FLEET_SCOPE), FLEET_SCOPE)
 
 
+REACH_SQL = """
+    e AS (SELECT DISTINCT host, captured_at, session_id AS src, unnest(blockers) AS dst FROM wait_graph),
+    r AS (SELECT host, captured_at, src, dst FROM e UNION SELECT r.host, r.captured_at, r.src, e.dst FROM r JOIN e ON e.host = r.host AND e.captured_at = r.captured_at AND e.src = r.dst)"""
+
+
+@plan(
+    "head_sets",
+    "T11 J12",
+    "fleet wait_graph",
+    REACH_SQL
+    + """ SELECT DISTINCT r.host, r.captured_at, r.src AS waiter, r.dst AS head FROM r
+          WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.host = r.host AND e.captured_at = r.captured_at AND e.src = r.dst)""",
+)
+def head_sets(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.head_sets(wait_graph(spark, d), scope=FLEET_SCOPE)
+
+
+@plan(
+    "blocking_cycles",
+    "T11 J12",
+    "fleet wait_graph",
+    REACH_SQL
+    + """ SELECT a.host, a.captured_at, min(a.dst) AS cycle, a.src AS session_id FROM r a
+          JOIN r b ON b.host = a.host AND b.captured_at = a.captured_at AND b.src = a.dst AND b.dst = a.src GROUP BY 1, 2, 4""",
+)
+def blocking_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.blocking_cycles(wait_graph(spark, d), scope=FLEET_SCOPE)
+
+
 @plan(
     "lock_conflicts",
     "J9 P9",
@@ -272,16 +301,30 @@ def lock_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "pid", "lock_day", "blocking_holders", "oldest_holder")
 
 
+@plan(
+    "lock_conflict_counts",
+    "J9 P9",
+    "locks",
+    """w AS (SELECT DISTINCT pid, lock_day FROM locks WHERE NOT granted),
+       h AS (SELECT DISTINCT pid, lock_day FROM locks WHERE granted),
+       y AS (SELECT w.pid AS a, h.pid AS b FROM w JOIN h USING (lock_day) WHERE w.pid <> h.pid)
+       SELECT pid, (SELECT count(*) FROM y WHERE a = pid) AS pairs_waiting, (SELECT count(*) FROM y WHERE b = pid) AS pairs_holding
+       FROM (SELECT DISTINCT pid FROM locks)""",
+)
+def lock_conflict_counts(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.conflict_counts(locks(spark, d), ["lock_day"], "pid", "granted")
+
+
 @plan(
     "lock_conflict_pairs",
     "J9",
     "locks",
-    """w AS (SELECT DISTINCT pid, lock_day FROM locks WHERE NOT granted AND pid IN (3, 8)),
+    """w AS (SELECT DISTINCT pid, lock_day FROM locks WHERE NOT granted AND pid % 100 = 0),
        h AS (SELECT DISTINCT pid, lock_day FROM locks WHERE granted)
        SELECT w.pid AS blocked_pid, h.pid AS holder_pid, lock_day FROM w JOIN h USING (lock_day) WHERE w.pid <> h.pid""",
 )
 def lock_conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.conflicts_of(locks(spark, d), ["lock_day"], "pid", "granted", [3, 8])
+    return blocking.conflict_pairs(locks(spark, d), ["lock_day"], "pid", "granted", "pid % 100 = 0")
 
 
 @plan(
