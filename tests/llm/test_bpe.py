@@ -5,12 +5,12 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD_TEXTS, empty, odd_rows, sha
 from tidemark.llm import bpe
-from tidemark.llm.queries import VOCABULARY, op5
+from tidemark.llm.queries import op5, vocabulary
 
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokenizer = Tokenizer.from_file(vocabulary())
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
@@ -24,7 +24,7 @@ def test_query_equals_the_library(spark, sf, texts, library):
 
 
 def test_all_code_points(library):
-    codec = bpe.Codec(bpe.read_vocabulary(VOCABULARY))
+    codec = bpe.Codec(bpe.read_vocabulary(vocabulary()))
     chars = [chr(i) for i in range(0x12000) if not 0xD800 <= i < 0xE000]
     texts = ["".join(f"a{c} {c}1" for c in chars[i : i + 500]) for i in range(0, len(chars), 500)]
     texts += ["a<|endoftext|>b  c\n\n d", "<|endoftext|>", "<|endoftext", "   ", "aaaaaaaaaaaaaaaaaaaaa", "I'LL don't 's", "x" * 5000, "á 　y\x1c\x1d z\x85"]
@@ -40,25 +40,25 @@ def test_all_code_points(library):
 
 def test_words_forgotten_between_groups(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
-    codec = bpe.Codec(bpe.read_vocabulary(VOCABULARY))
+    codec = bpe.Codec(bpe.read_vocabulary(vocabulary()))
     for text in ("one two three four five six seven", "eight nine ten <|endoftext|>", "one ten eleven twelve thirteen fourteen"):
         assert codec.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_round_trip_of_odd_rows(spark):
     rows = odd_rows(spark).withColumnRenamed("lang", "ids")
-    encoded = bpe.encode(rows, VOCABULARY)
+    encoded = bpe.encode(rows, vocabulary())
     assert encoded.columns == ["doc_id", "text", "source", "n_chars", "ids"]
-    back = bpe.decode(encoded, VOCABULARY, out="again").collect()
+    back = bpe.decode(encoded, vocabulary(), out="again").collect()
     assert len(back) == len(ODD_TEXTS) + 2
     assert all(r["again"] == (r["text"] or "") for r in back)
-    assert bpe.encode(empty(spark), VOCABULARY).collect() == []
-    assert bpe.digests(empty(spark), VOCABULARY).collect() == []
+    assert bpe.encode(empty(spark), vocabulary()).collect() == []
+    assert bpe.digests(empty(spark), vocabulary()).collect() == []
 
 
 def test_decode_of_cut_characters_and_null(spark, library):
     ids = library.encode("東京 \U0001f600", add_special_tokens=False).ids
     rows = [(k, ids[:k]) for k in range(len(ids) + 1)] + [(99, None)]
-    got = {r["k"]: r["text"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), VOCABULARY).collect()}
+    got = {r["k"]: r["text"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), vocabulary()).collect()}
     assert got.pop(99) is None
     assert got == {k: library.decode(own, skip_special_tokens=False) for k, own in rows[:-1]}

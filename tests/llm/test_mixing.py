@@ -76,3 +76,37 @@ def test_small_bins_give_a_sample_of_the_same_size(spark, sf):
     rows = duckdb.sql(f"SELECT doc_id, text, source FROM '{sf}/documents.parquet'").fetchall()
     for bins in (1, 7):
         check(mixing.mix(docs, bins=bins).collect(), rows, 0.2)
+
+
+def test_long_documents_are_likelier_and_rates_are_the_odds(spark):
+    """Copies per size are on average what the sizes' probabilities say, and those differ."""
+    sizes = [5, 40, 256, 900]
+    rows = [(i, "w " * sizes[i % 4], "a" if i % 8 < 4 else "b") for i in range(24_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df).collect()
+    source = {i: s for i, _, s in rows}
+    copies, n = defaultdict(float), Counter()
+    for r in got:
+        copies[source[r["doc_id"]], r["size"]] += r["copies"]
+        n[source[r["doc_id"]], r["size"]] += 1
+    one = {source[r["doc_id"]]: r for r in got}
+    for s, r in one.items():
+        ratio = r["target"] / r["source_size"]
+        lift = {k: 1000 * k // (k + mixing.HALF) for k in sizes}
+        mean = sum(lift[k] * k * n[s, k] for k in sizes) / (1000 * r["source_size"])
+        rates = []
+        for k in sizes:
+            want = ratio + min(ratio, 3 - ratio) * (lift[k] / 1000 - mean)
+            p = want - int(want)
+            rates.append(copies[s, k] / n[s, k])
+            assert abs(rates[-1] - want) < 5 * (p * (1 - p) / n[s, k]) ** 0.5 + 2 / n[s, k], (s, k)
+        assert rates == sorted(rates) and rates[-1] > rates[0] + 0.3
+
+
+def test_repeat_keeps_columns_of_any_name(spark):
+    names = ["_source", "_copy", "_plan", "_plan_source", "_size", "_u", "size", "u", "source_size", "p_source", "cut", "_COPY2"]
+    docs = odd_rows(spark).selectExpr("*", *[f"7 AS `{c}`" for c in names])
+    out = mixing.repeat(docs)
+    assert out.columns == docs.columns and all(r[c] == 7 for r in out.collect() for c in names)
+    plain_copies = {r["doc_id"]: r["copies"] for r in mixing.mix(odd_rows(spark)).collect() if r["doc_id"] == 6}
+    assert sum(r["doc_id"] == 6 for r in out.collect()) == plain_copies[6]

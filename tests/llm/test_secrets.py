@@ -79,3 +79,19 @@ def test_odd_rows(spark):
     assert secrets.find(rows).count() == rows.count()
     assert secrets.find(empty(spark)).collect() == [] and secrets.redact(empty(spark)).collect() == []
     assert sorted(map(repr, secrets.redact(rows).collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_redact_keeps_columns_of_any_name_and_long_texts(spark):
+    names = ["_base", "_candidates", "_spans", "__base", "start", "end"]
+    many = " ".join(f"é {i} password=abcdef{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, many), (2, "AKIA" + "B2" * 10), (3, None)], "doc_id long, text string").selectExpr(*[f"7 AS `{c}`" for c in names], "*")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(r[c] == 7 for r in got.values() for c in names)
+    assert got[1]["text"] == " ".join(f"é {i} [SECRET]" for i in range(20_000)) and got[2]["text"] == "[SECRET]" and got[3]["text"] is None
+
+
+def test_masked_joins_overlapping_spans():
+    spans = [{"start": a, "end": b} for a, b in [(1, 4), (2, 6), (6, 7), (9, 9)]]
+    assert secrets.masked("0123456789", spans, "#") == "0##78#9"

@@ -48,6 +48,7 @@ from tidemark.llm.textbits import (
     LOWER,
     binary,
     chunks,
+    fresh,
     gram_hashes,
     map_batches,
     mix,
@@ -343,8 +344,8 @@ def _distinct_pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def with_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
-    """``docs`` with ``_class``, the class of the row's text, at least where the id is among those in ``wanted``; else null.
+def with_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, out: str, k: int = WORDS) -> DataFrame:
+    """``docs`` with ``out``, the class of the row's text, at least where the id is among those in ``wanted``; else null.
 
     A bit table of fixed size, filled from hashes of the ids, tells the rows that
     can matter, so that only their texts are hashed and joined. It lets some
@@ -358,9 +359,10 @@ def with_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
     bits = np.zeros(1 << FILTER_BITS - 5, dtype=np.int64)
     bits[table.column("w").to_numpy()] = table.column("m").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    base = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("_class", "_h")], F.xxhash64(F.col(f"`{id_col}`")).bitwiseAND(mask).alias("_h"))
+    (name,) = fresh(docs, "_h")
+    base = docs.select(*[f"`{c}`" for c in docs.columns], F.xxhash64(F.col(f"`{id_col}`")).bitwiseAND(mask).alias(name))
     names = base.columns
-    at, hashed = names.index(text_col), names.index("_h")
+    at, hashed = names.index(text_col), names.index(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,9 +374,9 @@ def with_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
             none = np.ones(h.size, dtype=bool)
             none[hit] = False
             columns = [c for i, c in enumerate(batch.columns) if i != hashed]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, mask=none)], [*(c for c in names if c != "_h"), "_class"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, mask=none)], [*(c for c in names if c != name), out])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_h"), "_class long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` long"])
     return map_batches(base, run, schema)
 
 
@@ -383,8 +385,8 @@ def texts_of(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str,
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     heads = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     heads = materialize(heads.join(wanted, "class"), "heads")
-    some = with_class(docs, heads, id_col, text_col, k).where("_class IS NOT NULL")
-    some = some.select(F.col("_class").alias("class"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    some = with_class(slim, heads, "id", "text", "class", k).where("class IS NOT NULL").select("class", "text")
     texts = some.join(heads, "class").select("class", "text")
     return materialize(texts.dropDuplicates(["class"]), "texts")
 
@@ -553,7 +555,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without near copies: of each component the row with the smallest id stays, columns unchanged.
 
     Rows without n-grams are no copies of anything and stay. Of several rows with
-    the component's smallest id those with the smallest class, and of these any one, stays.
+    the component's smallest id those with the smallest class stay, and of these
+    the one whose columns have the smallest hash.
     """
     found = jaccard_components(docs, id_col, text_col, **options).where("n_shingles > 0")
     rows = materialize(found.groupBy("doc_id", "class", "comp").agg(F.count("*").alias("n")), "members")
@@ -562,11 +565,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = rows.join(heads, "comp").select("doc_id", "class", stays.alias("stays"), "n").where("NOT stays OR n > 1")
     moved = materialize(moved, "moved")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    read = with_class(docs, moved, id_col, text_col, options.get("k", WORDS))
-    others = read.where("_class IS NULL").select(*names)
-    fates = moved.select(F.col("doc_id").alias("_id"), F.col("class").alias("_of"), F.col("stays").alias("_stays"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_of"))
-    looked = read.where("_class IS NOT NULL").join(fates, same, "left")
-    single = looked.where("_stays IS NULL").select(*names)
-    several = looked.where("_stays").dropDuplicates([id_col, "_class"]).select(*names)
+    cls, key, of, kept, row = fresh(docs, "_class", "_id", "_of", "_stays", "_row")
+    read = with_class(docs, moved, id_col, text_col, cls, options.get("k", WORDS))
+    others = read.where(F.col(cls).isNull()).select(*names)
+    fates = moved.select(F.col("doc_id").alias(key), F.col("class").alias(of), F.col("stays").alias(kept))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.col(cls) == F.col(of))
+    looked = read.where(F.col(cls).isNotNull()).join(fates, same, "left")
+    single = looked.where(F.col(kept).isNull()).select(*names)
+    whole = F.struct(*names)
+    several = looked.where(F.col(kept)).groupBy(key, of).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias(row))
+    several = several.select(*[F.col(row)[c].alias(c) for c in docs.columns])
     return others.unionByName(single).unionByName(several)

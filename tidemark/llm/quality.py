@@ -210,7 +210,8 @@ def fit(
     usable = usable.groupBy(key.alias("_id")).agg(F.max(f"`{label_col}`").cast("int").alias("_label"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id").limit(most))  # at most ``most`` rows of two numbers
     rows = docs.select(key.alias("_doc"), F.col(f"`{text_col}`").alias("_text")).join(chosen, F.col("_doc") == F.col("_id"))
-    rows = rows.dropDuplicates(["_id"]).select("_id", "_label", "_text", (F.pmod(F.xxhash64("_id"), F.lit(5)) == 0).alias("_calibrate"))
+    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # of a repeated id the smallest text
+    rows = rows.select("_id", "_label", "_text", (F.pmod(F.xxhash64("_id"), F.lit(5)) == 0).alias("_calibrate"))
     made = extend(rows, "_text", {"_x": ("binary", pa.binary())}, lambda texts: [[r.tobytes() for r in pooled(texts, shared.value)]])
     table = made.select("_id", "_label", "_calibrate", "_x").toArrow().sort_by("_id")
     x = np.frombuffer(b"".join(table.column("_x").to_pylist()), dtype=np.float32).reshape(-1, FEATURES)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, divergence, interactions, jaccard_join, licenses, mixing, perplexity, pii, quality, secrets, syncmers, warc, wrappers
 from tidemark.llm.registry import query
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-VOCABULARY = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+
+def vocabulary() -> str:
+    """Path of the vocabulary file that the package of public tokenizers installs."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(documents(spark, sf_dir), VOCABULARY)
+    return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
 def _of_kind(kind: str) -> Column:

@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbits import chunks, extend, to_points, word_spans
+from tidemark.llm.textbits import chunks, extend, fresh, map_batches, to_points, word_spans
 from tidemark.session import materialize
 
 #: The base patterns, their least lengths and the order of kinds.
@@ -252,19 +254,32 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", q: f
     the limits and then for the spans, so that no copy of them is written.
     """
     limits = dismissed_from(scan(docs.select(f"`{text_col}`"), text_col), q)
-    names = ("_base", "_candidates")
-    marked = scan(docs, text_col, *names).withColumn("_spans", all_spans(limits, *names))
-    # cut the text between the ends reached so far: state is (end of the last span, text up to it)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done"))
-    text = F.col(f"`{text_col}`")
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        done = F.when(s["start"] < state["at"], state["done"]).otherwise(F.concat(state["done"], gap, F.lit(mask)))
-        return F.struct(F.greatest(s["end"], state["at"]).alias("at"), done.alias("done"))
-
-    def finish(state: Column) -> Column:
-        return F.concat(state["done"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
-
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, finish)).otherwise(text)
-    return marked.select(*[(clean.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    base, candidates, spans = fresh(docs, "_base", "_candidates", "_spans")
+    marked = scan(docs, text_col, base, candidates).withColumn(spans, all_spans(limits, base, candidates))
+    marked = marked.select(*[f"`{c}`" for c in docs.columns], F.transform(spans, lambda s: F.struct(s["start"], s["end"])).alias(spans))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(len(docs_names))
+            texts = batch.column(at)
+            hit = np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(found), 0), False).to_numpy(zero_copy_only=False))
+            if hit.size:
+                new = dict(zip(hit.tolist(), (masked(t, s, mask) for t, s in zip(texts.take(pa.array(hit)).to_pylist(), found.take(pa.array(hit)).to_pylist()))))
+                texts = pa.array([new.get(i, t) for i, t in enumerate(texts.to_pylist())], texts.type)
+            columns = batch.columns[:-1]
+            columns[at] = texts
+            yield pa.RecordBatch.from_arrays(columns, docs_names)
+
+    docs_names = docs.columns
+    return map_batches(marked, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
+def masked(text: str, spans: list[dict], mask: str) -> str:
+    """``text`` with its spans, sorted by start, replaced; overlapping ones as one."""
+    parts, done = [], 0
+    for start, end in (tuple(s.values()) for s in spans):
+        if start >= done:
+            parts += [text[done:start], mask]
+        done = max(done, end)
+    return "".join([*parts, text[done:]])

@@ -175,6 +175,18 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def extend(df: DataFrame, text_col: str, fields: dict[str, tuple[str, pa.DataType]], run: Callable) -> DataFrame:
     """``df`` with more columns, computed from its texts batch by batch.
 
