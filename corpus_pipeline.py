@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents, whatever their names, with further columns as they are.
+
+In every stage a null or blank text is a document like any other: it gets a score, is no
+near copy, holds no secret, takes no part of the mix (so it ends there) and would have no tokens. Null
+ids, languages and sources are kept; a null source is a source of its own. Rows that repeat
+are judged alike and count as copies of each other. Texts are whole at any length.
+Ties are broken by id and then by hash of the row, so reruns agree. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,15 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard_join, mixing, quality, secrets
-from tidemark.llm.queries import QUALITY, VOCABULARY, documents
+from tidemark.llm.queries import QUALITY, documents, vocabulary
+from tidemark.llm.textbits import fresh
 from tidemark.session import materialize
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least ``QUALITY``; columns as they are."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, out="_score")
-    return scored.where(F.col("_score") >= QUALITY).select(*[f"`{c}`" for c in docs.columns])
+    (score,) = fresh(docs, "_score")
+    scored = quality.score(docs, model, out=score)
+    return scored.where(F.col(score) >= QUALITY).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +46,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, token ids and their number for each row."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY).drop("text")
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    """doc_id, lang, source, token ids, their number, and the SHA-256 of the text that they decode to, for each row."""
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary()).drop("text")
+    decoded = bpe.decode(encoded, vocabulary(), out="decoded")
+    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
