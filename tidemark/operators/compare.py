@@ -20,6 +20,7 @@ GAP_ACTIONS = {
 # go/no-go thresholds.
 GATE_COUNT_PCT = 100.0
 GATE_HASH_PCT = 100.0
+GATE_LOW_RISK_PCT = 99.99
 GATE_OPS_PCT = 100.0
 GATE_LAG_MINUTES = 5.0
 
@@ -111,6 +112,14 @@ def gate(checks: DataFrame) -> DataFrame:
     return checks.withColumn("status", F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL"))
 
 
+def tier_gate(rates: DataFrame, low_risk: Column) -> DataFrame:
+    """Gate of match rates (table_name, match_pct): low-risk tables may miss by ``100 - GATE_LOW_RISK_PCT`` %, others by nothing."""
+    tier = F.when(F.coalesce(low_risk, F.lit(False)), "LOW").otherwise("HIGH")
+    bound = F.when(F.col("tier") == "LOW", GATE_LOW_RISK_PCT).otherwise(GATE_HASH_PCT)
+    passed = F.coalesce(F.col("match_pct") >= F.col("threshold"), F.lit(False))
+    return rates.withColumn("tier", tier).withColumn("threshold", bound).withColumn("status", F.when(passed, "PASS").otherwise("FAIL"))
+
+
 def verdict(gated: DataFrame) -> DataFrame:
     """GO only when every check passed."""
     return gated.agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import previous
+from tidemark.session import materialize
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +50,44 @@ def link_orphans(tables: dict[str, DataFrame], candidates: list[tuple[str, str,
     return found
 
 
+def parity_by(source: DataFrame, target: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """Per group both sides' measures and the difference: ``source_<m>``, ``target_<m>``, ``<m>_delta``.
+
+    ``measures`` are aggregates. Each side is aggregated before the two meet; a group of one side has
+    zeros on the other, and null groups meet each other.
+    """
+    names = list(measures)
+    sides = [df.groupBy(*by).agg(*[m.alias(n) for n, m in measures.items()]).withColumn("_side", F.lit(i)) for i, df in enumerate((source, target))]
+    both = sides[0].unionByName(sides[1])
+    kinds = {f.name: f.dataType for f in both.schema}
+
+    def of(name: str, side: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_side") == side, F.col(name))), F.lit(0)).cast(kinds[name])
+
+    joined = both.groupBy(*by).agg(*[of(n, i).alias(f"{p}_{n}") for n in names for i, p in enumerate(("source", "target"))])
+    return joined.select("*", *[(F.col(f"target_{n}") - F.col(f"source_{n}")).alias(f"{n}_delta") for n in names])
+
+
+def top_parity(source: DataFrame, target: DataFrame, key: str, measure: Column, top: int = 50) -> DataFrame:
+    """Keys among the ``top`` of either side by ``measure``: both values, difference and both ranks.
+
+    A rank is null where the key is not among the side's top; equal values are ranked by key.
+    """
+    totals = parity_by(source, target, [key], {"value": measure})
+    totals = materialize(totals, "top_parity")
+
+    def ranks(side: str, held: DataFrame) -> DataFrame:
+        own = held.groupBy(key).agg(measure.alias("_v")).orderBy(F.desc("_v"), key).limit(top)
+        number = F.row_number().over(Window.orderBy(F.desc("_v"), key)).cast("int")  # over ``top`` rows
+        return own.select(F.col(key).alias(f"_{side}"), number.alias(f"{side}_rank"))
+
+    joined = totals
+    for side, held in (("source", source), ("target", target)):
+        joined = joined.join(ranks(side, held), F.col(key).eqNullSafe(F.col(f"_{side}")), "left")
+    listed = joined.where("source_rank IS NOT NULL OR target_rank IS NOT NULL")
+    return listed.select(key, "source_value", "target_value", "value_delta", "source_rank", "target_rank")
+
+
 def null_violations(df: DataFrame, required: list[str]) -> DataFrame:
     """Null rows per required column, all columns in one pass."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])

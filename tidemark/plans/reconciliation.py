@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import money_sum
+from tidemark.functions.scalars import money_sum, ratio_or_null
 from tidemark.functions.signature import hash_sum, raw_signature, row_number60, segment_digest, signature
-from tidemark.operators import cdc, compare, diff, integrity, repair, sketch, summary
+from tidemark.operators import cdc, compare, diff, integrity, repair, sampling, sketch, summary
 from tidemark.plans.fixtures import (
     COMPARED,
     ORDER_COLUMNS,
@@ -313,6 +313,25 @@ def sampled_checksum(spark: SparkSession, d: str) -> DataFrame:
     return diff.sampled_checksum(source, target, ["o_orderkey"], ORDER_COLUMNS)
 
 
+@plan(
+    "sampled_parity",
+    "R9",
+    "target_orders",
+    f"""o AS (SELECT o_orderkey, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) % 100 AS b, {HASH_SQL} AS h FROM orders),
+        t AS (SELECT o_orderkey, {HASH_SQL} AS h FROM target_orders),
+        j AS (SELECT b, o.h IS DISTINCT FROM t.h AS bad FROM o LEFT JOIN t USING (o_orderkey)),
+        g AS (SELECT p, count(*) AS n, count(*) FILTER (WHERE bad) AS w FROM j, (SELECT unnest([1, 4, 16, 64, 100]) AS p) WHERE b < p GROUP BY 1),
+        x AS (SELECT p, n, w, unnest(range(w + 1)) AS i FROM g),
+        q AS (SELECT p, n, w, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.001) + (n - i) * ln(0.999))) AS upto,
+                     coalesce(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.001) + (n - i) * ln(0.999))) FILTER (WHERE i < w), 0) AS below FROM x GROUP BY 1, 2, 3),
+        v AS (SELECT p, n, w, CASE WHEN upto <= 0.001 OR p = 100 AND w <= 0.001 * n THEN 'PASS' WHEN 1 - below < 0.001 OR p = 100 THEN 'FAIL' ELSE 'MORE' END AS verdict FROM q)
+        SELECT CAST(p AS INTEGER) AS stage_pct, n AS sampled, w AS wrong, verdict FROM v WHERE p = (SELECT min(p) FROM v WHERE verdict <> 'MORE')""",
+)
+def sampled_parity(spark: SparkSession, d: str) -> DataFrame:
+    out = sampling.sampled_parity(*_pair(spark, d), ["o_orderkey"], ORDER_COLUMNS, "o_orderpriority")
+    return out.where("stratum IS NULL").select("stage_pct", "sampled", "wrong", "verdict")
+
+
 @plan(
     "segment_digest",
     "A11",
@@ -557,6 +576,78 @@ def business_parity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+SALES = ("{0} AS (SELECT {1}, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS v FROM {2} {3} GROUP BY 1)")
+
+
+@plan(
+    "business_parity_deltas",
+    "R18 F9 A1 J4",
+    "target_orders",
+    SALES.format("s", "CAST(o_orderdate AS DATE) AS business_date", "orders", "")
+    + ", "
+    + SALES.format("t", "CAST(o_orderdate AS DATE) AS business_date", "target_orders", "")
+    + """ SELECT business_date, coalesce(s.n, 0) AS source_orders, coalesce(t.n, 0) AS target_orders, coalesce(t.n, 0) - coalesce(s.n, 0) AS orders_delta,
+                 CAST(coalesce(s.v, 0) AS DECIMAL(28,2)) AS source_sales, CAST(coalesce(t.v, 0) AS DECIMAL(28,2)) AS target_sales,
+                 CAST(coalesce(t.v, 0) - coalesce(s.v, 0) AS DECIMAL(29,2)) AS sales_delta FROM s FULL JOIN t USING (business_date)""",
+)
+def business_parity_deltas(spark: SparkSession, d: str) -> DataFrame:
+    source, target = (df.withColumn("business_date", F.to_date("o_orderdate")) for df in _pair(spark, d))
+    return integrity.parity_by(source, target, ["business_date"], {"orders": F.count("*"), "sales": money_sum(F.col("o_totalprice"))})
+
+
+@plan(
+    "top_customers_parity",
+    "R18 K1 J4",
+    "target_orders",
+    SALES.format("s", "o_custkey", "orders", "")
+    + ", "
+    + SALES.format("t", "o_custkey", "target_orders", "")
+    + """, rs AS (SELECT o_custkey, v, row_number() OVER (ORDER BY v DESC, o_custkey) AS r FROM s), rt AS (SELECT o_custkey, v, row_number() OVER (ORDER BY v DESC, o_custkey) AS r FROM t)
+         SELECT o_custkey, CAST(coalesce(rs.v, 0) AS DECIMAL(28,2)) AS source_value, CAST(coalesce(rt.v, 0) AS DECIMAL(28,2)) AS target_value,
+                CAST(coalesce(rt.v, 0) - coalesce(rs.v, 0) AS DECIMAL(29,2)) AS value_delta,
+                CAST(CASE WHEN rs.r <= 50 THEN rs.r END AS INTEGER) AS source_rank, CAST(CASE WHEN rt.r <= 50 THEN rt.r END AS INTEGER) AS target_rank
+         FROM rs FULL JOIN rt USING (o_custkey) WHERE rs.r <= 50 OR rt.r <= 50""",
+)
+def top_customers_parity(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.top_parity(*_pair(spark, d), "o_custkey", money_sum(F.col("o_totalprice")))
+
+
+@plan(
+    "backlog_parity",
+    "R18 P5 J4",
+    "target_orders",
+    SALES.format("s", "o_orderstatus", "orders", "WHERE o_orderstatus IN ('O', 'P', 'X')")
+    + ", "
+    + SALES.format("t", "o_orderstatus", "target_orders", "WHERE o_orderstatus IN ('O', 'P', 'X')")
+    + """ SELECT o_orderstatus, coalesce(s.n, 0) AS source_orders, coalesce(t.n, 0) AS target_orders, coalesce(t.n, 0) - coalesce(s.n, 0) AS orders_delta FROM s FULL JOIN t USING (o_orderstatus)""",
+)
+def backlog_parity(spark: SparkSession, d: str) -> DataFrame:
+    source, target = (df.where(F.col("o_orderstatus").isin("O", "P", "X")) for df in _pair(spark, d))
+    return integrity.parity_by(source, target, ["o_orderstatus"], {"orders": F.count("*")})
+
+
+@plan(
+    "gate_tiers",
+    "R21 R22",
+    "target_orders",
+    """k AS (SELECT coalesce(s.o_orderpriority, t.o_orderpriority) AS table_name, s.o_orderkey IS NOT NULL AND t.o_orderkey IS NOT NULL AND s.o_custkey IS NOT DISTINCT FROM t.o_custkey
+                    AND s.o_orderstatus IS NOT DISTINCT FROM t.o_orderstatus AND s.o_totalprice IS NOT DISTINCT FROM t.o_totalprice AND s.o_orderdate IS NOT DISTINCT FROM t.o_orderdate AS same
+             FROM orders s FULL JOIN target_orders t ON s.o_orderkey = t.o_orderkey AND s.o_orderpriority = t.o_orderpriority),
+       r AS (SELECT table_name, round(100.0 * (CAST(count(*) FILTER (WHERE same OR table_name LIKE '5%') AS DOUBLE) / count(*)), 4) AS match_pct FROM k GROUP BY 1),
+       g AS (SELECT *, CASE WHEN table_name LIKE '4%' OR table_name LIKE '5%' THEN 'LOW' ELSE 'HIGH' END AS tier FROM r),
+       h AS (SELECT *, CASE WHEN tier = 'LOW' THEN 99.99 ELSE 100.0 END AS threshold FROM g)
+       SELECT table_name, match_pct, tier, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN match_pct >= threshold THEN 'PASS' ELSE 'FAIL' END AS status FROM h""",
+)
+def gate_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Order priorities stand for tables; those of class 4 and 5 are low-risk, and what differs in class 5 has been accepted."""
+    rest = [c for c in COMPARED if c != "o_orderpriority"]
+    status = diff.key_status(*_pair(spark, d), ["o_orderpriority", "o_orderkey"], rest)
+    same = (F.col("status") == "SAME") | F.col("o_orderpriority").startswith("5")
+    pct = F.round(F.lit(100.0) * ratio_or_null(F.count_if(same), F.count("*")), 4)
+    rates = status.groupBy(F.col("o_orderpriority").alias("table_name")).agg(pct.alias("match_pct"))
+    return compare.tier_gate(rates, F.col("table_name").rlike("^[45]"))
+
+
 @plan(
     "top_customers",
     "R18 K1",

@@ -49,6 +49,7 @@ def load_all() -> dict[str, Entry]:
         changes,
         etl,
         governance,
+        health,
         jobs,
         reconciliation,
         relational,

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quality import route_events
@@ -15,7 +15,7 @@ from tidemark.plans.fixtures import change_log, seed, table
 from tidemark.plans.registry import plan
 from tidemark.session import scratch_path
 from tidemark.sources.readers import parse_lines, to_line
-from tidemark.streaming import flows, heartbeat
+from tidemark.streaming import flows, heartbeat, top
 from tidemark.streaming.store import ChangeStore
 
 SLICES = ("ts < TIMESTAMP_NTZ '2024-01-11'", "ts >= TIMESTAMP_NTZ '2024-01-11' AND ts < TIMESTAMP_NTZ '2024-01-21'", "ts >= TIMESTAMP_NTZ '2024-01-21'")
@@ -176,6 +176,33 @@ def stream_heartbeat(spark: SparkSession, d: str) -> DataFrame:
     return flows.latest_rows(spark, f"{root}/out/runs", ["user_id", "run_start"])
 
 
+@plan(
+    "stream_top_statements",
+    "T6 K1",
+    "",
+    """s AS (SELECT event_type AS scope, 'statement ' || (user_id * user_id % 97) AS item, count(*) AS count FROM events GROUP BY 1, 2),
+       r AS (SELECT *, rank() OVER (PARTITION BY scope ORDER BY count DESC) AS r, sum(count) OVER (PARTITION BY scope)::BIGINT AS rows FROM s)
+       SELECT scope, count, rows, count(*) AS items FROM r WHERE r <= 5 GROUP BY 1, 2, 3""",
+)
+def stream_top_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the five most frequent statements per type, ties included, and how many statements have them."""
+    root = scratch_path(spark, "top")
+    record = to_line("event_type", "statement")
+    statement = F.concat(F.lit("statement "), (F.col("user_id") * F.col("user_id") % 97).cast("string"))
+    lines = table(spark, d, "events").withColumn("statement", statement).select("ts", record.alias("value"))
+    step = top.top_items_step(f"{root}/state", "statement", "event_type")
+
+    def run() -> None:
+        parsed = parse_lines(flows.line_stream(spark, f"{root}/landing"), "event_type string, statement string").drop("_corrupt")
+        flows.run_available(parsed, step, f"{root}/checkpoint")
+
+    replay(lines, f"{root}/landing", run)
+    found = top.top_items(spark, f"{root}/state", len(SLICES) - 1, k=97)
+    place = F.rank().over(Window.partitionBy("scope").orderBy(F.desc("count")))
+    first = found.withColumn("_r", place).where("_r <= 5")
+    return first.groupBy("scope", "count", "rows").agg(F.count("*").alias("items"))
+
+
 #: Events of the first slice that are held back until their buckets are closed.
 HELD_BACK = "event_id % 50 = 0 AND ts < TIMESTAMP_NTZ '2024-01-11'"
 HELD_BACK_SQL = "event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-11'"

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import epoch_micros, money_sum, ratio_or_null
+from tidemark.operators import history
 from tidemark.operators.rules import Rule, detect
 from tidemark.operators.telemetry import blocking, storage, trends, waits as w
 from tidemark.plans.fixtures import AS_OF, FLEET_SCOPE, fleet, locks, sessions, table, wait_graph, waits
 from tidemark.plans.registry import plan
+from tidemark.session import materialize, scratch_path
 
 NOT_IDLE = "wait_type NOT IN ('SLEEP_TASK', 'WAITFOR')"
 CATEGORY_SQL = (
@@ -650,6 +652,30 @@ def wow_p99(spark: SparkSession, d: str) -> DataFrame:
     return trends.week_over_week(table(spark, d, "events"), ["event_type"], "ts", "value")
 
 
+@plan(
+    "wow_p99_history",
+    "W6 A14",
+    "",
+    """SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS samples, true AS within_bound FROM events
+       WHERE ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2""",
+)
+def wow_p99_history(spark: SparkSession, d: str) -> DataFrame:
+    """p99 per week from day sketches made in two refreshes: its rank among the week's values is within 1 % of 0.99."""
+    events = table(spark, d, "events").select("event_type", "value", F.to_date("ts").alias("day"))
+    path = scratch_path(spark, "day_sketches")
+    for upto in ("2024-01-16", "2024-01-29"):
+        history.refresh(events, "day", ["event_type"], "value", path, upto)
+    weekly = materialize(history.quantiles(spark, path, ["event_type"], F.trunc("day", "week"), {"p99": 0.99}), "weekly")
+    ranked = events.withColumn("period", F.trunc("day", "week")).join(weekly, ["event_type", "period"])
+    ranked = ranked.where("day < DATE '2024-01-29'").groupBy("event_type", "period").agg(
+        F.first("samples").alias("samples"), F.avg((F.col("value") < F.col("p99")).cast("int")).alias("_lo"), F.avg((F.col("value") <= F.col("p99")).cast("int")).alias("_hi")
+    )
+    # a week of few rows can't come nearer than one of them
+    room = F.greatest(F.lit(0.01), 1 / F.col("samples"))
+    near = (F.col("_lo") <= 0.99 + room) & (F.col("_hi") >= 0.99 - room)
+    return ranked.select("event_type", F.col("period").alias("week"), "samples", near.alias("within_bound"))
+
+
 @plan(
     "storage_by_owner",
     "T25 A2 F7",
