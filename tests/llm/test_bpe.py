@@ -62,3 +62,11 @@ def test_decode_of_cut_characters_and_null(spark, library):
     got = {r["k"]: r["text"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), vocabulary()).collect()}
     assert got.pop(99) is None
     assert got == {k: library.decode(own, skip_special_tokens=False) for k, own in rows[:-1]}
+
+
+def test_decoded_digest_of_the_same_pass(spark):
+    rows = odd_rows(spark)
+    got = bpe.encode(rows.selectExpr("*", "7 AS sha"), vocabulary(), decoded="sha").collect()
+    plain = {repr(r["text"]): r["ids"] for r in bpe.encode(rows, vocabulary()).collect()}
+    assert len(got) == rows.count()
+    assert all(r["sha"] == sha(r["text"] or "") and r["ids"] == plain[repr(r["text"])] for r in got)

@@ -243,16 +243,18 @@ def _codec(shared) -> Codec:
 _CODECS: dict = {}
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the array of token ids of ``text_col`` as ``out`` (replacing a column of that name).
 
-    A null text counts as empty and gives an empty array. No special tokens are
+    With ``decoded``, the ids are decoded again in the same pass, and the SHA-256 of that text (hex) is
+    added under this name. A null text counts as empty and gives an empty array. No special tokens are
     added; a special token's string within a text becomes its id. Rows, repeated
     rows and all other columns are kept; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
-    names = [c for c in docs.columns if c != out]
+    made = [out] if decoded is None else [out, decoded]
+    names = [c for c in docs.columns if c not in made]
     base = docs.select(*[f"`{n}`" for n in names])
     at = names.index(text_col)
 
@@ -260,13 +262,22 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
         codec = _codec(shared)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            parts = [codec.encode(own) for own in groups(texts)]
-            for lo, (ids, counts) in zip(np.cumsum([0, *[c.size for _, c in parts]]).tolist(), parts):
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, counts.size).columns, ids], [*names, out])
+            lo = 0
+            for own in groups(texts):
+                ids, counts = codec.encode(own)
+                columns = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids))]
+                if decoded is not None:
+                    columns.append(pa.array([decoded_digest(b) for b in codec.pieces_of(ids, counts)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, counts.size).columns, *columns], [*names, *made])
+                lo += counts.size
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return map_batches(base, run, f"{fields}, `{out}` array<int>")
+    return map_batches(base, run, f"{fields}, `{out}` array<int>" + ("" if decoded is None else f", `{decoded}` string"))
+
+
+def decoded_digest(pieces: bytes) -> str:
+    """SHA-256 of the text that the joined bytes of token ids are."""
+    return hashlib.sha256(pieces.decode("utf-8", "replace").encode()).hexdigest()
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -303,7 +314,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 ids, counts = codec.encode(own)
                 sizes += counts.tolist()
                 numbers += [sha(b[:-1]).hexdigest() for b in codec.decimals_of(ids, counts)]
-                decoded += [sha(b.decode("utf-8", "replace").encode()).hexdigest() for b in codec.pieces_of(ids, counts)]
+                decoded += [decoded_digest(b) for b in codec.pieces_of(ids, counts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.string()), pa.array(decoded, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
