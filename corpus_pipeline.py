@@ -47,9 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, their number, and the SHA-256 of the text that they decode to, for each row."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary()).drop("text")
-    decoded = bpe.decode(encoded, vocabulary(), out="decoded")
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = docs.select("doc_id", "lang", "source", "text")
+    encoded = bpe.encode(rows, vocabulary(), decoded="decoded_sha256")
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES = [
