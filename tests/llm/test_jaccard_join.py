@@ -78,3 +78,60 @@ def test_representatives_of_odd_rows(spark):
     # repeated rows leave one, texts without words all stay
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept) == [-1, 0, 1, 2, 3, 5, 6, 7, 9]
     assert j.representatives(empty(spark)).collect() == []
+
+
+def test_long_sketches_never_exceed_the_distance(spark):
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 2**63, 30_000, dtype=np.uint64))
+    picks = [pool[:1500], pool[200:1900], pool[:2100], pool[5000:9100], pool[5000:9090], pool[:1000], pool[9000:26_000], pool[9001:20_000], pool[:1024], pool[3:1030]]
+    sizes = np.array([p.size for p in picks])
+    value = np.concatenate(picks)
+    short = j.sketches(value, np.repeat(np.arange(sizes.size), sizes), sizes.size)
+    wide = j.long_sketches(value, sizes)
+    assert [w is not None for w in wide] == [bool(n > 1024) for n in sizes] and all(w.size * 64 >= n for w, n in zip(wide, sizes) if w is not None)
+    for w, s in zip(wide, short):
+        if w is not None:
+            assert (np.bitwise_xor.reduce(w.reshape(-1, j.SKETCH_LONGS), axis=0) == s).all()
+    rows = [(i, int(n), s.tolist(), None if w is None else w.tolist()) for i, (n, s, w) in enumerate(zip(sizes, short, wide))]
+    df = spark.createDataFrame(rows, "class long, n_shingles long, sketch array<long>, long_sketch array<long>")
+    both = df.alias("x").crossJoin(df.alias("y")).select("x.class", "y.class", j._long_apart("x", "y"), j._near("x", "y", 75, 100) & j._long_near("x", "y", 75, 100)).collect()
+    for a, b, apart, near in both:
+        differ = np.setxor1d(picks[a], picks[b]).size
+        assert apart is None or apart <= differ
+        assert near or 175 * differ > 25 * (sizes[a] + sizes[b]) or 100 * min(sizes[a], sizes[b]) < 75 * max(sizes[a], sizes[b])
+    assert not {(a, b) for a, b, _, near in both if near} & {(0, 3), (6, 3), (2, 5)}
+
+
+def test_long_texts_around_one_passage(spark):
+    """Long texts that share a passage but are not alike, and near copies of some of them."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(700)]
+    rows = []
+    for i in range(24):
+        words = passage + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([900, 1500, 2500]))]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(rng.choice([1, 20, 200])):
+            words[rng.randrange(len(words))] = "new"
+        rows.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.jaccard_components(df).collect()}
+    assert got == jaccard_components(rows)
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    names = ["_h", "_class", "_id", "_of", "_stays", "_row", "class", "comp", "id", "__h"]
+    docs = odd_rows(spark).selectExpr("*", *[f"7 AS `{c}`" for c in names], "map('k', text) AS m")
+    out = j.representatives(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert all(r[c] == 7 for r in got for c in names) and all(r["m"] == {"k": r["text"]} for r in got)
+    assert sorted(r["doc_id"] or -1 for r in got) == sorted(r["doc_id"] or -1 for r in j.representatives(odd_rows(spark)).collect())
+
+
+def test_one_of_repeated_rows_stays_whatever_the_order(spark):
+    rows = [(1, "a b c d e f", f"s{i}") for i in range(30)] + [(2, "a b c d e f", "s0"), (None, "x y", "p"), (None, "x y", "q")]
+    kept = set()
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows[::-1] if n == 3 else rows, "doc_id long, text string, source string").repartition(n)
+        kept.add(tuple(sorted(map(repr, map(tuple, j.representatives(df).collect())))))
+    assert len(kept) == 1 and len(kept.pop()) == 2

@@ -22,8 +22,8 @@ when their Jaccard similarity reaches the threshold. The steps:
    many signatures are one family, listed once per bucket.
 4. *Stars.* Each neighbour is compared with its pivot and each pivot of a family
    with the family's first: by sketch, and what passes by the whole sets. A sketch
-   is 1024 parities, whose distance never exceeds the true one. Links found give
-   components.
+   is 1024 parities, and for larger sets as many as they have features; its distance never
+   exceeds the true one. Links found give components.
 5. *Rest.* Families that, with their pivots' neighbours, still span several
    components are joined with themselves across components. The test by sketch
    is part of the join condition; what passes is verified too.
@@ -114,6 +114,22 @@ def sketches(value: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, SKETCH_LONGS).view(np.int64)
 
 
+def long_sketches(value: np.ndarray, sizes: np.ndarray) -> list[np.ndarray | None]:
+    """A parity sketch of at least one bit per feature for each set that ``sketches`` has fewer for; None for the others.
+
+    Its length is a power of two. The sketch of half its length is the exclusive or
+    of its halves, so sketches of two lengths can be compared.
+    """
+    out: list[np.ndarray | None] = [None] * sizes.size
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes > 64 * SKETCH_LONGS).tolist():
+        bits = 1 << int(sizes[i] - 1).bit_length()
+        own = value[ends[i] - sizes[i] : ends[i]]
+        odd = np.bincount((mix(own + np.uint64(0x1234567)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return out
+
+
 def size_bands(numerator: int, denominator: int, most: int) -> np.ndarray:
     """Upper ends of the size bands: a set's partners lie in its own band or one beside it."""
     ends = [1]
@@ -207,26 +223,28 @@ def _sets(text: list[bytes | None], k: int) -> Iterator[tuple]:
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
-    """Rows (doc_id, n_shingles, class, sketch) for every document, from one pass over the texts."""
+    """Rows (doc_id, n_shingles, class, sketch, long_sketch) for every document, from one pass over the texts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, sketch = [], [], []
+            ids, sizes, sketch, wide = [], [], [], []
             for c, value, owner, n in _sets(binary(batch.column(1)), k):
                 ids.append(class_ids(value, n))
                 sizes.append(n)
                 sketch.append(sketches(value, owner, n.size))
+                wide += long_sketches(value, n)
             if not sizes:
                 continue
             flat = np.concatenate(sketch)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(flat.shape[0] + 1) * SKETCH_LONGS, pa.int32()), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(ids)), lists],
-                ["doc_id", "n_shingles", "class", "sketch"],
+                [batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(ids)), lists, pa.array(wide, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "class", "sketch", "long_sketch"],
             )
 
-    return map_batches(docs.select(f"`{id_col}`", f"`{text_col}`"), run, f"doc_id {kind}, n_shingles long, class long, sketch array<long>")
+    schema = f"doc_id {kind}, n_shingles long, class long, sketch array<long>, long_sketch array<long>"
+    return map_batches(docs.select(f"`{id_col}`", f"`{text_col}`"), run, schema)
 
 
 SIG_BYTES = 6
@@ -461,9 +479,13 @@ def settle(pairs: DataFrame, links: DataFrame | None, texts: DataFrame, k: int,
 def likely(pairs: DataFrame, members: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a link; no linked pair is left out."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    one = materialize(members.select("class", "n_shingles", "sketch").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sketches")
-    left = pairs.join(one.alias("x"), F.col("a") == F.col("x.class"))
-    return left.join(one.alias("y"), F.col("b") == F.col("y.class")).where(_near("x", "y", numerator, denominator)).select("a", "b")
+    one = materialize(members.select("class", "n_shingles", "sketch", "long_sketch").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sketches")
+    slim, large = one.drop("long_sketch"), one.where("long_sketch IS NOT NULL")
+    left = pairs.join(slim.alias("x"), F.col("a") == F.col("x.class"))
+    near = materialize(left.join(slim.alias("y"), F.col("b") == F.col("y.class")).where(_near("x", "y", numerator, denominator)).select("a", "b"), "near")
+    left = near.join(large.alias("x"), F.col("a") == F.col("x.class"))
+    apart = left.join(large.alias("y"), F.col("b") == F.col("y.class")).where(~_long_near("x", "y", numerator, denominator)).select("a", "b")
+    return near.join(apart, ["a", "b"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -489,7 +511,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _near(x: str, y: str, numerator: int, denominator: int) -> Column:
-    """Sizes and sketches of two classes allow a link; a quarter of the sketch is looked at before all of it."""
+    """Sizes and sketches of two classes allow a link; a quarter of the sketch is looked at before all of it.
+
+    The sketches of two large sets differ in half of their bits whatever the sets hold; see ``_long_near``.
+    """
     n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
 
     def apart(longs: int) -> Column:
@@ -500,6 +525,28 @@ def _near(x: str, y: str, numerator: int, denominator: int) -> Column:
     return fits & (apart(SKETCH_LONGS // 4) * (numerator + denominator) <= most) & (apart(SKETCH_LONGS) * (numerator + denominator) <= most)
 
 
+def _long_near(x: str, y: str, numerator: int, denominator: int) -> Column:
+    """The long sketches of two classes, where both have one, allow a link."""
+    most = (denominator - numerator) * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles"))
+    return F.coalesce(_long_apart(x, y) * (numerator + denominator) <= most, F.lit(True))
+
+
+def _long_apart(x: str, y: str) -> Column:
+    """Bits in which two long sketches differ, the longer one folded to the shorter; null where one is missing."""
+    p, q = F.col(f"{x}.long_sketch"), F.col(f"{y}.long_sketch")
+    least = F.least(F.size(p), F.size(q))
+
+    def fold(v: Column) -> Column:
+        more = F.sequence(F.lit(1), (F.size(v) / least).cast("int") - 1)
+        parts = F.aggregate(
+            more, F.slice(v, F.lit(1), least), lambda done, i: F.zip_with(done, F.slice(v, i * least + 1, least), lambda a, b: a.bitwiseXOR(b))
+        )
+        return F.when(F.size(v) > least, parts).otherwise(v)
+
+    differ = F.zip_with(fold(p), fold(q), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.when(p.isNotNull() & q.isNotNull(), F.aggregate(differ, F.lit(0), lambda total, n: total + n))
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -535,12 +582,17 @@ def jaccard_components(
     all_families = far.union(near.select(F.col("pivot").alias("family"), "pivot").distinct())
     open_ones = all_families.join(span, "pivot").groupBy("family").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("family")
     rest = materialize(all_families.join(open_ones, "family").join(around, "pivot").select("family", "class", "comp").distinct(), "rest")
-    one = members.join(rest.select("class").distinct(), "class").dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
+    one = members.join(rest.select("class").distinct(), "class").dropDuplicates(["class"]).select("class", "n_shingles", "sketch", "long_sketch")
+    one = one.withColumn("wide", F.col("long_sketch").isNotNull())
     rest = materialize(rest.join(one, "class"), "rest")
-    met = rest.alias("x").join(
-        rest.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.comp") < F.col("y.comp")) & _near("x", "y", numerator, denominator)
-    )
-    more = _distinct_pairs(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))).join(stars, ["a", "b"], "left_anti")
+    across = (F.col("x.family") == F.col("y.family")) & (F.col("x.comp") < F.col("y.comp"))
+    # two large sets have long sketches to compare; all other pairs keep to a condition that Spark compiles
+    slim, large = rest.drop("long_sketch"), rest.where("wide")
+    short = across & ~(F.col("x.wide") & F.col("y.wide")) & _near("x", "y", numerator, denominator)
+    both = across & _near("x", "y", numerator, denominator) & _long_near("x", "y", numerator, denominator)
+    ends = [F.col("x.class").alias("a"), F.col("y.class").alias("b")]
+    met = slim.alias("x").join(slim.alias("y"), short).select(*ends).unionByName(large.alias("x").join(large.alias("y"), both).select(*ends))
+    more = _distinct_pairs(met).join(stars, ["a", "b"], "left_anti")
     more = materialize(more, "more")
     if not more.isEmpty():
         links, comps = settle(more, links, texts_of(more, members, docs, id_col, text_col, k), k, numerator, denominator)
