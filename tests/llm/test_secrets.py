@@ -93,5 +93,14 @@ def test_redact_keeps_columns_of_any_name_and_long_texts(spark):
 
 
 def test_masked_joins_overlapping_spans():
-    spans = [{"start": a, "end": b} for a, b in [(1, 4), (2, 6), (6, 7), (9, 9)]]
-    assert secrets.masked("0123456789", spans, "#") == "0##78#9"
+    assert secrets.masked("0123456789", [(1, 4), (2, 6), (6, 7), (9, 9)], "#") == "0##78#9"
+
+
+def test_redaction_masks_the_spans_that_are_found(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(2)
+    odd = [(10**6 + i, " ".join("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(18, 60))) + "=abc" * (j % 2) for j in range(5))) for i in range(60)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    spans = {r["doc_id"]: (r["text"], [(s["start"], s["end"]) for s in r["spans"]]) for r in secrets.find(docs).collect()}
+    assert any(s for _, s in spans.values())
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == {i: secrets.masked(t, s, "[SECRET]") for i, (t, s) in spans.items()}

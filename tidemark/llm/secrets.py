@@ -16,15 +16,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbits import chunks, extend, fresh, map_batches, to_points, word_spans
+from tidemark.llm.textbits import chunks, extend, fresh, to_points, word_spans
 from tidemark.session import materialize
 
 #: The base patterns, their least lengths and the order of kinds.
@@ -254,31 +253,43 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", q: f
     the limits and then for the spans, so that no copy of them is written.
     """
     limits = dismissed_from(scan(docs.select(f"`{text_col}`"), text_col), q)
-    base, candidates, spans = fresh(docs, "_base", "_candidates", "_spans")
-    marked = scan(docs, text_col, base, candidates).withColumn(spans, all_spans(limits, base, candidates))
-    marked = marked.select(*[f"`{c}`" for c in docs.columns], F.transform(spans, lambda s: F.struct(s["start"], s["end"])).alias(spans))
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(len(docs_names))
-            texts = batch.column(at)
-            hit = np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(found), 0), False).to_numpy(zero_copy_only=False))
-            if hit.size:
-                new = dict(zip(hit.tolist(), (masked(t, s, mask) for t, s in zip(texts.take(pa.array(hit)).to_pylist(), found.take(pa.array(hit)).to_pylist()))))
-                texts = pa.array([new.get(i, t) for i, t in enumerate(texts.to_pylist())], texts.type)
-            columns = batch.columns[:-1]
-            columns[at] = texts
-            yield pa.RecordBatch.from_arrays(columns, docs_names)
-
-    docs_names = docs.columns
-    return map_batches(marked, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
-
-
-def masked(text: str, spans: list[dict], mask: str) -> str:
+
+    def run(texts: list[bytes | None]) -> list[list[str | None]]:
+        out = []
+        for text, base, tested in zip(texts, *_scan(texts)):
+            spans = sorted([(s["start"], s["end"]) for s in base] + reported(base, tested, limits))
+            whole = None if text is None else text.decode("utf-8", "replace")
+            out.append(masked(whole, spans, mask) if spans else whole)
+        return [out]
+
+    (clean,) = fresh(docs, "_clean")
+    made = extend(docs, text_col, {clean: ("string", pa.string())}, run)
+    return made.select(*[(F.col(clean).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+
+
+def reported(base: list[dict], tested: list[dict], limits: dict[int, int]) -> list[tuple[int, int]]:
+    """(start, end) of the tokens that ``random_spans`` keeps: not dismissed by the limits, not overlapping a base span."""
+    joined: list[list[int]] = []
+    for s in sorted(base, key=lambda s: s["start"]):
+        if joined and s["start"] <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], s["end"])
+        else:
+            joined.append([s["start"], s["end"]])
+    starts = [s for s, _ in joined]
+    out = []
+    for c in tested:
+        own = max(i for i, least in enumerate(BANDS) if i == 0 or c["n"] >= least)
+        at = min(MOST_BIN, math.floor(-math.log10(c["p"]) * BINS_PER_DECADE))
+        before = bisect_left(starts, c["end"]) - 1
+        if at < limits.get(own, MOST_BIN + 1) and (before < 0 or joined[before][1] <= c["start"]):
+            out.append((c["start"], c["end"]))
+    return out
+
+
+def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
     """``text`` with its spans, sorted by start, replaced; overlapping ones as one."""
     parts, done = [], 0
-    for start, end in (tuple(s.values()) for s in spans):
+    for start, end in spans:
         if start >= done:
             parts += [text[done:start], mask]
         done = max(done, end)
