@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import LOWER, empty, odd_rows
 from tidemark.llm import divergence
 from tidemark.llm.queries import DIVERGENCE_SQL, op12
+from tidemark.llm.textbits import cut
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -101,3 +103,26 @@ def test_query_equals_oracle(spark, sf):
     got = op12(spark, sf).select(*names).collect()
     want = want.fetchall()
     assert len(got) == len(want) and {tuple(r) for r in got} == set(want)
+
+
+def test_counts_are_added_up_however_little_a_task_holds(spark, monkeypatch):
+    rows = [(lang, source, f"alpha beta {'gamma ' * i}") for i in range(40) for lang in ("en", "de") for source in ("a", "b", None)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    want = Counter()
+    for lang, source, text in rows:
+        for term, n in Counter(text.split()).items():
+            want[lang, source, term] += n
+    for held, emit in ((1, 1), (7, 3), (divergence.HELD, divergence.EMIT)):
+        monkeypatch.setattr(divergence, "HELD", held)
+        monkeypatch.setattr(divergence, "EMIT", emit)
+        monkeypatch.setattr(divergence, "_CHUNK", 200)
+        got = divergence.term_counts(docs).collect()
+        assert {(r["lang"], r["source"], r["term"]): r["n"] for r in got} == want
+        assert all(r["docs"] == (39 if r["term"] == "gamma" else 40) for r in got)
+
+
+def test_a_task_emits_few_rows_of_counts_at_once():
+    batch = pa.RecordBatch.from_pylist([{"text": "x" * 1000}] * 50)
+    pieces = list(cut([batch], 10_000))
+    assert sum(p.num_rows for p in pieces) == 50 and max(p.nbytes for p in pieces) < 11_000
+    assert [p.num_rows for p in cut([batch], 10)] == [1] * 50

@@ -1,7 +1,8 @@
 """Divergence of term use between the sources of a language, from count-level bitmaps.
 
-1. *Counts.* Tasks count terms per (language, source) in Arrow batches and emit
-   each term once per batch; Spark adds them up. A language keeps the terms that
+1. *Counts.* Tasks count terms per (language, source) in small chunks of text, add
+   up what they hold whenever it has grown to ``HELD`` rows, and emit what is
+   left of it; Spark adds them up. A language keeps the terms that
    enough of its documents hold.
 2. *Shares.* Every kept term has in every group the smoothed share
    ``p = 1 + floor(SCALE * (count + 1) / (N + V))``. Of a group's shares only those of
@@ -40,7 +41,9 @@ FREQUENT = 256
 NARROW, WIDE = 64, 4096
 #: Levels of a block that one unit of work compares with all others.
 TILE = 512
-_CHUNK = 16 << 20
+#: Rows of counts that a task holds before it adds them up, and rows that it emits at once.
+HELD, EMIT = 400_000, 20_000
+_CHUNK = 2 << 20
 
 #: Bytes of the terms [^\x00-\x40\x5B-\x60\x7B-\x7F]+, after lower-casing A-Z.
 TERMS = np.zeros(256, dtype=bool)
@@ -70,15 +73,36 @@ def _counted(chunk, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray
 def term_counts(docs: DataFrame) -> DataFrame:
     """Rows (lang, source, term, n, docs) of a table (lang, source, text)."""
 
+    def emit(groups: dict, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+        for lo in range(0, table.num_rows, EMIT):
+            part = table.slice(lo, EMIT).combine_chunks()
+            g, term, n, has = (part.column(c).combine_chunks() for c in ("g", "term", "n", "docs"))
+            yield pa.RecordBatch.from_arrays([langs.take(g), sources.take(g), term.cast(pa.string()), n, has], ["lang", "source", "term", "n", "docs"])
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(tables).group_by(["g", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return pa.table({"g": sums["g"], "term": sums["term"], "n": sums["n_sum"], "docs": sums["docs_sum"]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, held, rows = {}, [], 0
         for batch in batches:
-            lang, source = (batch.column(i).cast(pa.string()).dictionary_encode() for i in (0, 1))
-            a, b = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
-            group = a * max(len(source.dictionary), 1) + b
+            pairs = zip(*(batch.column(i).to_pylist() for i in (0, 1)))
+            group = np.array([groups.setdefault(x, len(groups)) for x in pairs], dtype=np.int64)
             for c in chunks(binary(batch.column(2)), _CHUNK):
                 g, term, n, has = _counted(c, group[c.lo : c.hi])
-                names = [d.dictionary.take(pa.array(i)) for d, i in ((lang, g // max(len(source.dictionary), 1)), (source, g % max(len(source.dictionary), 1)))]
-                yield pa.RecordBatch.from_arrays([*names, term.cast(pa.string()), pa.array(n), pa.array(has)], ["lang", "source", "term", "n", "docs"])
+                held.append(pa.table({"g": g, "term": term, "n": n, "docs": has}))
+                rows += g.size
+                if rows >= HELD:
+                    held = [added(held)]
+                    rows = held[0].num_rows
+                    if 2 * rows >= HELD:  # little is left to add up: begin anew
+                        yield from emit(groups, held[0])
+                        held, rows = [], 0
+            if not held:
+                groups = {}
+        if held:
+            yield from emit(groups, added(held))
 
     found = map_batches(docs.select("lang", "source", "text"), run, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
