@@ -135,3 +135,17 @@ def test_one_of_repeated_rows_stays_whatever_the_order(spark):
         df = spark.createDataFrame(rows[::-1] if n == 3 else rows, "doc_id long, text string, source string").repartition(n)
         kept.add(tuple(sorted(map(repr, map(tuple, j.representatives(df).collect())))))
     assert len(kept) == 1 and len(kept.pop()) == 2
+
+
+def test_a_bucket_sorted_in_shares_has_the_same_families(monkeypatch):
+    rng = np.random.default_rng(5)
+    sig, names = rng.integers(0, 400, 3000).astype(np.uint64), rng.integers(-9, 9, 12)
+    blocks = [(sig[i::3], rng.integers(0, 12, sig[i::3].size).astype(np.uint32), names + 100 * i) for i in range(3)]
+
+    def families(shares):
+        monkeypatch.setattr(j, "MEETING_SHARES", shares)
+        found = [(f, c) for family, cls in j._met(*zip(*blocks)) for f, c in zip(family.tolist(), cls.tolist())]
+        assert len(found) == len(set(found))
+        return sorted(found)
+
+    assert families(1) == families(8) == families(64) and families(8)

@@ -248,6 +248,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> Data
 
 
 SIG_BYTES = 6
+#: Shares (a power of two) in which a bucket's signatures are sorted, so that a task sorts few at once.
+MEETING_SHARES = 8
 
 
 def _packed(sig: np.ndarray, cls: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -259,10 +261,39 @@ def _packed(sig: np.ndarray, cls: np.ndarray) -> tuple[bytes, bytes, bytes]:
     return short.tobytes(), cls[first].tobytes(), np.diff(np.r_[first, cls.size]).astype(np.uint32).tobytes()
 
 
-def _unpacked(sigs: bytes, classes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(sigs: pa.Buffer, classes: pa.Buffer, counts: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, for each the place of its class among the classes, and the classes."""
     wide = np.zeros((len(sigs) // SIG_BYTES, 8), dtype=np.uint8)
     wide[:, :SIG_BYTES] = np.frombuffer(sigs, dtype=np.uint8).reshape(-1, SIG_BYTES)
-    return wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(classes, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32))
+    classes = np.frombuffer(classes, dtype=np.int64).copy()
+    return wide.view(np.uint64).ravel(), np.repeat(np.arange(classes.size, dtype=np.uint32), np.frombuffer(counts, dtype=np.uint32)), classes
+
+
+def _met(sigs: list[np.ndarray], places: list[np.ndarray], names: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The families of a bucket, each once, from blocks as ``_unpacked`` gives them; the signatures are sorted a share at a time."""
+    seen = np.empty(0, dtype=np.int64)
+    for share in range(MEETING_SHARES):
+        sig, cls = [], []
+        for s, p, n in zip(sigs, places, names):
+            here = np.flatnonzero(s & np.uint64(MEETING_SHARES - 1) == share)
+            sig.append(s[here])
+            cls.append(n[p[here]])
+        sig, c = np.concatenate(sig), np.concatenate(cls)
+        order = np.argsort(sig, kind="stable")
+        sig, c = sig[order], c[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.r_[False, same] | np.r_[same, False]
+        if not shared.any():
+            continue
+        sig, c = sig[shared], c[shared]
+        order = np.lexsort((c, sig))
+        sig, c = sig[order], c[order]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])]
+        family, c = _families(sig[new], c[new])
+        more = ~np.isin(family, seen)
+        family, c = family[more], c[more]
+        seen = np.union1d(seen, family)
+        yield family, c
 
 
 def _families(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,29 +361,18 @@ def groups(docs: DataFrame, text_col: str, buckets: int, k: int, numerator: int,
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, cls = [], []
+        blocks = []
         for batch in batches:
-            for kind, s, c, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            for i, kind in enumerate(batch.column(1).to_pylist()):
+                s, c, n = (batch.column(j)[i].as_buffer() for j in (2, 3, 4))
                 if kind:
                     near = np.frombuffer(s, dtype=np.int64).reshape(-1, 2)
                     yield from out(near[:, 0], near[:, 1], True)
                 else:
-                    s, c = _unpacked(s, c, n)
-                    sigs.append(s)
-                    cls.append(c)
-        if sigs:
-            sig, c = np.concatenate(sigs), np.concatenate(cls)
-            del sigs, cls
-            order = np.argsort(sig, kind="stable")
-            sig, c = sig[order], c[order]
-            same = sig[1:] == sig[:-1]
-            shared = np.r_[False, same] | np.r_[same, False]
-            sig, c = sig[shared], c[shared]
-            order = np.lexsort((c, sig))
-            sig, c = sig[order], c[order]
-            new = np.r_[True, (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])][: sig.size]
-            if sig.size:
-                yield from out(*_families(sig[new], c[new]), False)
+                    blocks.append(_unpacked(s, c, n))
+        if blocks:
+            for family, cls in _met(*zip(*blocks)):
+                yield from out(family, cls, False)
 
     packed = map_batches(docs.select(f"`{text_col}`"), emit, "bucket int, kind int, sigs binary, classes binary, counts binary")
     return map_batches(packed.repartition(buckets, "bucket"), meet, "family long, class long, near boolean")
