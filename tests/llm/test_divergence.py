@@ -126,3 +126,17 @@ def test_a_task_emits_few_rows_of_counts_at_once():
     pieces = list(cut([batch], 10_000))
     assert sum(p.num_rows for p in pieces) == 50 and max(p.nbytes for p in pieces) < 11_000
     assert [p.num_rows for p in cut([batch], 10)] == [1] * 50
+
+
+def test_terms_are_exchanged_once(spark):
+    docs = spark.createDataFrame(made_up(), "lang string, source string, text string").na.fill("")
+    counts = divergence.term_counts(docs)
+    kept = divergence.kept_terms(counts)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r["lang"], r["term"], r["source"]): (r["n"], r["lang_n"]) for r in kept.collect()}
+    totals = Counter()
+    for (lang, term, _), (n, _) in got.items():
+        totals[lang, term] += n
+    assert got and all(lang_n == totals[lang, term] for (lang, term, _), (_, lang_n) in got.items())
+    assert len({(r["lang"], r["term"]) for r in kept.where("lead").collect()}) == kept.where("lead").count() == len(totals)

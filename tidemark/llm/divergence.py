@@ -105,7 +105,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
             yield from emit(groups, added(held))
 
     found = map_batches(docs.select("lang", "source", "text"), run, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have added up what they hold, so nothing is gained by adding before the exchange; all sources of a term meet in it
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: str, total: str, terms: str) -> Column:
@@ -126,8 +127,8 @@ def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     With ``lang_n``, the term's occurrences in the language, and ``lead``, true in one row of each term.
     """
     same = Window.partitionBy("lang", "term")
-    found = counts.withColumn("lang_n", F.sum("n").over(same)).withColumn("held", F.sum("docs").over(same))
-    found = found.withColumn("lead", F.row_number().over(same.orderBy("source")) == 1)
+    found = counts.withColumn("lead", F.row_number().over(same.orderBy("source")) == 1)
+    found = found.withColumn("lang_n", F.sum("n").over(same)).withColumn("held", F.sum("docs").over(same))
     return found.where(F.col("held") >= least_docs).select("lang", "source", "term", "n", "lang_n", "lead")
 
 
@@ -283,7 +284,6 @@ def audit(
     """
     named = {"lang": lang_col, "source": source_col, "text": text_col}
     docs = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for n, c in named.items()])
-    counts = materialize(term_counts(docs), "term_counts")
-    kept = materialize(kept_terms(counts, least_docs), "kept_terms")
+    kept = materialize(kept_terms(term_counts(docs), least_docs), "kept_terms")
     groups = materialize(group_table(docs, kept), "groups")
     return ranked(pair_values(kept, groups), "pair").unionByName(ranked(term_values(kept, groups), "term", top))
