@@ -149,3 +149,32 @@ def test_a_bucket_sorted_in_shares_has_the_same_families(monkeypatch):
         return sorted(found)
 
     assert families(1) == families(8) == families(64) and families(8)
+
+
+def test_pairs_of_many_families_meet_once(spark):
+    """Every near pair of a family across components is listed once; what is known is not, and hardly leaves the join twice."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(200) > 0.06], rng.integers(0, 2**63, 4, dtype=np.uint64)]) for _ in range(12)]
+    sets += [np.unique(rng.integers(0, 2**63, 190, dtype=np.uint64)) for _ in range(4)]
+    sizes = np.array([s.size for s in sets])
+    sketch = j.sketches(np.concatenate(sets), np.repeat(np.arange(sizes.size), sizes), sizes.size)
+    one = [(i, int(n), s.tolist(), None, False) for i, (n, s) in enumerate(zip(sizes, sketch))]
+    one = spark.createDataFrame(one, "class long, n_shingles long, sketch array<long>, long_sketch array<long>, wide boolean")
+    families = [sorted(rng.choice(16, rng.integers(2, 9), replace=False).tolist()) for _ in range(300)]
+    rest = spark.createDataFrame([(f, c, c // 2) for f, m in enumerate(families) for c in m], "family long, class long, comp long")
+    none = spark.createDataFrame([], "a long, b long")
+    both = one.alias("x").crossJoin(one.alias("y")).where(j._near("x", "y", 75, 100)).select("x.class", "y.class").collect()
+    near = {(a, b) for a, b in both if a < b and a // 2 != b // 2 and any(a in m and b in m for m in families)}
+    listed = [tuple(r) for r in j.across_components(rest, one, none, 75, 100).collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == near and len(near) > 40
+    known = sorted(near)[::3] + [(12, 13)]
+    left = j.across_components(rest, one, spark.createDataFrame(known, "a long, b long"), 75, 100).collect()
+    assert sorted(map(tuple, left)) == sorted(near - set(known))
+
+
+def test_known_pairs_lie_at_the_end_with_fewer(spark):
+    pairs = [(0, i) for i in range(1, 40)] + [(3, 4), (5, 3)]
+    got = {r["class"]: sorted(r["known"]) for r in j._partners(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {tuple(sorted((c, o))) for c, known in got.items() for o in known} == {tuple(sorted(p)) for p in pairs}
+    assert sum(map(len, got.values())) == len(pairs) and max(map(len, got.values())) <= 2 and 0 not in got

@@ -26,7 +26,9 @@ when their Jaccard similarity reaches the threshold. The steps:
    exceeds the true one. Links found give components.
 5. *Rest.* Families that, with their pivots' neighbours, still span several
    components are joined with themselves across components. The test by sketch
-   is part of the join condition; what passes is verified too.
+   is part of the join condition; what passes is verified too. Near copies meet in
+   hundreds of families, so one family in ``PILOT`` is joined first and the others
+   list only pairs that are not known by then.
    So no link between different components is lost, and pairs within one
    component are not listed.
 6. Verification reads the texts of the candidates again and compares whole sets.
@@ -63,6 +65,8 @@ SKETCH_LONGS = 16
 #: Bits of the fixed-size filter of documents that verification needs (it only saves reading, never decides).
 FILTER_BITS = 22
 SHINGLES_PER_BUCKET = 2_000_000
+#: One family in so many is joined before the others; it lists nearly all pairs that very many families have.
+PILOT = 32
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -567,6 +571,39 @@ def _long_apart(x: str, y: str) -> Column:
     return F.when(p.isNotNull() & q.isNotNull(), F.aggregate(differ, F.lit(0), lambda total, n: total + n))
 
 
+def _partners(pairs: DataFrame) -> DataFrame:
+    """Rows (class, known): each pair (a, b) listed once, at the end that is in fewer pairs, so lists stay short."""
+    many = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    ends = pairs.select("a", "b").distinct()
+    for side in ("a", "b"):
+        ends = ends.join(many.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}")), side)
+    at_a = F.col("n_a") <= F.col("n_b")
+    at = ends.select(F.when(at_a, F.col("a")).otherwise(F.col("b")).alias("class"), F.when(at_a, F.col("b")).otherwise(F.col("a")).alias("other"))
+    return at.groupBy("class").agg(F.collect_list("other").alias("known"))
+
+
+def across_components(rest: DataFrame, one: DataFrame, known: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The distinct pairs (a, b) of classes of one family that lie in different components and may link by size and sketch.
+
+    Pairs in ``known`` are not listed again: near copies have hundreds of families in common.
+    """
+    told = materialize(one.join(_partners(known), "class", "left"), "told")
+    rows = materialize(rest.join(told, "class"), "rest")
+
+    def listed(x: str, y: str) -> Column:
+        return F.coalesce(F.array_contains(F.col(f"{x}.known"), F.col(f"{y}.class")), F.lit(False))
+
+    across = (F.col("x.family") == F.col("y.family")) & (F.col("x.comp") < F.col("y.comp"))
+    new = ~listed("x", "y") & ~listed("y", "x")
+    # two large sets have long sketches to compare; all other pairs keep to a condition that Spark compiles
+    slim, large = rows.drop("long_sketch"), rows.where("wide")
+    short = across & ~(F.col("x.wide") & F.col("y.wide")) & _near("x", "y", numerator, denominator) & new
+    both = across & _near("x", "y", numerator, denominator) & new & _long_near("x", "y", numerator, denominator)
+    ends = [F.col("x.class").alias("a"), F.col("y.class").alias("b")]
+    met = slim.alias("x").join(slim.alias("y"), short).select(*ends).unionByName(large.alias("x").join(large.alias("y"), both).select(*ends))
+    return materialize(_distinct_pairs(met), "crossing")
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -603,17 +640,11 @@ def jaccard_components(
     open_ones = all_families.join(span, "pivot").groupBy("family").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("family")
     rest = materialize(all_families.join(open_ones, "family").join(around, "pivot").select("family", "class", "comp").distinct(), "rest")
     one = members.join(rest.select("class").distinct(), "class").dropDuplicates(["class"]).select("class", "n_shingles", "sketch", "long_sketch")
-    one = one.withColumn("wide", F.col("long_sketch").isNotNull())
-    rest = materialize(rest.join(one, "class"), "rest")
-    across = (F.col("x.family") == F.col("y.family")) & (F.col("x.comp") < F.col("y.comp"))
-    # two large sets have long sketches to compare; all other pairs keep to a condition that Spark compiles
-    slim, large = rest.drop("long_sketch"), rest.where("wide")
-    short = across & ~(F.col("x.wide") & F.col("y.wide")) & _near("x", "y", numerator, denominator)
-    both = across & _near("x", "y", numerator, denominator) & _long_near("x", "y", numerator, denominator)
-    ends = [F.col("x.class").alias("a"), F.col("y.class").alias("b")]
-    met = slim.alias("x").join(slim.alias("y"), short).select(*ends).unionByName(large.alias("x").join(large.alias("y"), both).select(*ends))
-    more = _distinct_pairs(met).join(stars, ["a", "b"], "left_anti")
-    more = materialize(more, "more")
+    one = materialize(one.withColumn("wide", F.col("long_sketch").isNotNull()), "sketches")
+    pilot = F.pmod(F.xxhash64("family"), F.lit(PILOT)) == 0
+    often = across_components(rest.where(pilot), one, close, numerator, denominator)
+    seldom = across_components(rest.where(~pilot), one, close.unionByName(often), numerator, denominator)
+    more = materialize(often.unionByName(seldom), "more")
     if not more.isEmpty():
         links, comps = settle(more, links, texts_of(more, members, docs, id_col, text_col, k), k, numerator, denominator)
     named = members.select("doc_id", "n_shingles", "class").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
