@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import pyarrow as pa
 
 from tidemark.llm import textbits
@@ -32,3 +35,23 @@ def test_a_smaller_limit_of_the_session_stays(spark):
         assert int(spark.conf.get(name)) == textbits.CUT
     finally:
         spark.conf.set(name, before)
+
+
+def test_an_idle_worker_gives_freed_memory_back(spark):
+    def fill(batches):
+        for b in batches:
+            blocks = [b"x" * 100_000 for _ in range(4000)]
+            textbits._powers["held"] = b"y" * 100_000  # lies above the 400 MB and stays
+            del blocks
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()])], ["pid"])
+
+    def release(batches):
+        textbits._powers.pop("held", None)
+        yield from batches
+
+    try:
+        (row,) = textbits.map_batches(spark.range(0, 1, 1, 1), fill, "pid long").collect()
+        pages = int(Path(f"/proc/{row['pid']}/statm").read_text().split()[1])
+        assert pages * os.sysconf("SC_PAGE_SIZE") < 300e6
+    finally:
+        spark.range(0, 1, 1, 1).mapInArrow(release, "id long").collect()
