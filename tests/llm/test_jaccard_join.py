@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tests.llm.helpers import empty, jaccard_components, odd_rows
@@ -178,3 +180,68 @@ def test_known_pairs_lie_at_the_end_with_fewer(spark):
     got = {r["class"]: sorted(r["known"]) for r in j._partners(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {tuple(sorted((c, o))) for c, known in got.items() for o in known} == {tuple(sorted(p)) for p in pairs}
     assert sum(map(len, got.values())) == len(pairs) and max(map(len, got.values())) <= 2 and 0 not in got
+
+
+@pytest.mark.parametrize("small, rows", [(64, 8192), (3, 1), (3, 8192)])
+def test_families_compared_in_arrays_list_every_near_pair(monkeypatch, small, rows):
+    """Units of all sizes, cut anywhere into batches, list the cross-component pairs that a loop over all pairs lists."""
+    monkeypatch.setattr(j, "SMALL_UNIT", small)
+    monkeypatch.setattr(j, "UNIT_ROWS", rows)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(120) > 0.07], rng.integers(0, 2**63, 3, dtype=np.uint64)]) for _ in range(40)]
+    sizes = np.array([s.size for s in sets])
+    sketch = j.sketches(np.concatenate(sets), np.repeat(np.arange(40), sizes), 40)
+    known = {c: [int(x) for x in rng.choice(40, 4)] if c % 5 else None for c in range(40)}
+    told = {frozenset((c, o)) for c, others in known.items() for o in others or ()}
+    table, want = [], set()
+    for family, (lo, hi) in enumerate([(0, 0)] * 30 + [(0, 1)] * 10):
+        members = [(c, c % 2 if hi else 0) for c in sorted(rng.choice(40, rng.integers(2, 12), replace=False).tolist())]
+        table += [(family, lo, hi, block, c, c // 3, int(sizes[c]), sketch[c].tolist(), c % 7 == 0, known[c]) for c, block in members]
+        for a, x in members:
+            for b, y in members:
+                apart = sum(int(p & (2**64 - 1)).bit_count() for p in (sketch[a] ^ sketch[b]).tolist())
+                near = 100 * min(sizes[a], sizes[b]) >= 75 * max(sizes[a], sizes[b]) and 175 * apart <= 25 * (sizes[a] + sizes[b])
+                if a < b and a // 3 != b // 3 and near and (x != y or not hi) and not (a % 7 == 0 and b % 7 == 0) and frozenset((a, b)) not in told:
+                    want.add((family, a, b))
+    names = ["family", "lo", "hi", "block", "class", "comp", "n_shingles", "sketch", "wide", "known"]
+    whole = pa.Table.from_pylist([dict(zip(names, r)) for r in table], pa.schema([*((c, pa.int64()) for c in names[:7]), ("sketch", pa.list_(pa.int64())), ("wide", pa.bool_()), ("known", pa.list_(pa.int64()))]))
+    units = list(j._whole_units(iter(whole.to_batches(max_chunksize=7))))
+    assert sum(u.num_rows for u in units) == len(table) and all(len(set(u.column("family").to_pylist()) & set(v.column("family").to_pylist())) == 0 for u in units for v in units if u is not v)
+    got = {p for u in units for p in zip(*(x.tolist() for x in j._crossing(u, 75, 100)))}
+    assert got == {(a, b) for _, a, b in want} and len(got) > 20
+    one = [(f, *p) for f in range(40) for p in zip(*(x.tolist() for x in j._crossing(whole.filter(pc.equal(whole["family"], f)), 75, 100)))]
+    assert set(one) == want and len(one) == len(want)
+
+
+def test_large_families_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(j, "FAMILY_BLOCK", 5)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    sets = [np.unique(base[rng.random(150) > 0.06]) for _ in range(30)]
+    sizes = np.array([s.size for s in sets])
+    sketch = j.sketches(np.concatenate(sets), np.repeat(np.arange(30), sizes), 30)
+    one = spark.createDataFrame([(i, int(n), s.tolist(), None, False) for i, (n, s) in enumerate(zip(sizes, sketch))], "class long, n_shingles long, sketch array<long>, long_sketch array<long>, wide boolean")
+    rest = spark.createDataFrame([(7, c, c // 2) for c in range(30)] + [(8, c, c // 2) for c in range(4)], "family long, class long, comp long")
+    both = one.alias("x").crossJoin(one.alias("y")).where(j._near("x", "y", 75, 100)).select("x.class", "y.class").collect()
+    want = {(a, b) for a, b in both if a < b and a // 2 != b // 2}
+    listed = [tuple(r) for r in j.across_components(rest, one, spark.createDataFrame([], "a long, b long"), 75, 100).collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == want and len(want) > 100
+
+
+def test_components_end_with_stars(spark):
+    rng = random.Random(2)
+    for edges in ([(i + 1, i) for i in range(40)], [(rng.randrange(90), rng.randrange(90)) for _ in range(60)], [(9, 1), (9, 2), (5, 5)]):
+        parent = list(range(100))
+
+        def root(x):
+            return x if parent[x] == x else root(parent[x])
+
+        for a, b in edges:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+        found = {r["class"]: r["comp"] for r in j.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert found == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    pairs = "a long, b long"
+    assert j._are_stars(spark.createDataFrame([(3, 1), (4, 1), (5, 2)], pairs)) and j._are_stars(spark.createDataFrame([], pairs))
+    assert not j._are_stars(spark.createDataFrame([(3, 1), (3, 2)], pairs)) and not j._are_stars(spark.createDataFrame([(3, 2), (2, 1)], pairs))

@@ -25,8 +25,8 @@ when their Jaccard similarity reaches the threshold. The steps:
    is 1024 parities, and for larger sets as many as they have features; its distance never
    exceeds the true one. Links found give components.
 5. *Rest.* Families that, with their pivots' neighbours, still span several
-   components are joined with themselves across components. The test by sketch
-   is part of the join condition; what passes is verified too. Near copies meet in
+   components are dealt out by family, large ones in blocks, and their rows compared across
+   components by sketch, in arrays; what passes is verified too. Near copies meet in
    hundreds of families, so one family in ``PILOT`` is joined first and the others
    list only pairs that are not known by then.
    So no link between different components is lost, and pairs within one
@@ -67,6 +67,8 @@ FILTER_BITS = 22
 SHINGLES_PER_BUCKET = 2_000_000
 #: One family in so many is joined before the others; it lists nearly all pairs that very many families have.
 PILOT = 32
+#: Rows of a family that are compared at once; a larger one is cut into blocks. Rows of small families that are compared together.
+FAMILY_BLOCK, UNIT_ROWS, SMALL_UNIT = 4096, 8192, 64
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -483,12 +485,17 @@ def settle(pairs: DataFrame, links: DataFrame | None, texts: DataFrame, k: int,
 
     First every ``b`` meets its smallest ``a`` only. Then all pairs are compared
     that still lie in different components. In a group of near copies the first
-    step joins nearly all, so their other pairs move no text.
+    step joins nearly all, so their other pairs move no text. Where the pairs are at most
+    twice as many as that, all are compared at once.
     """
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    at_once = pairs.count() <= 2 * first.count()
+    first = pairs if at_once else first
     found = verify(first, texts, k, numerator, denominator)
     links = materialize(found if links is None else links.unionByName(found), "links")
     comps = materialize(components(links), "components")
+    if at_once:
+        return links, comps
     left = pairs.join(first, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         named = comps.select(F.col("class").alias(side), F.col("comp").alias(f"comp_{side}"))
@@ -519,21 +526,23 @@ def components(edges: DataFrame) -> DataFrame:
     row per neighbour, never gathered.
     """
     current = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "stars")
-    while True:
+    while not _are_stars(current):
         both = current.union(current.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         top = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(top, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        after = materialize(small.union(top).distinct(), "stars")
-        done = after.exceptAll(current).isEmpty() and current.exceptAll(after).isEmpty()
-        current = after
-        if done:
-            break
+        current = materialize(small.union(top).distinct(), "stars")
     roots = current.select(F.col("b").alias("class")).distinct().select("class", F.col("class").alias("comp"))
     return current.select(F.col("a").alias("class"), F.col("b").alias("comp")).union(roots)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every class of the edges (a > b) either has one edge, to its b, or is the b of others only: each b is its component's smallest."""
+    ends = edges.select(F.col("a").alias("class"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    return ends.groupBy("class").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR ups = 1 AND least = 0").isEmpty()
+
+
 def _near(x: str, y: str, numerator: int, denominator: int) -> Column:
     """Sizes and sketches of two classes allow a link; a quarter of the sketch is looked at before all of it.
 
@@ -585,23 +594,116 @@ def _partners(pairs: DataFrame) -> DataFrame:
 def across_components(rest: DataFrame, one: DataFrame, known: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The distinct pairs (a, b) of classes of one family that lie in different components and may link by size and sketch.
 
-    Pairs in ``known`` are not listed again: near copies have hundreds of families in common.
+    Pairs in ``known`` are not listed again: near copies have hundreds of families in common. A family of more than
+    ``FAMILY_BLOCK`` rows is cut into blocks by hash, and each two of its blocks are compared on their own, so no task needs
+    a whole one.
     """
     told = materialize(one.join(_partners(known), "class", "left"), "told")
     rows = materialize(rest.join(told, "class"), "rest")
+    blocks = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("blocks")
+    cut = rest.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_BLOCK).select("family", blocks)
+    cut = materialize(cut, "cut")
+    # two large sets have long sketches to compare, which Spark joins; all other pairs are compared in arrays
+    slim = rows.select("family", "class", "comp", "n_shingles", "sketch", "wide", "known").join(cut, "family", "left")
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).otherwise(F.lit(0))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    slim = slim.withColumn("block", own).select("*", every.alias("other")).drop("blocks")
+    slim = slim.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
+    dealt = slim.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _whole_units(batches):
+            a, b = _crossing(unit, numerator, denominator)
+            if a.size:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    met = map_batches(dealt, compare, "a long, b long")
+    across = (F.col("x.family") == F.col("y.family")) & (F.col("x.comp") < F.col("y.comp"))
 
     def listed(x: str, y: str) -> Column:
         return F.coalesce(F.array_contains(F.col(f"{x}.known"), F.col(f"{y}.class")), F.lit(False))
 
-    across = (F.col("x.family") == F.col("y.family")) & (F.col("x.comp") < F.col("y.comp"))
     new = ~listed("x", "y") & ~listed("y", "x")
-    # two large sets have long sketches to compare; all other pairs keep to a condition that Spark compiles
-    slim, large = rows.drop("long_sketch"), rows.where("wide")
-    short = across & ~(F.col("x.wide") & F.col("y.wide")) & _near("x", "y", numerator, denominator) & new
     both = across & _near("x", "y", numerator, denominator) & new & _long_near("x", "y", numerator, denominator)
-    ends = [F.col("x.class").alias("a"), F.col("y.class").alias("b")]
-    met = slim.alias("x").join(slim.alias("y"), short).select(*ends).unionByName(large.alias("x").join(large.alias("y"), both).select(*ends))
-    return materialize(_distinct_pairs(met), "crossing")
+    large = rows.where("wide")
+    wide = large.alias("x").join(large.alias("y"), both).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    return materialize(_distinct_pairs(met.unionByName(wide)), "crossing")
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, sorted by (family, lo, hi), in tables of whole units and of about ``UNIT_ROWS`` rows or one unit."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < UNIT_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        key = _unit_keys(table)
+        last = int(np.flatnonzero((key[1:] != key[:-1]).any(axis=1))[-1]) + 1 if (key[0] != key[-1]).any() else 0
+        if last:
+            yield table.slice(0, last)
+        held, rows = table.slice(last).to_batches(), table.num_rows - last
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _unit_keys(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("family", "lo", "hi")], axis=1)
+
+
+def _crossing(table: pa.Table, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes (smaller first, each once) of one unit and different components whose sizes and sketches allow a link."""
+    table = table.combine_chunks()
+    key = _unit_keys(table)
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    sizes = np.diff(np.r_[first, len(key)])
+    cls, comp, n, block = (table.column(c).to_numpy() for c in ("class", "comp", "n_shingles", "block"))
+    wide = table.column("wide").to_numpy(zero_copy_only=False)
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_LONGS)
+    split = np.repeat(key[first, 1] != key[first, 2], sizes)
+
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of rows (i, j) that may link; a quarter of the sketch is looked at before all of it."""
+        fits = (comp[i] != comp[j]) & ~(wide[i] & wide[j]) & ~(split[i] & (block[i] == block[j]))
+        fits &= denominator * np.minimum(n[i], n[j]) >= numerator * np.maximum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        for longs in (SKETCH_LONGS // 4, SKETCH_LONGS):
+            apart = np.bitwise_count(sketch[i, :longs] ^ sketch[j, :longs]).sum(axis=1, dtype=np.int64)
+            close = apart * (numerator + denominator) <= (denominator - numerator) * (n[i] + n[j])
+            i, j = i[close], j[close]
+        return i, j
+
+    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    # small units together: each row with the next one of its unit, the one after that and so on
+    end = np.repeat(first + sizes, sizes)
+    alive = np.flatnonzero(np.repeat(sizes <= SMALL_UNIT, sizes))
+    for step in range(1, int(sizes[sizes <= SMALL_UNIT].max(initial=0))):
+        alive = alive[alive + step < end[alive]]
+        i, j = near(alive, alive + step)
+        left.append(i)
+        right.append(j)
+    # a large unit by itself: a quarter of its sketches in columns, each row against all later ones
+    quarter = SKETCH_LONGS // 4
+    for at, size in zip(first[sizes > SMALL_UNIT].tolist(), sizes[sizes > SMALL_UNIT].tolist()):
+        columns = np.ascontiguousarray(sketch[at : at + size, :quarter].T)
+        own = n[at : at + size]
+        for row in range(size - 1):
+            apart = np.bitwise_count(columns[0, row + 1 :] ^ columns[0, row]).astype(np.int16)
+            for c in range(1, quarter):
+                apart += np.bitwise_count(columns[c, row + 1 :] ^ columns[c, row])
+            j = np.flatnonzero(apart.astype(np.int64) * (numerator + denominator) <= (denominator - numerator) * (own[row] + own[row + 1 :]))
+            if j.size:
+                i, j = near(np.full(j.size, at + row), j + at + row + 1)
+                left.append(i)
+                right.append(j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    met = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
+    if met.size:
+        ends = np.unique(np.r_[i, j])
+        told = {(a, b) for a, own in zip(cls[ends].tolist(), table.column("known").take(pa.array(ends)).to_pylist()) for b in own or ()}
+        met = met[[(a, b) not in told and (b, a) not in told for a, b in met.tolist()]]
+    return met[:, 0], met[:, 1]
 
 
 def jaccard_components(
