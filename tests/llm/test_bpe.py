@@ -70,3 +70,17 @@ def test_decoded_digest_of_the_same_pass(spark):
     plain = {repr(r["text"]): r["ids"] for r in bpe.encode(rows, vocabulary()).collect()}
     assert len(got) == rows.count()
     assert all(r["sha"] == sha(r["text"] or "") and r["ids"] == plain[repr(r["text"])] for r in got)
+
+
+def test_a_worker_keeps_a_bounded_table_of_words():
+    """230,000 different words pass through: fewer than 200,000 stay known, and ids are those of a fresh codec."""
+    data = bpe.read_vocabulary(vocabulary())
+    codec = bpe.Codec(data)
+    texts = [" ".join(f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}x" for k in range(lo, lo + 2000)) for lo in range(0, 230_000, 2000)]
+    most = 0
+    for own in bpe.groups(texts):
+        ids, counts = codec.encode(own)
+        most = max(most, len(codec.known))
+    assert most <= 200_000
+    again, sizes = bpe.Codec(data).encode(own)
+    assert ids.tolist() == again.tolist() and counts.tolist() == sizes.tolist()

@@ -24,9 +24,9 @@ from tidemark.llm.textbits import map_batches
 
 #: The word pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 400_000
-FLUSH_WORDS = 100_000
-GROUP_CHARS = 1 << 20
+CACHE_WORDS = 200_000
+FLUSH_WORDS = 20_000
+GROUP_CHARS = 1 << 18
 NONE = np.iinfo(np.int64).max
 
 
