@@ -182,3 +182,42 @@ def test_heartbeat_in_event_time(spark, tmp_path):
     assert rows(heartbeat.failure_runs(pieces, rows_per_chunk=5)) == want
     dead = sorted((tuple(r) for r in heartbeat.dead_letters(pieces).collect()), key=repr)
     assert dead == sorted([*((k, ts, n, "LATE") for k, ts, n, _ in late), (1, None, 900, "NO TIME")], key=repr)
+
+
+def _many_targets(tmp_path) -> tuple[list[tuple], list[tuple], str]:
+    """3,000 targets over two buckets, with ids and ties that only 64 bits hold, landed as one file; then a tick and late events."""
+    rng = random.Random(12)
+    t0 = datetime(2024, 1, 1)
+    data = [((1 << 60) + rng.randrange(3000), t0 + timedelta(seconds=rng.randrange(1200)), (1 << 61) + i, rng.random() < 0.7) for i in range(24_000)]
+    data += [((1 << 60) + 5, t0 + timedelta(seconds=3), None, True)]
+    landing = str(tmp_path / "in")
+
+    def line(k, ts, n, failed):
+        return json.dumps({"k": k, "ts": ts and ts.isoformat() + ".000000", "n": n, "failed": failed})
+
+    land(landing, [line(*r) for r in data], "0.json")
+    land(landing, [line(None, t0 + timedelta(days=1), 0, None)], "1.json")
+    late = [(k, ts, n, f) for k, ts, n, f in data[:500]] + [(7, t0, None, True), (8, None, (1 << 61) + 1, True), (8, None, None, True)]
+    land(landing, [line(*r) for r in late], "2.json")
+    return data, late, landing
+
+
+DDL = "k bigint, ts timestamp_ntz, n bigint, failed boolean"
+
+
+def _pieces_of_many(spark, tmp_path, landing: str):
+    parsed = parse_lines(flows.line_stream(spark, landing, max_files=1), DDL).drop("_corrupt")
+    pieces = heartbeat.event_time_pieces(parsed, "k", "ts", "n", "failed", "1 hour", bucket_seconds=600)
+    query = flows.start_batches(pieces, flows.upsert_sink(str(tmp_path / "sink")), str(tmp_path / "cp"))
+    query.awaitTermination()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in map(json.loads, (p.json for p in query.recentProgress)) if p["stateOperators"])
+    return spark.read.parquet(str(tmp_path / "sink")), held
+
+
+def test_dead_letters_of_many_targets(spark, tmp_path):
+    """The state has a row per shard and bucket, not per target and bucket; each late event is a dead letter as it came."""
+    data, late, landing = _many_targets(tmp_path)
+    pieces, held = _pieces_of_many(spark, tmp_path, landing)
+    assert 0 < held <= 2 * heartbeat.SHARDS
+    got = sorted((tuple(r) for r in heartbeat.dead_letters(pieces).collect()), key=repr)
+    assert got == sorted([(k, ts, n, "LATE" if ts else "NO TIME") for k, ts, n, _ in late], key=repr)
