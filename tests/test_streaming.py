@@ -221,3 +221,14 @@ def test_dead_letters_of_many_targets(spark, tmp_path):
     assert 0 < held <= 2 * heartbeat.SHARDS
     got = sorted((tuple(r) for r in heartbeat.dead_letters(pieces).collect()), key=repr)
     assert got == sorted([(k, ts, n, "LATE" if ts else "NO TIME") for k, ts, n, _ in late], key=repr)
+
+
+def test_runs_of_many_targets(spark, tmp_path):
+    """Runs of targets that share a shard's call are those of the ordered table."""
+    data, _, landing = _many_targets(tmp_path)
+    pieces, held = _pieces_of_many(spark, tmp_path, landing)
+    assert 0 < held <= 2 * heartbeat.SHARDS
+    whole = runs(spark.createDataFrame(data, DDL), ["k"], ["ts", "n"], F.col("failed")).where("run_length >= 3")
+    assert rows(heartbeat.failure_runs(pieces)) == rows(whole.select(F.col("k").alias("target"), "run_start", "run_end", "run_length"))
+    few = pieces.where("kind = 'RUN'").agg(F.min("length")).first()[0]
+    assert few is None or few >= 3
