@@ -91,3 +91,19 @@ def test_head_sets(spark, seed):
 def test_head_sets_without_waiters(spark):
     sessions = spark.createDataFrame([(1, []), (2, None)], "session_id bigint, blockers array<bigint>")
     assert blocking.head_sets(sessions).collect() == [] and blocking.blocking_cycles(sessions).collect() == []
+
+
+def test_no_table_of_the_graph_is_broadcast(spark, monkeypatch):
+    """As files, regular ids are so small that joins by size would send them to the driver."""
+    plans, write = [], graphs.materialize
+
+    def recorded(df, name="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(graphs, "materialize", recorded)
+    ring = spark.createDataFrame([(1, i, [(i + 1) % 9, i + 20]) for i in range(9)] + [(1, 30, [31]), (1, 31, [])], "host int, session_id bigint, blockers array<bigint>")
+    found = blocking.blocking_cycles(sessions=ring, scope=["host"])
+    assert {tuple(r) for r in found.collect()} == {(1, 0, i) for i in range(9)}
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)

@@ -2,7 +2,9 @@
 
 Nodes may be of any comparable type, structs too. Every round is an equi-join and
 is written to the shared folder, so lineage stays short; a node with very many edges is
-one row per edge and never gathered.
+one row per edge and never gathered. Both sides of a join are dealt out by key: edges and
+nodes of regular ids are a few bytes a row as files, so by their size a join would send
+tables to the driver that take many times that in its memory.
 """
 
 from __future__ import annotations
@@ -16,6 +18,11 @@ from tidemark.session import materialize
 FOLD = 8
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables that grow with the graph; neither is broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Rows (node, label): all nodes from which edges lead to a node of ``seeds`` (node, label), those included.
 
@@ -25,8 +32,8 @@ def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     known = fresh = materialize(seeds.select("node", "label").distinct(), "reached")
     rounds = 0
     while True:
-        ahead = fresh.withColumnRenamed("node", "dst").join(edges, "dst").select(F.col("src").alias("node"), "label").distinct()
-        fresh = materialize(ahead.join(known, ["node", "label"], "left_anti"), "reached")
+        ahead = _met(fresh.withColumnRenamed("node", "dst"), edges, "dst").select(F.col("src").alias("node"), "label").distinct()
+        fresh = materialize(_met(ahead, known, ["node", "label"], "left_anti"), "reached")
         if fresh.isEmpty():
             return known
         known = known.unionByName(fresh)
@@ -42,12 +49,12 @@ def chain_ends(links: DataFrame) -> DataFrame:
     cycle have no end and no row; they are what is left when a round settles nobody.
     """
     more = links.select(F.col("node").alias("end"), F.lit(True).alias("_more"))
-    pointers = links.select("node", F.col("next").alias("end")).join(more, "end", "left")
+    pointers = _met(links.select("node", F.col("next").alias("end")), more, "end", "left")
     pointers = materialize(pointers.select("node", "end", F.coalesce("_more", F.lit(False)).alias("open")), "pointers")
     left = pointers.where("open").count()
     while left:
         ahead = pointers.select(F.col("node").alias("end"), F.col("end").alias("_to"), F.col("open").alias("_open"))
-        moved = pointers.where("open").join(ahead, "end").select("node", F.col("_to").alias("end"), F.col("_open").alias("open"))
+        moved = _met(pointers.where("open"), ahead, "end").select("node", F.col("_to").alias("end"), F.col("_open").alias("open"))
         pointers = materialize(pointers.where("NOT open").unionByName(moved), "pointers")
         before, left = left, pointers.where("open").count()
         if left == before:
@@ -62,7 +69,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     while left:
         into = edges.select(F.col("dst").alias("src")).distinct()
         out_of = edges.select(F.col("src").alias("dst")).distinct()
-        edges = materialize(edges.join(into, "src", "left_semi").join(out_of, "dst", "left_semi").select("src", "dst"), "edges")
+        edges = materialize(_met(_met(edges, into, "src", "left_semi"), out_of, "dst", "left_semi").select("src", "dst"), "edges")
         before, left = left, edges.count()
         if left == before:
             break
@@ -78,8 +85,8 @@ def _colours(edges: DataFrame) -> DataFrame:
     colours = materialize(nodes.withColumn("colour", F.col("node")), "colours")
     changed = colours
     while True:
-        offered = changed.withColumnRenamed("node", "src").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
-        after = materialize(colours.join(offered, "node", "left"), "colours")
+        offered = _met(changed.withColumnRenamed("node", "src"), edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+        after = materialize(_met(colours, offered, "node", "left"), "colours")
         changed = after.where("offer < colour").select("node", F.col("offer").alias("colour"))
         if changed.isEmpty():
             return colours
@@ -100,15 +107,15 @@ def components_of_cycles(edges: DataFrame) -> DataFrame:
     found = loops.select("node", F.col("node").alias("component"))
     while not rest.isEmpty():
         colours = materialize(_colours(rest), "colours")
-        ends = rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src")
-        ends = ends.join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+        ends = _met(rest, colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src")
+        ends = _met(ends, colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
         inside = materialize(ends.where("a = b").select("src", "dst"), "inside")
         roots = colours.where("node = colour").select("node", F.col("colour").alias("label"))
         members = spread(inside, roots).select("node", F.col("label").alias("component"))
         several = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-        found = found.unionByName(materialize(members.join(several, "component", "left_semi").select("node", "component"), "cycles"))
+        found = found.unionByName(materialize(_met(members, several, "component", "left_semi").select("node", "component"), "cycles"))
         gone = members.select("node")
-        rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        rest = _met(_met(rest, gone.withColumnRenamed("node", "src"), "src", "left_anti"), gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
         rest = _trimmed(rest.select("src", "dst"))
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
@@ -122,20 +129,20 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     give a layer (such a node is a cycle).
     """
     nodes = materialize(nodes.select("node").where("node IS NOT NULL").distinct(), "nodes")
-    known = edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
-    edges = materialize(known.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
+    known = _met(edges.select("src", "dst").distinct(), nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+    edges = materialize(_met(known, nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
     waiting, held, layer = nodes, edges, 0
     done = None
     while True:
-        ready = waiting.join(held.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+        ready = _met(waiting, held.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
         ready = materialize(ready.withColumn("layer", F.lit(layer)), "layer")
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
-        waiting = materialize(waiting.join(ready, "node", "left_anti"), "nodes")
-        held = materialize(held.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        waiting = materialize(_met(waiting, ready, "node", "left_anti"), "nodes")
+        held = materialize(_met(held, ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
         layer += 1
     stuck = waiting.select("node", F.lit(None).cast("int").alias("layer"))
     cycles = components_of_cycles(held).select("node", F.lit("CYCLE").alias("state"))
-    stuck = stuck.join(cycles, "node", "left").withColumn("state", F.coalesce("state", F.lit("BLOCKED")))
+    stuck = _met(stuck, cycles, "node", "left").withColumn("state", F.coalesce("state", F.lit("BLOCKED")))
     return stuck if done is None else done.withColumn("state", F.lit("READY")).unionByName(stuck)
