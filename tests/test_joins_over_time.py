@@ -43,6 +43,15 @@ def test_overlaps(spark, tile):
         intervals.overlaps(left, left, ["k"], ["a", "b"], ["a", "b"])
 
 
+def test_buckets_are_narrow_against_the_interval(spark):
+    """A bucket as wide as the longer interval or wider holds many short ones that do not meet it."""
+    lengths = [1, 59_000_000, *(60_000_000 * n for n in (1, 2, 7, 8, 9, 60, 500, 1999, 10**6, 10**9))]
+    at = spark.createDataFrame([(n,) for n in lengths], "n bigint").withColumn("level", intervals._level(F.col("n"))).withColumn("wide", intervals._width("level"))
+    for r in at.collect():
+        assert r.wide <= max(60_000_000, r.n / 2)
+        assert r.n <= intervals.SPAN * r.wide
+
+
 def test_overlap_plan_has_no_nested_loop(spark):
     left = spark.createDataFrame(made_up(1, 20, 0), "i int, k string, a timestamp_ntz, b timestamp_ntz")
     right = spark.createDataFrame(made_up(2, 20, 0), "j int, k string, c timestamp_ntz, d timestamp_ntz")
