@@ -52,6 +52,16 @@ def test_buckets_are_narrow_against_the_interval(spark):
         assert r.n <= intervals.SPAN * r.wide
 
 
+def test_tasks_follow_the_pairs(spark):
+    """So few bytes would be one task, however many pairs they make."""
+    left = spark.createDataFrame(made_up(1, 300, 0), "i int, k string, a timestamp_ntz, b timestamp_ntz")
+    right = spark.createDataFrame(made_up(2, 300, 0), "j int, k string, c timestamp_ntz, d timestamp_ntz")
+    few = intervals.overlaps(left, right, ["k"], ["a", "b"], ["c", "d"])
+    many = intervals.overlaps(left, right, ["k"], ["a", "b"], ["c", "d"], 20, 500)
+    assert many.rdd.getNumPartitions() > 8 >= few.rdd.getNumPartitions()
+    assert rows(many.select("i", "j")) == rows(few.select("i", "j"))
+
+
 def test_overlap_plan_has_no_nested_loop(spark):
     left = spark.createDataFrame(made_up(1, 20, 0), "i int, k string, a timestamp_ntz, b timestamp_ntz")
     right = spark.createDataFrame(made_up(2, 20, 0), "j int, k string, c timestamp_ntz, d timestamp_ntz")
